@@ -12,44 +12,96 @@ context bytes is weighted at a time, and each block gets back the values of its
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from bytelake.llm.shared import cut, fresh_dir, remainder
 
 DEPTH = 5  #: bytes of context; a gram has DEPTH + 1 bytes, 7 at most
-BLOCK_ROWS = 6144  #: rows of a file that make a block; fewer where texts are long
+BLOCK_ROWS = 8192  #: rows of a file that make a block; fewer where texts are long
 END, WORD = 0xFF, -(1 << 63)
 PIECE = 1 << 21  #: bytes whose grams are held at once
+FREE = -1  #: no key: a word's is WORD at least and stays below -1 by its making
+OPEN, MOST = 4, 1_500_000  #: blocks that a task has open, distinct grams and words of one before it is given out
 
 
-def grams(data: bytes, depth: int, before: bytes = b"") -> np.ndarray:
-    """The key of every byte of `data`: nearest context byte highest, then the farther ones, then the byte itself.
+_RNG = np.random.default_rng(0x5EED)
+_VALUE = _RNG.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(9, 14), END]] = True
+_BASE = 0x9E3779B97F4A7C15
+END_KEY = WORD  #: the key of the end, counted as a word
 
-    `before`: what precedes, END bytes filling up what is missing."""
-    full = np.frombuffer((b"\xff" * depth + before)[-depth:] + data, np.uint8).astype(np.int64)
-    n = len(data)
-    key = np.zeros(n, np.int64)
-    for back in range(1, depth + 1):
-        key = key << 8 | full[depth - back : depth - back + n]
-    return key << 8 | full[depth:]
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def word_key(word: bytes) -> int:
-    """A negative key, told from those of grams by its sign; the empty word is the end of a text."""
-    return (xxh64_intdigest(word) >> 1) + WORD
+def segments(texts, piece: int = PIECE):
+    """(number of the text, bytes with their context in front, whether the text ends here), long texts cut after white space."""
+    pad = b"\xff" * 8
+    for i, text in enumerate(texts):
+        data, at = (text or "").encode(), 0
+        while len(data) - at > piece and (m := re.compile(rb"[ \t-\r]").search(data, at + piece)) and m.end() < len(data):
+            yield i, (pad + data[max(0, at - 8) : at])[-8:] + data[at : m.end()], False
+            at = m.end()
+        yield i, (pad + data[max(0, at - 8) : at])[-8:] + data[at:] + b"\xff", True
 
 
-def pieces(text: str | None):
-    """(data, before): the bytes of a text with its end, in pieces."""
-    data = (text or "").encode() + b"\xff"
-    for at in range(0, len(data), PIECE):
-        yield data[at : at + PIECE], data[max(0, at - 8) : at]
+def buffers(texts, depth: int, piece: int = PIECE):
+    """(number, gram keys, first key of each segment, words, first word of each segment) of some `piece` bytes of segments at a time.
+
+    A gram's key has the nearest context byte highest, then the farther ones, then the byte itself. A word's key is
+    negative: 63 bits of a polynomial over random byte values. An ended text has the key of the end as its last word."""
+    held, size = [], 0
+    for s in segments(texts, piece):
+        held.append(s)
+        size += len(s[1])
+        if size >= piece:
+            yield _keys(held, depth)
+            held, size = [], 0
+    if held:
+        yield _keys(held, depth)
+
+
+def _keys(held: list, depth: int):
+    raw = np.frombuffer(b"".join(s for _, s, _ in held), np.uint8)
+    lengths = np.array([len(s) for _, s, _ in held])
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    body = np.ones(len(raw), bool)
+    body[(starts[:, None] + np.arange(8)).ravel()] = False
+    n = len(raw) - 8
+    wide, key = raw.astype(np.int64), np.zeros(n, np.int64)
+    for back in range(1, depth + 1):
+        key <<= 8
+        key |= wide[8 - back : 8 - back + n]
+    key <<= 8
+    key |= wide[8:]
+    key = key[body[8:]]
+    first_key = np.r_[0, np.cumsum(lengths - 8)[:-1]]
+    white = _BLANK[raw] | ~body
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1  # the first byte is never in a word
+    begin, end = edge[::2], edge[1::2] if len(edge) % 2 == 0 else np.r_[edge[1::2], len(raw)]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), out=total[1:])
+    h = (total[end] - total[begin]) * _powers(_INVERSE, len(raw))[begin]
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(32)) >> np.uint64(1)
+    words = np.clip(h.astype(np.int64), 1, (1 << 63) - 2) + WORD
+    ends = np.array([e for _, _, e in held])
+    at = np.searchsorted(begin, starts[ends] + lengths[ends])
+    first_word = np.searchsorted(begin, starts) + np.r_[0, np.cumsum(ends)[:-1]]
+    return np.array([i for i, _, _ in held]), key, first_key, np.insert(words, at, END_KEY), first_word
 
 
 def _sum(parts: list) -> list:
@@ -64,45 +116,50 @@ def _sum(parts: list) -> list:
 def _count(batches, depth: int):
     """From (block, text, learn) to (block, key, n): distinct keys of each block, n as far as learnt from."""
 
-    def rows(block, parts, words):
-        if words:
-            parts = [*parts, (np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))]
-        for keys, n in _sum(parts) if parts else []:
-            for at in range(0, len(keys), 100_000):
-                k = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(n[at : at + 100_000])], ["block", "key", "n"])
-
-    now, parts, words, held, size = None, [], Counter(), {True: [], False: []}, 0
-
-    def flush():
-        for learn, xs in held.items():
-            if xs:
-                k = np.concatenate(xs)
-                k.sort()
-                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                parts.append((k[first], np.diff(np.r_[first, len(k)]) * learn))
-                xs.clear()
-        if sum(len(k) for k, _ in parts) > 2_000_000:
-            parts[:] = _sum(parts)
+    def rows(block, at):
+        at.flush(depth)
+        for keys, n in _sum(at.parts) if at.parts else []:
+            for i in range(0, len(keys), 100_000):
+                k = keys[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(n[i : i + 100_000])], ["block", "key", "n"])
 
+    blocks: dict[int, _Block] = {}  # a few at once, as texts of other lengths lie between those of a block
     for b in batches:
         for block, text, learn in zip(*(b.column(c) for c in ("block", "text", "learn"))):
             block, text, learn = block.as_py(), text.as_py(), learn.as_py()
-            if block != now or len(words) > 1_000_000:
-                flush()
-                yield from rows(now, parts, words)
-                now, parts, words, size = block, [], Counter(), 0
-            for data, before in pieces(text):
-                held[learn].append(grams(data, depth, before))
-                size += len(data)
-                if size > PIECE:
-                    flush()
-                    size = 0
-            own = Counter((text or "").encode().lower().split())
-            own[b""] += 1
-            words.update(own if learn else dict.fromkeys(own, 0))
-    flush()
-    yield from rows(now, parts, words)
+            at = blocks.get(block)
+            if at is None:
+                if len(blocks) >= OPEN:
+                    yield from rows(first := next(iter(blocks)), blocks.pop(first))
+                at = blocks[block] = _Block()
+            at.texts[learn].append(text)
+            at.size += len(text or "") + 1
+            if at.size > PIECE:
+                at.flush(depth)
+            if at.rows > MOST:
+                yield from rows(block, blocks.pop(block))
+    for block, at in blocks.items():
+        yield from rows(block, at)
+
+
+class _Block:
+    """The distinct keys so far of one block."""
+
+    def __init__(self):
+        self.parts, self.texts, self.size, self.rows = [], {True: [], False: []}, 0, 0
+
+    def flush(self, depth: int) -> None:
+        for learn, texts in self.texts.items():
+            for _, grams, _, words, _ in buffers(texts, depth):
+                k = np.concatenate([grams, words])
+                k.sort()
+                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                self.parts.append((k[first], np.diff(np.r_[first, len(k)]) * learn))
+            texts.clear()
+        self.size = 0
+        if sum(len(k) for k, _ in self.parts) > MOST:
+            self.parts = _sum(self.parts)
+            self.rows = len(self.parts[0][0])
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -214,14 +271,14 @@ def upper_levels(order1: np.ndarray, wp2: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def blocked(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, text, held_out, learn, block). Blocks follow a file's rows and hold fewer of them the longer texts are, so none
-    grows past some 200 MB. A frame that isn't read from files alone is written to the shared folder first."""
+    grows past 512 MB, and at usual lengths past 50. A frame that isn't read from files alone is written to the shared folder first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     try:
         placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     except Exception:  # no file source below
         docs.write.parquet(at := fresh_dir(docs.sparkSession, "ctw"))
         placed = docs.sparkSession.read.parquet(at).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)) / 32768))).cast("long")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)) / 65536))).cast("long")
     block = F.xxhash64("_path", level, F.floor(F.col("_row") / F.greatest(F.lit(1), F.floor(rows / F.pow(F.lit(2), level)))))
     held = remainder(F.col("doc_id"), 7) == 2
     return placed.select("doc_id", "text", held.alias("held_out"), (~held).alias("learn"), block.alias("block"))
@@ -233,10 +290,10 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys, first = np.unique(keys, return_index=True)
         self.bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        self.keys, self.values = np.full(1 << self.bits, FREE, np.int64), np.zeros(1 << self.bits)
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
-            free = todo[self.keys[slot[todo]] == -1]
+            free = todo[self.keys[slot[todo]] == FREE]
             self.keys[slot[free]] = keys[free]
             todo = todo[self.keys[slot[todo]] != keys[todo]]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
@@ -250,7 +307,7 @@ class Table:
         miss = np.flatnonzero(self.keys[slot] != keys)
         while len(miss):
             slot[miss] = (slot[miss] + 1) & ((1 << self.bits) - 1)
-            if (self.keys[slot[miss]] == -1).any():
+            if (self.keys[slot[miss]] == FREE).any():
                 raise KeyError("a gram of this block has no value")
             miss = miss[self.keys[slot[miss]] != keys[miss]]
         return self.values[slot]
@@ -258,29 +315,18 @@ class Table:
 
 def _score(docs: pa.Table, found: pa.Table, depth: int, n_all: int, distinct: int) -> pa.Table:
     keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
-    table = Table(keys[keys >= 0], values[keys >= 0])
-    counts = dict(zip(keys[keys < 0].tolist(), values[keys < 0].tolist()))
-    memo: dict[bytes, float] = {}
-    out = []
-    for doc_id, held, text in zip(*(docs.column(c) for c in ("doc_id", "held_out", "text"))):
-        text = text.as_py() or ""
-        own = Counter(text.encode().lower().split())
-        own[b""] += 1
-        n_tokens = n_known = 0
-        base = score = 0.0
-        for w, times in own.items():
-            if (c := memo.get(w)) is None:
-                c = memo[w] = counts[word_key(w)]
-            n_tokens += times
-            n_known += times * (c > 0)
-            base += times * np.log10((c + 1) / (n_all + distinct + 1))
-        for data, before in pieces(text):
-            score += float(table.get(grams(data, depth, before)).sum())
-        size = len(text.encode()) + 1
-        out.append((doc_id.as_py(), held.as_py(), n_tokens, n_known, n_all, float(base), score, size - 1, -score * 3.321928094887362 / size))
-        if len(memo) > 500_000:
-            memo.clear()
-    return pa.table(dict(zip(NAMES, zip(*out) if out else [()] * len(NAMES))), schema=ARROW)
+    table, counts = Table(keys[keys >= 0], values[keys >= 0]), Table(keys[keys < 0], values[keys < 0])
+    n = docs.num_rows
+    base, score, tokens, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    size = np.fromiter((len((t.as_py() or "").encode()) for t in docs.column("text")), np.int64, n)
+    for i, grams, first, words, first_word in buffers((t.as_py() for t in docs.column("text")), depth):
+        np.add.at(score, i, np.add.reduceat(np.r_[table.get(grams), 0.0], first) * (np.diff(np.r_[first, len(grams)]) > 0))
+        c, some = counts.get(words), np.diff(np.r_[first_word, len(words)])
+        for into, each in ((base, np.log10((c + 1) / (n_all + distinct + 1))), (known, (c > 0).astype(np.int64))):
+            np.add.at(into, i, np.add.reduceat(np.r_[each, 0].astype(each.dtype), first_word) * (some > 0))
+        np.add.at(tokens, i, some)
+    cols = [docs.column("doc_id"), docs.column("held_out"), tokens, known, np.full(n, n_all), base, score, size, -score * 3.321928094887362 / (size + 1)]
+    return pa.table(dict(zip(NAMES, cols)), schema=ARROW)
 
 
 NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
