@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from bytelake.llm.shared import cut
 
-WINDOW, BUCKETS, BUDGET, SHARD = 2048, 16, 65_536, 100_000
+WINDOW, BUCKETS, BUDGET = 2048, 16, 65_536
+SHARD = 2000  #: sequences that are numbered together, about; a bucket has as many shards as its size asks for
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -68,9 +69,9 @@ def pack(docs: DataFrame, window: int = WINDOW, buckets: int = BUCKETS, budget:
     if not found:
         return spark.createDataFrame([], "doc_id long, seq_no long, start long, n_tokens long, padded_to long, batch_no long, slot long")
     ends = boundaries(np.array([r[0] for r in found]), np.array([r[1] for r in found]), buckets)
-    shards = max(1, sum(r[1] for r in found) // SHARD)
-    padded = F.element_at(F.filter(F.array(*map(F.lit, ends)), lambda e: e >= F.col("n_tokens")), 1).cast("long")
-    placed = rows.withColumn("padded_to", padded).withColumn("h", F.xxhash64("doc_id", "seq_no")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    sizes = [max(1, sum(n for x, n in found if low < x <= end) // SHARD) for low, end in zip([-1, *ends], ends)]
+    which = F.element_at(F.filter(F.array(*(F.struct(F.lit(e).cast("long").alias("end"), F.lit(n).cast("long").alias("shards")) for e, n in zip(ends, sizes))), lambda e: e["end"] >= F.col("n_tokens")), 1)
+    placed = rows.withColumn("w", which).withColumn("h", F.xxhash64("doc_id", "seq_no")).select("doc_id", "seq_no", "start", "n_tokens", "h", F.col("w.end").alias("padded_to"), F.pmod(F.xxhash64("h"), F.col("w.shards")).alias("shard"))
     sizes = placed.groupBy("padded_to", "shard").agg(F.count("*").alias("n"))
     before = sizes.select("padded_to", "shard", (F.sum("n").over(Window.partitionBy("padded_to").orderBy("shard")) - F.col("n")).alias("before"))
     own = Window.partitionBy("padded_to", "shard").orderBy("h", "doc_id", "seq_no", "n_tokens")

@@ -114,7 +114,8 @@ def links(distinct: DataFrame, big: int = BIG) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(run, "key long, fp long")
-    sized = cut(keyed.selectExpr("*", "count(*) over (partition by key) n").where("n > 1"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # a join, unlike a window, may split a bucket of any size
+    sized = cut(keyed.join(shared, "key").select("key", "fp", "n"))
     small = sized.where(F.col("n") <= big).groupBy("key").agg(F.collect_list("fp").alias("m"))
     pairs = small.selectExpr("explode(flatten(transform(m, x -> transform(filter(m, y -> y < x and bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))))) e").select("e.a", "e.b")
     balls = sized.where(F.col("n") > big).select("fp").distinct().selectExpr("fp", "explode(transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))) ball")
