@@ -22,8 +22,8 @@ def valid(v):
 def odd_vectors(n=300, dims=8, seed=0):
     r = np.random.default_rng(seed)
     v = [list(map(float, np.float32(x))) for x in r.normal(0, 0.3, (n, dims))]
-    v[7], v[8], v[9], v[50], v[11] = None, [], [float("nan")] * dims, [None] * dims, v[12]
-    v[100], v[13] = list(v[14]), [0.0] * dims
+    v[7], v[8], v[9], v[15], v[11] = None, [], [float("nan")] * dims, [None] * dims, v[12]
+    v[25], v[13] = list(v[14]), [0.0] * dims
     return v
 
 
