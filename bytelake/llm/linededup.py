@@ -100,7 +100,8 @@ def repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, batches:
     store = LineRuns(spark)
     for i in range(batches):
         store.add(all_lines.where(F.col("batch") == i).select("doc_id", *KEY))
-    often = store.known().where(F.col("n_docs") >= min_docs)
+    store.known().where(F.col("n_docs") >= min_docs).write.parquet(f"{store.path}/often")  # a table of its own: the join may then split a hot key
+    often = spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(f"{store.path}/often")
     lost = all_lines.join(often, KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
     return lost.where("last_doc is not null").groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
 
