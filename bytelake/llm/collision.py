@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from bytelake.llm.blocks import block_search, top, vectors
 
-STRIPE, BATCH = 16_384, 1024
-PROJECTIONS, THRESHOLD, RADIUS, RATIO = 48, 0.7, 0.8, 1.12
-VERIFY = 0.16  #: share of a block, on top of 8 k, whose verification ends the widening
+STRIPE, BATCH = 32_768, 1024
+PROJECTIONS, THRESHOLD, RADIUS, RATIO = 65, 0.7, 0.8, 1.12
+VERIFY = 0.07  #: share of a block, on top of 8 k, whose verification ends the widening
 
 
 def inner(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -64,6 +64,10 @@ class CollisionIndex:
             if len(found) >= enough or (a == 0).all() and (b == n).all():
                 break
             radius *= RATIO
+        rough = self.v[found] @ q
+        if len(found) > 4 * k:  # sums in another order differ by less than this, so none of the best is lost
+            bar = np.partition(rough, len(rough) - k)[-k] - 1e-9 * max(1.0, self.norm) * max(1.0, np.sqrt(q @ q))
+            found = found[rough >= bar]
         scores = inner(self.v[found], q)
         best = top(self.ids[found], scores, k)
         return self.ids[found][best], scores[best]
