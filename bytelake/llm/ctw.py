@@ -24,7 +24,7 @@ from bytelake.llm.shared import cut, fresh_dir, remainder
 DEPTH = 5  #: bytes of context; a gram has DEPTH + 1 bytes, 7 at most
 BLOCK_ROWS = 8192  #: rows of a file that make a block; fewer where texts are long
 END, WORD = 0xFF, -(1 << 63)
-PIECE = 1 << 21  #: bytes whose grams are held at once
+PIECE = 1 << 18  #: bytes whose grams are held at once
 FREE = -1  #: no key: a word's is WORD at least and stays below -1 by its making
 OPEN, MOST = 4, 1_500_000  #: blocks that a task has open, distinct grams and words of one before it is given out
 
