@@ -1,7 +1,8 @@
 """WARC records in ZIP packages: writing them, and reading records by range without extraction.
 
-A package is a ZIP file whose members are stored, not deflated: archive/data-NNNNN.warc (WARC records) and
-indexes/data-NNNNN.cdxj (a line of JSON for each record: offset and length within that member). The reader fetches the
+A package is a ZIP file whose members are stored, not deflated: archive/data-NNNNN.warc.gz (WARC records, each a gzip
+member of its own, as archives usually are) and indexes/data-NNNNN.cdxj (a line of JSON for each record: offset and length
+within that member). Members named .warc, with plain records, are read as well. The reader fetches the
 end of the file, the ZIP64 end record where there is one, and the central directory, then the indexes, then exactly
 the ranges of the records. Files are opened through pyarrow's file systems, so a store it knows serves as well as a
 shared folder.
@@ -41,8 +42,16 @@ def record(kind: str, url: str | None, payload: bytes, fields: dict[str, str]) -
     return f"WARC/1.1\r\n{clean}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def gzipped(data: bytes) -> bytes:
+    """One gzip member, the same for equal data."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(header fields, block) of one record."""
+    """(header fields, block) of one record, plain or a gzip member."""
+    if data[:2] == b"\x1f\x8b":
+        data = zlib.decompress(data, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
@@ -144,7 +153,7 @@ def write_packages(pages: DataFrame, folder: str, member: int = MEMBER, zip64: b
         name, n, held, index, out, package = f"{uuid.uuid4().hex}.zip", 0, [], [], None, None
 
         def flush():
-            package.add(f"archive/data-{flush.k:05}.warc", b"".join(held))
+            package.add(f"archive/data-{flush.k:05}.warc.gz", b"".join(held))
             package.add(f"indexes/data-{flush.k:05}.cdxj", "".join(json.dumps(x) + "\n" for x in index).encode())
             flush.k, flush.size = flush.k + 1, 0
             held.clear()
@@ -158,7 +167,7 @@ def write_packages(pages: DataFrame, folder: str, member: int = MEMBER, zip64: b
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/.{name}")
                     package = Package(out, zip64)
-                r = record(kind, url, payload, {k: str(v) for k, v in (("WARC-Page-ID", page_id), ("WARC-Refers-To-Page", refers)) if v is not None})
+                r = gzipped(record(kind, url, payload, {k: str(v) for k, v in (("WARC-Page-ID", page_id), ("WARC-Refers-To-Page", refers)) if v is not None}))
                 index.append({"offset": flush.size, "length": len(r), "page": page_id})
                 held.append(r)
                 flush.size += len(r)
@@ -188,7 +197,8 @@ def locate(packages: DataFrame) -> DataFrame:
                     for name, (_, method, start, size, _) in members.items():
                         if not name.endswith(".cdxj"):
                             continue
-                        data = members[name.replace("indexes/", "archive/").replace(".cdxj", ".warc")]
+                        base = name.replace("indexes/", "archive/").removesuffix(".cdxj")
+                        data = members.get(f"{base}.warc.gz") or members[f"{base}.warc"]
                         if method or data[1]:
                             raise ValueError(f"{uri}: {name} isn't stored")
                         f.seek(start)

@@ -129,3 +129,13 @@ def test_warc_round_trip(spark):
             want = ("response", None) if r["page_id"] == least else ("revisit", least)
             assert (r["record_type"], r["refers_to"]) == want and (r["payload"] == h if want[1] is None else r["payload"] is None)
     assert warczip.warc_round_trip(df.limit(0)).count() == 0
+
+
+def test_plain_members_are_read(spark, tmp_path):
+    payload = b"<p>plain</p>"
+    r = warczip.record("response", "http://x", payload, {"WARC-Page-ID": "7"})
+    index = b'{"offset": 0, "length": %d, "page": 7}\n' % len(r)
+    (tmp_path / "a.zip").write_bytes(package({"archive/data-00000.warc": r, "indexes/data-00000.cdxj": index}, False))
+    got = warczip.read_records(warczip.locate(spark.createDataFrame([(f"file://{tmp_path}/a.zip",)], "path string"))).collect()
+    assert [(x["page_id"], bytes(x["payload"]), x["record_type"]) for x in got] == [(7, payload, "response")]
+    assert warczip.parse(warczip.gzipped(r)) == warczip.parse(r)
