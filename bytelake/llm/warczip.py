@@ -107,7 +107,7 @@ def directory(f, size: int) -> list[tuple[str, int, int, int, int]]:
 
     back = min(size, 22 + 0xFFFF)
     tail = at(size - back, back)
-    k = tail.rfind(b"PK\5\6")
+    k = tail.rfind(b"PK\5\6", 0, max(0, len(tail) - 18))  # the record has 22 bytes at least
     while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
         k = tail.rfind(b"PK\5\6", 0, k)
     if k < 0:
