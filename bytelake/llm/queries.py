@@ -36,7 +36,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warczip.warc_round_trip(table(spark, sf_dir, "pages"))
+    out = warczip.warc_round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

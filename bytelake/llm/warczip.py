@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from bytelake.llm.shared import cut, fresh_dir
 
-MEMBER = 16 << 20  #: bytes of records that make a member; larger single records make larger ones
+MEMBER = 8 << 20  #: bytes of records that make a member; larger single records make larger ones
+BATCH = 4 << 20  #: bytes of records that a reader hands over at once
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -185,65 +186,76 @@ def write_packages(pages: DataFrame, folder: str, member: int = MEMBER, zip64: b
     return cut(pages.select("page_id", "url", "payload", "record_type", "refers_to").mapInArrow(run, "path string, n_records long"))
 
 
+def _ranges(batches):
+    """Batches of (path, start, length) from batches with a column path."""
+    for b in batches:
+        for uri in b.column("path").to_pylist():
+            fs, path = open_uri(uri)
+            with fs.open_input_file(path) as f:
+                members = {m[0]: m for m in directory(f, f.size())}
+                for name, (_, method, start, size, _) in members.items():
+                    if not name.endswith(".cdxj"):
+                        continue
+                    base = name.replace("indexes/", "archive/").removesuffix(".cdxj")
+                    data = members.get(f"{base}.warc.gz") or members[f"{base}.warc"]
+                    if method or data[1]:
+                        raise ValueError(f"{uri}: {name} isn't stored")
+                    f.seek(start)
+                    rows = [json.loads(x) for x in f.read(size).splitlines()]
+                    yield pa.RecordBatch.from_pydict({"path": [uri] * len(rows), "start": pa.array([data[2] + r["offset"] for r in rows], pa.int64()), "length": pa.array([r["length"] for r in rows], pa.int64())})
+
+
+RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+RECORD_SQL = "page_id long, url string, payload binary, record_type string, refers_to long, payload_bytes long, payload_digest string"
+
+
+def _records(batches, payloads: bool = True):
+    """Batches of RECORD from batches of ranges; `payloads`: whether they go into the result (they are read and verified anyway)."""
+    uri, f = None, None
+    for b in batches:
+        rows, size = [], 0
+        for own, start, length in zip(*(b.column(c).to_pylist() for c in ("path", "start", "length"))):
+            if own != uri:
+                if f:
+                    f.close()
+                fs, path = open_uri(uri := own)
+                f = fs.open_input_file(path)
+            f.seek(start)
+            head, block = parse(f.read(length))
+            said = head["WARC-Payload-Digest"].removeprefix("sha1:")
+            kind = head["WARC-Type"]
+            if kind != "revisit" and sha1_base32(block) != said:
+                raise ValueError(f"{uri}: a payload doesn't match its digest")
+            page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page")
+            held = block if payloads and kind != "revisit" else None
+            rows.append((page and int(page), head["WARC-Target-URI"], held, kind, refers and int(refers), int(head["WARC-Payload-Length"]) if kind == "revisit" else len(block), said))
+            size += len(held or b"") + 200
+            if size > BATCH:
+                yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r)) for r in rows], RECORD)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r)) for r in rows], RECORD)
+    if f:
+        f.close()
+
+
 def locate(packages: DataFrame) -> DataFrame:
     """(path, start, length): where each record of the packages (column path) lies in its file, from the stored indexes."""
-
-    def run(batches):
-        for b in batches:
-            for uri in b.column("path").to_pylist():
-                fs, path = open_uri(uri)
-                with fs.open_input_file(path) as f:
-                    members = {m[0]: m for m in directory(f, f.size())}
-                    for name, (_, method, start, size, _) in members.items():
-                        if not name.endswith(".cdxj"):
-                            continue
-                        base = name.replace("indexes/", "archive/").removesuffix(".cdxj")
-                        data = members.get(f"{base}.warc.gz") or members[f"{base}.warc"]
-                        if method or data[1]:
-                            raise ValueError(f"{uri}: {name} isn't stored")
-                        f.seek(start)
-                        rows = [json.loads(x) for x in f.read(size).splitlines()]
-                        yield pa.RecordBatch.from_pydict({"path": [uri] * len(rows), "start": pa.array([data[2] + r["offset"] for r in rows], pa.int64()), "length": pa.array([r["length"] for r in rows], pa.int64())})
-
-    return packages.select("path").mapInArrow(run, "path string, start long, length long")
+    return packages.select("path").mapInArrow(_ranges, "path string, start long, length long")
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
     """(page_id, url, payload, record_type, refers_to, payload_bytes, payload_digest) of records by range. The payload of
     a revisit is null; its length and digest are those that its header states. Stored digests are verified."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    return ranges.select("path", "start", "length").mapInArrow(_records, RECORD_SQL)
 
-    def run(batches):
-        uri, f = None, None
-        for b in batches:
-            rows, size = [], 0
-            for at in range(b.num_rows):
-                if (own := b.column("path")[at].as_py()) != uri:
-                    if f:
-                        f.close()
-                    fs, path = open_uri(uri := own)
-                    f = fs.open_input_file(path)
-                f.seek(b.column("start")[at].as_py())
-                head, block = parse(f.read(b.column("length")[at].as_py()))
-                said = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                kind = head["WARC-Type"]
-                if kind != "revisit" and sha1_base32(block) != said:
-                    raise ValueError(f"{uri}: a payload doesn't match its digest")
-                page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page")
-                rows.append((page and int(page), head["WARC-Target-URI"], None if kind == "revisit" else block, kind, refers and int(refers), int(head["WARC-Payload-Length"]) if kind == "revisit" else len(block), said))
-                size += len(block)
-                if size > MEMBER:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
-                    rows, size = [], 0
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
-        if f:
-            f.close()
-
-    return ranges.select("path", "start", "length").mapInArrow(run, "page_id long, url string, payload binary, record_type string, refers_to long, payload_bytes long, payload_digest string")
-
-
-def warc_round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
-    """Write a record for each page and read the packages back; the columns of read_records.
+
+def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
+    """read_records over locate in one pass, so that a task has one Python process; without `payloads`, payload is null."""
+    return packages.select("path").mapInArrow(lambda bs: _records(_ranges(bs), payloads), RECORD_SQL)
+
+
+def warc_round_trip(pages: DataFrame, least: int = 0, folder: str | None = None, payloads: bool = True) -> DataFrame:
+    """Write a record for each page and read the packages back; the columns of read_records (payload null without `payloads`).
 
     Among equal payloads of `least` bytes or more, the smallest page_id is the response and the others revisit it;
     rows that repeat that page_id are responses too, a row with a null page_id revisits it, and where every page_id
@@ -256,4 +268,4 @@ def warc_round_trip(pages: DataFrame, least: int = 0, folder: str | None = None)
     joined = rows.join(firsts, "d")
     revisit = (F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
-    return read_records(locate(write_packages(marked, folder or fresh_dir(pages.sparkSession, "warc"))))
+    return read_packages(write_packages(marked, folder or fresh_dir(pages.sparkSession, "warc")), payloads)
