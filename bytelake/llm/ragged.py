@@ -12,21 +12,49 @@ import numpy as np
 NONE = np.int64(1) << 40
 
 
+class Places:
+    """Where each of distinct 64-bit keys stands, found for many keys at once: open addressing, one slot in sixteen or fewer filled."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.view(np.int64)
+        self.bits = max(8, (16 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        slot, todo = self._slot(self.keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] < 0]
+            self.slots[slot[free]] = free
+            todo = todo[self.slots[slot[todo]] != todo]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it has none."""
+        keys = keys.view(np.int64)
+        slot = self._slot(keys)
+        at = self.slots[slot].astype(np.int64)
+        other = np.flatnonzero(at >= 0)
+        other = other[self.keys[at[other]] != keys[other]]
+        while len(other):
+            slot[other] = (slot[other] + 1) & ((1 << self.bits) - 1)
+            at[other] = self.slots[slot[other]]
+            other = other[at[other] >= 0]
+            other = other[self.keys[at[other]] != keys[other]]
+        return at
+
+
 class Merges:
-    """Ranks and results of pairs of symbol ids, looked up by a sorted array of pair keys."""
+    """Ranks and results of pairs of symbol ids."""
 
     def __init__(self, left, right, rank, result):
-        pair = np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)
-        order = np.argsort(pair, kind="stable")
-        self.pair, self.rank, self.result = pair[order], np.asarray(rank, np.int64)[order], np.asarray(result, np.int64)[order]
+        self.pairs = Places(np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64))
+        self.rank, self.result = np.r_[np.asarray(rank, np.int64), NONE], np.r_[np.asarray(result, np.int64), -1]
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, place) of each pair; NONE where it doesn't merge."""
-        if not len(self.pair):
-            return np.full(len(left), NONE), np.zeros(len(left), np.int64)
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.rank[at], NONE), at
+        at = self.pairs.find(left << 32 | right)
+        return self.rank[at], at
 
     def merge(self, symbols: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, seq) after all merges; seq numbers each symbol's sequence, ascending. Sequences that are done leave the rounds."""

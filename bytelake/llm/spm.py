@@ -3,15 +3,18 @@
 Unigram: batched Viterbi. Words of equal length advance together, one end position at a time: hashes of all their
 substrings that end there probe the sorted piece keys, and the best score and its back pointer are kept for every
 word at once. BPE models are not solved by Viterbi (the best sum of scores isn't what merging yields), so their
-pieces come from rank-synchronous merging; `viterbi` may still be asked for with their scores.
+pieces come from rank-synchronous merging; `viterbi` may still be asked for with their scores. Words of over SHORT
+characters, which are few, advance with others of nearly their length; each is followed back from its own end.
 
-A sentence is cut into words before each run of word-boundary marks; no piece of the models that are accepted lies across such a cut.
+A sentence is cut into words before each run of word-boundary marks and around line ends; no piece of the models that are
+accepted lies across such a cut.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.ragged import Merges
+from bytelake.llm.ragged import Merges, Places
 
 MARK = "▁"
-WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE = 200_000  #: words whose pieces a task keeps
+WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+CACHE = 6_000_000  #: words and pieces that a task keeps of each kind; then it starts over
+SHORT, STEP = 32, 300_000  #: characters of words that only meet others of their length; characters that a batch has
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE, UNKNOWN, NORMAL, UNUSED = 6, 2, 1, 5
 
@@ -74,7 +78,7 @@ class Model:
             raise ValueError("only models without a normalization map, with white space marks and byte fallback, are read")
         self.unknown = self.kinds.index(UNKNOWN)
         usual = [i for i, k in enumerate(self.kinds) if k == NORMAL]
-        if any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in usual):
+        if any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", self.pieces[i], re.S) for i in usual):
             raise ValueError("a piece lies across words")
         if any(k == 4 for k in self.kinds):
             raise ValueError("user-defined pieces aren't read")
@@ -84,11 +88,18 @@ class Model:
         self.longest = max(map(len, self.id))
         points = [np.array(list(map(ord, p)), np.uint64) for p in self.id]
         keys = np.array([_hash(p) for p in points], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.fromiter(self.id.values(), np.int64)[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
+        if len(set(keys.tolist())) < len(keys):
             raise ValueError("two pieces share a hash")
+        self.places, self.key_ids = Places(keys), np.fromiter(self.id.values(), np.int64)
         self.key_scores = np.array(self.scores)[self.key_ids]
+        self.of_char = -1 - np.arange(0x110000)  # the piece of a character, or a negative number that names it
+        for piece, i in self.id.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        self.text_of = [p if k == NORMAL else "" for p, k in zip(self.pieces, self.kinds)]
+        self.is_byte = np.zeros(len(self.pieces), bool)
+        self.is_byte[list(self.bytes.values())] = True
+        self.byte_of = {i: b for b, i in self.bytes.items()}
         if self.bpe:
             left, right, rank, result = [], [], [], []
             for piece, i in self.id.items():
@@ -97,7 +108,7 @@ class Model:
                     if a is not None and b is not None:
                         left.append(a), right.append(b), rank.append(-self.scores[i]), result.append(i)
             self.merges = Merges(left, right, np.array(rank).astype(np.int64), result)
-        self.known: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.known: dict[tuple[bool, ...], _Known] = {}
 
     def normal(self, text: str) -> str:
         """The sentence of a text: white space marks, and one in front if the model asks for it."""
@@ -109,85 +120,134 @@ class Model:
 
     def encode(self, texts: list[str], viterbi: bool | None = None) -> list[np.ndarray]:
         """The piece ids of each text; by Viterbi for Unigram models (or where asked), else by merging."""
-        viterbi = not self.bpe if viterbi is None else viterbi
-        out: list[np.ndarray] = []
+        return self.encode_ways(texts, (not self.bpe if viterbi is None else viterbi,))[0]
+
+    def encode_ways(self, texts: list[str], ways: tuple[bool, ...]) -> list[list[np.ndarray]]:
+        """For each way (True: Viterbi), the piece ids of each text; the texts are split and looked up once."""
+        out: list[list[np.ndarray]] = [[] for _ in ways]
         for at in range(0, len(texts), 256):
             split = [WORDS.findall(self.normal(t)) for t in texts[at : at + 256]]
-            if len(self.known) > CACHE:
-                self.known = {}
-            new = [w for w in set().union(*split) if (w, viterbi) not in self.known]
-            by: dict[int, list[str]] = {}
-            for w in new:
-                by.setdefault(len(w), []).append(w)
-            for n, words in by.items() if viterbi else [(0, new)] if new else []:
-                for i in range(0, len(words), step := max(1, 2_000_000 // max(n * 16, 1)) if viterbi else 20_000):
-                    part = words[i : i + step]
-                    self.known.update(zip(((w, viterbi) for w in part), self._viterbi(part) if viterbi else self._merge(part)))
-            for words in split:
-                out.append(np.fromiter((i for w in words for i in self.known[w, viterbi]), np.int64))
+            if ways not in self.known or self.known[ways].size() > CACHE:
+                self.known[ways] = _Known(len(ways))
+            known, words = self.known[ways], list(chain.from_iterable(split))
+            new = sorted(set(words).difference(known.index), key=len)
+            known.add(new, [[self._viterbi(w) if way else self._merge(w) for w in self._batches(new)] for way in ways])
+            ends = np.cumsum([len(w) for w in split])
+            for got, (ids, n) in zip(out, known.get(words)):
+                got += np.split(ids, np.r_[0, np.cumsum(n)][ends][:-1])
         return out
 
-    def _fallback(self, chars: str) -> list[int]:
-        return [self.bytes[b] for b in chars.encode()]
+    @staticmethod
+    def _batches(words: list[str]):
+        """Runs of words in the order of their lengths: equal ones, over SHORT nearly equal ones, of some STEP characters."""
+        sizes, at = np.fromiter(map(len, words), np.int64), 0
+        while at < len(words):
+            most = int(sizes[at]) if sizes[at] <= SHORT else int(sizes[at] * 1.25)
+            end = min(int(np.searchsorted(sizes, most, "right")), at + max(1, STEP // most))
+            yield words[at:end]
+            at = end
+
+    def _bytes(self, ids: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each of n rows has); a negative id, an unknown character, becomes its bytes."""
+        if (ids < 0).any():
+            many = np.ones(len(ids), np.int64)
+            odd = {int(c): [self.bytes[b] for b in chr(-1 - c).encode()] for c in np.unique(ids[ids < 0])}
+            for c, own in odd.items():
+                many[ids == c] = len(own)
+            start = np.cumsum(many) - many
+            wide, row = np.repeat(ids, many), np.repeat(row, many)
+            for c, own in odd.items():
+                at = start[ids == c]
+                for k, b in enumerate(own):
+                    wide[at + k] = b
+            ids = wide
+        return ids, np.bincount(row, minlength=n)
 
-    def _viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Words of one length."""
-        n, length = len(words), len(words[0])
-        x = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, length).astype(np.uint64)
-        best, back, piece = np.full((n, length + 1), -np.inf), np.zeros((n, length + 1), np.int64), np.full((n, length + 1), -1)
-        best[:, 0] = 0
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of about one length, the longest last."""
+        n, length, own = len(words), len(words[-1]), np.array([len(w) for w in words])
+        x = np.zeros((n, length), np.uint64)
+        x[np.arange(length) < own[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        most = min(self.longest, length)
+        gain = np.full((length + 1, most, n), -np.inf)  # by end and size - 1
+        name = np.full((length + 1, most, n), -1, np.int32)
+        h, power = np.zeros((n, length), np.uint64), np.ones(1, np.uint64)
+        for size in range(1, most + 1):
+            h[:, size - 1 :] += (x[:, : length - size + 1] + np.uint64(1)) * power
+            power = power * BASE
+            found = self.places.find(h[:, size - 1 :].ravel()).reshape(n, -1)
+            row, end = np.nonzero(found >= 0)
+            at = found[row, end]
+            end += size
+            if size == 1:
+                gain[1:, 0] = self.floor
+            gain[end, size - 1, row], name[end, size - 1, row] = self.key_scores[at], self.key_ids[at]
+        best, back = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), np.int32)
+        best[0] = 0
+        every = np.arange(n)
         for end in range(1, length + 1):
-            h = np.zeros(n, np.uint64)
-            power = np.ones(1, np.uint64)
-            for size in range(1, min(self.longest, end) + 1):
-                h = h + (x[:, end - size] + np.uint64(1)) * power
-                power = power * BASE
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                found = self.keys[at] == h
-                score = best[:, end - size] + np.where(found, self.key_scores[at], self.floor if size == 1 else -np.inf)
-                better = score > best[:, end]
-                best[better, end], back[better, end] = score[better], end - size
-                piece[better, end] = np.where(found, self.key_ids[at], -1)[better]
-        out = []
-        for i, w in enumerate(words):
-            ids, end = [], length
-            while end:
-                start, p = int(back[i, end]), int(piece[i, end])
-                ids.append([p] if p >= 0 else self._fallback(w[start:end]))
-                end = start
-            out.append(tuple(i for part in reversed(ids) for i in part))
-        return out
+            sizes = min(most, end)
+            score = best[end - sizes : end][::-1] + gain[end, :sizes]
+            pick = score.argmax(axis=0)  # the first, so the shortest piece, of equal ones
+            best[end], back[end] = score[pick, every], pick
+        end, rows, ends, ids = own.copy(), [], [], []
+        live = np.flatnonzero(end > 0)
+        while len(live):
+            e = end[live]
+            pick = back[e, live]
+            piece = name[e, pick, live].astype(np.int64)
+            rows.append(live), ends.append(e), ids.append(np.where(piece >= 0, piece, -1 - x[live, e - 1].astype(np.int64)))
+            end[live] = e - pick - 1
+            live = live[end[live] > 0]
+        rows, ends, ids = (np.concatenate(v) for v in (rows, ends, ids))
+        order = np.lexsort((ends, rows))
+        return self._bytes(ids[order], rows[order], n)
 
-    def _merge(self, words: list[str]) -> list[tuple[int, ...]]:
-        chars = [c for w in words for c in w]
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         seq = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        start = np.array([self.id.get(c, -1 - ord(c)) for c in chars], np.int64)  # unknown characters never merge
-        symbols, seq = self.merges.merge(start, seq)
-        cuts = np.searchsorted(seq, np.arange(len(words) + 1))
-        out = []
-        for a, b in zip(cuts, cuts[1:]):
-            out.append(tuple(i for s in symbols[a:b].tolist() for i in ([s] if s >= 0 else self._fallback(chr(-1 - s)))))
-        return out
+        return self._bytes(*self.merges.merge(self.of_char[points], seq), len(words))  # unknown characters never merge
 
     def decode(self, ids) -> str:
         """The text of piece ids; bytes that are no UTF-8 become U+FFFD."""
-        out, held = [], bytearray()
-        value = {i: b for b, i in self.bytes.items()}
-        for i in ids:
-            i = int(i)
-            if i in value:
-                held.append(value[i])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            if self.kinds[i] == NORMAL:
-                out.append(self.pieces[i])
-        out.append(held.decode(errors="replace"))
+        ids = np.asarray(ids, np.int64)
+        kind = self.is_byte[ids]
+        cuts = [0, *(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(ids)]
+        flat, out = ids.tolist(), []
+        for a, b in zip(cuts, cuts[1:]):
+            out.append(bytes(map(self.byte_of.__getitem__, flat[a:b])).decode(errors="replace") if a < b and kind[a] else "".join(map(self.text_of.__getitem__, flat[a:b])))
         text = "".join(out).replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class _Known:
+    """Words with their pieces, end to end in one array for each way of splitting."""
+
+    def __init__(self, ways: int):
+        self.index: dict[str, int] = {}
+        self.kept = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(ways)]  # ids, counts, starts
+
+    def size(self) -> int:
+        return len(self.index) + sum(len(ids) for ids, _, _ in self.kept)
+
+    def add(self, words: list[str], found: list[list[tuple[np.ndarray, np.ndarray]]]) -> None:
+        """found: for each way, (ids, how many each word has) of consecutive runs of the words."""
+        if not words:
+            return
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        for k, (runs, (ids, n, start)) in enumerate(zip(found, self.kept)):
+            more = np.concatenate([c for _, c in runs])
+            self.kept[k] = np.concatenate([ids, *(i.astype(np.int32) for i, _ in runs)]), np.concatenate([n, more]), np.concatenate([start, len(ids) + np.cumsum(more) - more])
+
+    def get(self, words: list[str]):
+        """For each way: the pieces of all words, how many each has."""
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        for ids, counts, start in self.kept:
+            n = counts[at]
+            before = np.cumsum(n) - n
+            yield ids[np.repeat(start[at] - before, n) + np.arange(n.sum())].astype(np.int64), n
+
+
 def _hash(points: np.ndarray) -> np.uint64:
     h, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
     for c in points[::-1]:
@@ -219,8 +279,9 @@ def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataF
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                own, best = m.encode(texts), m.encode(texts, viterbi=True)
-                cols = [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([len(x) for x in best], pa.int64()), pa.array([float(scores[x].sum()) for x in best]), pa.array([xxhash.xxh64_hexdigest(x.astype("<i4").tobytes()) for x in own]), pa.array([m.decode(x) == (m.normal(t).replace(MARK, " ")[m.prefix :]) for x, t in zip(own, texts)])]
+                own, best = m.encode_ways(texts, (not m.bpe, True))
+                want = [m.normal(t).replace(MARK, " ")[m.prefix :] for t in texts]
+                cols = [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([len(x) for x in best], pa.int64()), pa.array([float(scores[x].sum()) for x in best]), pa.array([xxhash.xxh64_hexdigest(x.astype("<i4").tobytes()) for x in own]), pa.array([m.decode(x) == w for x, w in zip(own, want)])]
                 if keep_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
