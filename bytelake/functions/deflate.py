@@ -1,6 +1,7 @@
 """Deflate streams: a walker over blocks for analysis, finders of block starts, and decoding from any block start.
 
-Decoding uses zlib alone. From an unknown history a chunk is decoded with three made-up dictionaries; where the results
+Decoding uses zlib alone. zlib starts at a whole byte; for a block that starts at another bit, empty blocks of as many bits
+modulo 8 go before it, so that the rest of the data keeps its place (stored blocks are aligned to bytes). From an unknown history a chunk is decoded with three made-up dictionaries; where the results
 differ a byte is a reference into the history, and the three bytes say to which place. `Planes` holds that as arrays:
 the literal bytes, and for each byte the place in the 32 KiB window or none.
 """
@@ -191,14 +192,27 @@ def walk(data: bytes, at: int = 0, history: int = 0):
 # Finding block starts.
 
 
-def shifted(data: bytes, bits: int) -> bytes:
-    """The data from its bit `bits` (0 to 7) on."""
+def _empty_blocks() -> list[str]:
+    """For each number of bits 0 to 7, empty blocks of as many bits modulo 8, in the order of the stream."""
+    low_first = lambda value, n: f"{value:0{n}b}"[::-1]
+    fixed = "0" + low_first(1, 2) + "0" * 7  # 10 bits: a header and the end of the block
+    lengths = {18: 1, 0: 2, 1: 2}
+    zeros = lambda n: "0" + low_first(n - 11, 7)  # noqa: E731  the code of 18
+    dynamic = "0" + low_first(2, 2) + low_first(0, 5) + low_first(0, 5) + low_first(15, 4) + "".join(low_first(lengths.get(k, 0), 3) for k in ORDER) + zeros(138) + zeros(118) + "11" + "10" + "0"
+    assert len(dynamic) % 2 == 1
+    return [dynamic * (r % 2) + fixed * ((r - r % 2 * len(dynamic)) % 8 // 2) for r in range(8)]
+
+
+_EMPTY = _empty_blocks()
+
+
+def primed(data: bytes, at: int, stop: int) -> tuple[bytes, int]:
+    """(bytes that zlib decodes from the block at bit `at` on, up to byte `stop`; whole bytes in front that aren't of the data)."""
+    bits, first = _EMPTY[at & 7], at >> 3
     if not bits:
-        return data
-    a = np.frombuffer(data, np.uint8)
-    out = a >> np.uint8(bits)
-    out[:-1] |= a[1:] << np.uint8(8 - bits)
-    return out.tobytes()
+        return data[first:stop], 0
+    n = int(bits[::-1], 2) | (data[first] >> (at & 7) << (at & 7) if first < len(data) else 0) << (len(bits) & ~7)
+    return n.to_bytes((len(bits) >> 3) + 1, "little") + data[first + 1 : stop], len(bits) >> 3
 
 
 def dynamic_candidates(data: bytes, start: int, stop: int) -> np.ndarray:
@@ -244,7 +258,7 @@ def starts_block(data: bytes, at: int, most: int = 1 << 17) -> bool:
     """Whether zlib decodes without an error from bit `at` on, over some `most` bytes of input."""
     d = zlib.decompressobj(-15, zdict=bytes(WINDOW))
     try:
-        out = len(d.decompress(shifted(data[at >> 3 : (at >> 3) + most], at & 7), 1 << 22))
+        out = len(d.decompress(primed(data, at, (at >> 3) + most)[0], 1 << 22))
     except zlib.error:
         return False
     return out > 0 or d.eof
@@ -297,7 +311,7 @@ def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw:
         return out
     while True:
         d = zlib.decompressobj(-15, zdict=history) if history else zlib.decompressobj(-15)
-        body = shifted(data[at >> 3 : end], at & 7)
+        body, front = primed(data, at, end)
         got = d.decompress(body) if body else b""
         if not d.eof:
             if last and not (at == start and not body):
@@ -307,19 +321,13 @@ def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw:
         if raw:
             out.append(Piece(got, fresh, True, zlib.crc32(got), len(got)))
             return out
-        used = (at >> 3) + len(body) - len(d.unused_data)
-        options = [used] if not at & 7 else [used, used + 1]
-        known = lambda f: fresh and gzip_footer(data, f) == (zlib.crc32(got), len(got) & 0xFFFFFFFF)
-        follows = lambda f: f + 8 == len(data) or gzip_header(data, f + 8) is not None or f + 8 < len(data) and not any(data[f + 8 : f + 64])
-        foot = next((f for f in options if gzip_footer(data, f) and known(f)), None) or next((f for f in options if gzip_footer(data, f) and follows(f)), options[0])
+        foot = (at >> 3) + len(body) - front - len(d.unused_data)
         said = gzip_footer(data, foot)
         if said is None:
             raise Corrupt("the archive ends before its footer")
         out.append(Piece(got, fresh, True, *said))
         head = gzip_header(data, foot + 8)
-        if head is None:
-            if foot + 8 < len(data) and any(data[foot + 8 : end]):
-                pass  # what follows the last member is no part of it
+        if head is None:  # what follows the last member is no part of the archive
             return out
         at, history, fresh = 8 * head.end, b"", True
         if at >= stop and not last:
