@@ -334,7 +334,28 @@ def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw:
             return out
 
 
-DICTIONARIES = [bytes(range(256)) * 128, bytes(i >> 8 for i in range(WINDOW)), bytes(255 - (i & 255) for i in range(WINDOW))]
+# The places 0..32767 as pairs of bytes that differ: the lower byte of the place, and that plus one plus the upper byte.
+DICTIONARIES = [bytes(range(256)) * 128, bytes((i + 1 + (i >> 8)) & 255 for i in range(WINDOW))]
+
+
+def places(data: bytes, start: int, stop: int, first: bytes, step: int = 1 << 16) -> bytes:
+    """What the second dictionary gives for the output `first` of the first one, up to where they agree for good."""
+    d = zlib.decompressobj(-15, zdict=DICTIONARIES[1])
+    body, out, alike = primed(data, start, -(-stop // 8))[0], bytearray(), 0
+    for at in range(0, len(body), step):
+        got = d.decompress(body[at : at + step])
+        own = first[len(out) : len(out) + len(got)]
+        if len(own) < len(got):
+            raise Corrupt("two decodings differ in length")
+        out += got
+        if own == got:
+            alike += len(got)
+        else:
+            differ = np.flatnonzero(np.frombuffer(own, np.uint8) != np.frombuffer(got, np.uint8))
+            alike = len(got) - 1 - int(differ[-1])
+        if alike >= WINDOW or d.eof:
+            break
+    return bytes(out)
 
 
 @dataclass
@@ -345,10 +366,13 @@ class Planes:
     place: np.ndarray
 
     @classmethod
-    def of(cls, three: list[bytes]) -> Planes:
-        a, b, c = (np.frombuffer(x, np.uint8) for x in three)
-        place = np.where(a != c, b.astype(np.int32) << 8 | a, -1)
-        return cls(a, place.astype(np.int32))
+    def of(cls, first: bytes, second: bytes) -> Planes:
+        """`second` may end where the two agree from there on."""
+        a, b = np.frombuffer(first, np.uint8), np.frombuffer(second, np.uint8)
+        place = np.full(len(a), -1, np.int16)
+        low = a[: len(b)]
+        place[: len(b)] = np.where(low != b, (b - low - np.uint8(1)).astype(np.int16) << 8 | low, -1)
+        return cls(a, place)
 
     def tail(self) -> Planes:
         return Planes(self.literal[-WINDOW:], self.place[-WINDOW:])
@@ -363,7 +387,9 @@ class Planes:
 
 def used_places(place: np.ndarray) -> np.ndarray:
     """The places of the window that output refers to, ascending."""
-    return np.unique(place[place >= 0])
+    seen = np.zeros(WINDOW, bool)
+    seen[place[place >= 0]] = True
+    return np.flatnonzero(seen)
 
 
 def next_window(window: bytes, tail: bytes) -> bytes:

@@ -78,9 +78,14 @@ def _chunks(starts: DataFrame) -> DataFrame:
     return starts.select("path", "length", "cell", (F.row_number().over(w) - 1).cast("long").alias("chunk_no"), "start_bits", F.coalesce(F.lead("start_bits").over(w), F.col("length") * 8).alias("stop_bits"), F.lead("start_bits").over(w).isNull().alias("is_last"), F.max("file_type").over(whole).isin("ZLIB", "DEFLATE").alias("raw"))
 
 
-def _pieces(row: dict, history: bytes) -> list[deflate.Piece]:
+def _own(row: dict) -> tuple[int, bytes]:
+    """(first byte, bytes) of a chunk in its archive."""
     base = row["start_bits"] >> 3
-    data = read_range(row["path"], base, row["length"] if row["is_last"] else -(-row["stop_bits"] // 8))
+    return base, read_range(row["path"], base, row["length"] if row["is_last"] else -(-row["stop_bits"] // 8))
+
+
+def _pieces(row: dict, history: bytes) -> list[deflate.Piece]:
+    base, data = _own(row)
     return deflate.inflate(data, row["start_bits"] - 8 * base, row["stop_bits"] - 8 * base, history, row["is_last"], row["raw"])
 
 
@@ -92,25 +97,22 @@ def _tails(chunks: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                first = row["chunk_no"] == 0
+                out = {"path": row["path"], "chunk_no": row["chunk_no"], "cell": row["cell"], "bad": False}
                 try:
-                    three = [_pieces(row, b"")] if first else [_pieces(row, d) for d in deflate.DICTIONARIES]
-                    bad = len({tuple(len(p.data) for p in x) for x in three}) > 1
+                    base, data = _own(row)
+                    start, stop = row["start_bits"] - 8 * base, row["stop_bits"] - 8 * base
+                    history = deflate.DICTIONARIES[0] if row["chunk_no"] else b""
+                    pieces = deflate.inflate(data, start, stop, history, row["is_last"], row["raw"])
+                    second = deflate.places(data, start, stop, pieces[0].data) if history and pieces else b""
                 except (zlib.error, deflate.Corrupt):
-                    bad = True
-                out = {"path": row["path"], "chunk_no": row["chunk_no"], "cell": row["cell"], "bad": bad}
-                if not bad and three[0]:
-                    last = three[0][-1]
-                    fresh = last.fresh
-                    used = np.zeros(deflate.WINDOW, bool)
-                    if not first:
-                        used[deflate.used_places(deflate.Planes.of([x[0].data for x in three]).place)] = True
-                    out |= {"ends": last.end, "fresh": fresh, "used": np.packbits(used).tobytes()}
-                    if fresh:
-                        out |= {"literal": last.data[-deflate.WINDOW :], "place": b""}
-                    else:
-                        t = deflate.Planes.of([x[-1].data for x in three]).tail()
-                        out |= {"literal": t.literal.tobytes(), "place": t.place.astype("<i2").tobytes()}
+                    out["bad"], pieces = True, []
+                if pieces:
+                    last, used = pieces[-1], np.zeros(deflate.WINDOW, bool)
+                    first = deflate.Planes.of(pieces[0].data, second)
+                    used[deflate.used_places(first.place)] = True
+                    tail = deflate.Planes.of(last.data, b"").tail() if len(pieces) > 1 else first.tail()
+                    known = not tail.markers()
+                    out |= {"ends": last.end, "fresh": last.fresh, "used": np.packbits(used).tobytes(), "literal": tail.literal.tobytes(), "place": b"" if known else tail.place.astype("<i2").tobytes()}
                 yield pa.RecordBatch.from_pylist([out], schema)
 
     return chunks.mapInArrow(run, "path string, chunk_no long, cell long, bad boolean, ends boolean, fresh boolean, literal binary, place binary, used binary")
@@ -140,8 +142,10 @@ def _windows(tails: DataFrame, thin: bool = False) -> DataFrame:
                 elif r["fresh"]:
                     window = r["literal"]
                 else:
-                    t = deflate.Planes(np.frombuffer(r["literal"], np.uint8), np.frombuffer(r["place"], "<i2").astype(np.int32))
-                    window = deflate.next_window(window, t.resolve(window))
+                    tail = r["literal"]
+                    if r["place"]:
+                        tail = deflate.Planes(np.frombuffer(tail, np.uint8), np.frombuffer(r["place"], "<i2")).resolve(window)
+                    window = deflate.next_window(window, tail)
                 if len(out) >= 64:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
@@ -178,8 +182,7 @@ def planned(files: DataFrame, spacing: int = SPACING, rounds: int = 8, thin: boo
     what their chunks refer to."""
     starts = cut(block_starts(files, spacing))
     for _ in range(rounds):
-        n = starts.count()
-        chunks = cut(_chunks(starts))
+        n, chunks = starts.count(), _chunks(starts)
         tails = cut(_tails(_dealt(chunks, n, "path", "chunk_no")))
         bad = tails.where("bad").select("path", "cell")
         if not bad.take(1):

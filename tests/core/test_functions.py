@@ -151,8 +151,10 @@ def test_planes_resolve():
     data = prose(600_000, 5)
     raw = zlib.compress(data, 6, -15)
     for b in list(deflate.walk(raw))[1:-1:3]:
-        three = [b"".join(p.data for p in deflate.inflate(raw, b.start, 8 * len(raw), d, True, True)) for d in deflate.DICTIONARIES]
-        planes = deflate.Planes.of(three)
+        one, two = (b"".join(p.data for p in deflate.inflate(raw, b.start, 8 * len(raw), d, True, True)) for d in deflate.DICTIONARIES)
+        planes = deflate.Planes.of(one, two)
+        short = deflate.places(raw, b.start, 8 * len(raw), one, 5000)
+        assert two.startswith(short) and np.array_equal(deflate.Planes.of(one, short).place, planes.place)
         window = data[max(0, b.decoded - deflate.WINDOW) : b.decoded]
         assert planes.resolve(window) == data[b.decoded :] and planes.markers() >= len(deflate.used_places(planes.place)) > 0
         used = np.packbits(np.isin(np.arange(deflate.WINDOW), deflate.used_places(planes.place))).tobytes()
