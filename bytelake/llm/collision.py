@@ -18,6 +18,7 @@ from bytelake.llm.blocks import block_search, top, vectors
 STRIPE, BATCH = 32_768, 1024
 PROJECTIONS, THRESHOLD, RADIUS, RATIO = 65, 0.7, 0.8, 1.12
 VERIFY = 0.07  #: share of a block, on top of 8 k, whose verification ends the widening
+SCOUTS = 8  #: a block's first queries begin at RADIUS; the others one step before the least radius that those ended at
 
 
 def inner(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -46,6 +47,7 @@ class CollisionIndex:
         p = self.axes @ np.c_[v / self.norm, more].T
         self.order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, self.order, axis=1)
+        self.ended: list[float] = []
 
     def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, inner products) of the best k found but for rows with the id `own`."""
@@ -53,17 +55,23 @@ class CollisionIndex:
         other = np.ones(n, bool) if own is None else self.ids != own
         enough = min(int(other.sum()), 8 * k + int(VERIFY * n))
         centre = self.axes @ np.r_[q / max(np.sqrt(q @ q), 1e-300), 0.0]
-        counts, radius = np.zeros(n, np.int64), RADIUS
+        counts, radius = np.zeros(n, np.int64), RADIUS if len(self.ended) < SCOUTS else max(RADIUS, min(self.ended) / RATIO)
         low = high = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
         while True:
             a, b = np.array([s.searchsorted((c - radius, c + radius)) for s, c in zip(self.sorted, centre.tolist())]).T
-            new = np.concatenate([x for o, a0, l0, h0, b0 in zip(self.order, a, low, high, b) for x in (o[a0:l0], o[h0:b0])])
-            counts += np.bincount(new, minlength=n)
+            if (low == high).all() and 2 * (b - a).sum() > n * PROJECTIONS:  # most collide at once: count those that don't
+                rest = np.concatenate([x for o, a0, b0 in zip(self.order, a, b) for x in (o[:a0], o[b0:])])
+                counts = PROJECTIONS - np.bincount(rest, minlength=n)
+            else:
+                new = np.concatenate([x for o, a0, l0, h0, b0 in zip(self.order, a, low, high, b) for x in (o[a0:l0], o[h0:b0])])
+                counts += np.bincount(new, minlength=n)
             low, high = a, b
             found = np.flatnonzero((counts >= need) & other)
             if len(found) >= enough or (a == 0).all() and (b == n).all():
                 break
             radius *= RATIO
+        if len(self.ended) < SCOUTS:
+            self.ended.append(radius)
         rough = self.v[found] @ q
         if len(found) > 4 * k:  # sums in another order differ by less than this, so none of the best is lost
             bar = np.partition(rough, len(rough) - k)[-k] - 1e-9 * max(1.0, self.norm) * max(1.0, np.sqrt(q @ q))
