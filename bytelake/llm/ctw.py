@@ -285,11 +285,10 @@ def blocked(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 class Table:
-    """Values by key: open addressing in numpy arrays, probed for many keys at once."""
+    """Values by key: open addressing in numpy arrays, probed for many keys at once. A key may be given more than once, with one value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        keys, first = np.unique(keys, return_index=True)
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.bits = max(4, int(4 * len(keys) // 3 + 1).bit_length())
         self.keys, self.values = np.full(1 << self.bits, FREE, np.int64), np.zeros(1 << self.bits)
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
@@ -297,7 +296,7 @@ class Table:
             self.keys[slot[free]] = keys[free]
             todo = todo[self.keys[slot[todo]] != keys[todo]]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-        self.values[slot] = values[first]
+        self.values[slot] = values
 
     def _slot(self, keys):
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -315,8 +314,10 @@ class Table:
 
 def _score(docs: pa.Table, found: pa.Table, depth: int, n_all: int, distinct: int) -> pa.Table:
     keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
-    table, counts = Table(keys[keys >= 0], values[keys >= 0]), Table(keys[keys < 0], values[keys < 0])
+    grams = keys >= 0
+    table, counts = Table(keys[grams], values[grams]), Table(keys[~grams], values[~grams])
     n = docs.num_rows
+    del keys, values, grams, found
     base, score, tokens, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
     size = np.fromiter((len((t.as_py() or "").encode()) for t in docs.column("text")), np.int64, n)
     for i, grams, first, words, first_word in buffers((t.as_py() for t in docs.column("text")), depth):
