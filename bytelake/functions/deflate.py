@@ -254,6 +254,15 @@ def stored_candidates(data: bytes, start: int, stop: int) -> np.ndarray:
     return at[(at >= start) & (at < stop)]
 
 
+def flushed_starts(data: bytes, start: int = 0, stop: int | None = None) -> list[int]:
+    """Bytes at which blocks begin after an empty stored block, which some compressors put between the parts of theirs."""
+    out, at, stop = [], data.find(b"\0\0\xff\xff", start), len(data) if stop is None else stop
+    while 0 <= at < stop:
+        out.append(at + 4)
+        at = data.find(b"\0\0\xff\xff", at + 1)
+    return out
+
+
 def starts_block(data: bytes, at: int, most: int = 1 << 17) -> bool:
     """Whether zlib decodes without an error from bit `at` on, over some `most` bytes of input."""
     d = zlib.decompressobj(-15, zdict=bytes(WINDOW))

@@ -113,3 +113,13 @@ def ranges_intersect(a_low: Column, a_high: Column, b_low: Column, b_high: Colum
 def newline_count(data: Column, newline: str = "\n") -> Column:
     """How many times a one-byte character stands in a string."""
     return (F.length(data) - F.length(F.replace(data, F.lit(newline), F.lit("")))).cast("long")
+
+
+def type_by_magic(content: Column) -> Column:
+    """GZIP, BGZF, ZLIB or BZIP2 by the first bytes alone, without Python; null for anything else, raw deflate included."""
+    head = F.hex(F.substring(content, 1, 18))
+    first = F.conv(F.substring(head, 1, 4), 16, 10).cast("int")
+    gzip = F.startswith(head, F.lit("1F8B08"))
+    bgzf = gzip & (F.substring(head, 21, 12) == "060042430200") & (F.conv(F.substring(head, 7, 2), 16, 10).cast("int").bitwiseAND(4) != 0)
+    zlib = (F.substring(head, 2, 1) == "8") & (F.substring(head, 1, 1) <= "7") & (first % 31 == 0) & (first.bitwiseAND(32) == 0)
+    return F.when(bgzf, "BGZF").when(gzip, "GZIP").when(zlib, "ZLIB").when(F.substring(head, 1, 8).between("425A6831", "425A6839"), "BZIP2")

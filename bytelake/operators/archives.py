@@ -132,6 +132,20 @@ def blocks(archives: DataFrame) -> DataFrame:
     return _flat(archives, _blocks, BLOCKS, 64)
 
 
+def stopping_points(archives: DataFrame) -> DataFrame:
+    """(path, bits, decoded_offset, point): where headers, blocks and streams of each archive end, in the order that a reader meets them."""
+    m = members(archives, strict=False)
+    b = blocks(archives)
+    row = lambda df, bits, at, name: df.select("path", F.col(bits).alias("bits") if isinstance(bits, str) else bits.alias("bits"), at.alias("decoded_offset"), F.lit(name).alias("point"))
+    end = F.col("decoded_offset") + F.col("decoded_size")
+    return (
+        row(m, "data_bits", F.col("decoded_offset"), "END_OF_STREAM_HEADER")
+        .unionByName(row(m, "end_bits", end, "END_OF_STREAM"))
+        .unionByName(row(b, "header_end_bits", F.col("decoded_offset"), "END_OF_BLOCK_HEADER"))
+        .unionByName(row(b, F.col("encoded_bits") + F.col("encoded_size_bits"), end, "END_OF_BLOCK"))
+    )
+
+
 def decode_bytes(data: bytes) -> bytes:
     """All decoded bytes of an archive of any format."""
     found = formats.detect(data[: 1 << 16], data[-28:])

@@ -268,6 +268,32 @@ def bzip2_starts(files: DataFrame, spacing: int = SPACING) -> DataFrame:
     return cells(files, spacing).mapInArrow(run, "path string, length long, start_bits long, is_end boolean")
 
 
+def checked_offsets(offsets: DataFrame) -> DataFrame:
+    """`offsets` (path, start_bits, ...) with `valid`: whether a bzip2 block or end of a stream begins there."""
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for path, bit in zip(b.column("path").to_pylist(), b.column("start_bits").to_pylist()):
+                raw = read_range(path, bit >> 3, (bit >> 3) + 7)
+                magic = (int.from_bytes(raw.ljust(7, b"\0"), "big") >> (8 - (bit & 7)) & (1 << 48) - 1).to_bytes(6, "big")
+                ok.append(len(raw) * 8 >= (bit & 7) + 48 and magic in (BZIP2_BLOCK, BZIP2_END))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "valid"])
+
+    from pyspark.sql import types as T
+
+    return offsets.mapInArrow(run, T.StructType([*offsets.schema.fields, T.StructField("valid", T.BooleanType())]))
+
+
+def released(index: DataFrame, bits: int) -> DataFrame:
+    """An index without the windows before a bit of the archive, for reading on from there only."""
+    return index.withColumn("window", F.when(F.col("start_bits") >= bits, F.col("window")))
+
+
+def available_cores(spark) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def bzip2_block(data: bytes, start: int, stop: int) -> bytes:
     """The output of the block in bits [start, stop), made a stream of its own: one block's checksum is its stream's."""
     n = stop - start

@@ -56,6 +56,19 @@ def file_types(spark: SparkSession, sf: str) -> DataFrame:
     return archives.file_types(reduce(DataFrame.unionByName, blobs)).select("path", "file_type", "first_block_bits")
 
 
+@query("select cast(doc_id as varchar) path, ['GZIP', 'BGZF', 'ZLIB', 'BZIP2'][(doc_id % 4 + 1)::int] file_type from documents")
+def file_types_by_magic(spark: SparkSession, sf: str) -> DataFrame:
+    rows = document_bytes(spark, sf)
+    blobs = [archives.encoded(rows.where(F.col("doc_id") % 4 == k), c) for k, c in enumerate(CODECS[:4])]
+    return reduce(DataFrame.unionByName, blobs).select("path", scalars.type_by_magic(F.col("content")).alias("file_type"))
+
+
+@query(f"""select cast(doc_id as varchar) path, 'END_OF_STREAM' point, {BYTES}::bigint decoded_offset from documents union all
+select cast(doc_id as varchar) path, 'END_OF_STREAM_HEADER' point, 0::bigint decoded_offset from documents""")
+def stopping_points(spark: SparkSession, sf: str) -> DataFrame:
+    return archives.stopping_points(document_blobs(spark, sf)).where("point like 'END_OF_STREAM%'").select("path", "point", "decoded_offset")
+
+
 @query(f"""select cast(doc_id as varchar) path, 0 member_no, 0::bigint header_bits, (8 * (11 + length(cast(doc_id as varchar))))::bigint data_bits, cast(doc_id as varchar) file_name,
 {BYTES}::bigint decoded_size, {BYTES}::bigint isize, 'Unix' system, 'none' extra_flags, true valid from documents""")
 def gzip_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +313,8 @@ select name, ordinal, begin_at "offset", (end_at - begin_at)::bigint size, md5(s
 def read_ranges(spark: SparkSession, sf: str) -> DataFrame:
     files = _order_archives(spark, sf)
     index = parallel.build_index(files, 16 << 10)
-    wanted = files.select("path").crossJoin(F.broadcast(ranges.ranges_frame(spark, EXPRESSION)))  # ten ranges for each archive
+    asked = [F.struct(F.lit(i).alias("ordinal"), F.lit(r.offset).cast("long").alias("offset"), F.lit(r.size).cast("long").alias("size"), F.lit(r.offset_is_line).alias("offset_is_line"), F.lit(r.size_is_line).alias("size_is_line")) for i, r in enumerate(ranges.parse_ranges(EXPRESSION))]
+    wanted = files.select("path", F.inline(F.array(*asked)))
     parts = selection.read_ranges(index, wanted)
     whole = parts.groupBy("path", "ordinal").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("l"))
     out = whole.select("path", "ordinal", F.element_at("l", 1)["at"].alias("offset"), F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("d"))
@@ -388,6 +402,27 @@ def index_lines(spark: SparkSession, sf: str) -> DataFrame:
     return selection.total_bytes(index).join(selection.total_newlines(index), "path").join(equal, "path").join(files, "path").select(F.col("name").cast("long").alias("name"), "n_bytes", "n_newlines", "lines_equal")
 
 
+@query("select (doc_id // 2000)::bigint as name, true same, true packs from documents group by 1")
+def packed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    files = _document_archives(spark, sf, "gzip")
+    index = parallel.build_index(files, 64 << 10)
+    packed = cut(index_files.packed_windows(index))
+    back = index_files.unpacked_windows(packed).select("path", "chunk_no", F.col("window").alias("back"))
+    rows = index.join(back, ["path", "chunk_no"]).join(packed.select("path", "chunk_no", F.col("window").alias("packed")), ["path", "chunk_no"])
+    found = rows.groupBy("path").agg(F.bool_and(F.col("back") == F.col("window")).alias("same"), (F.sum(F.octet_length("packed")) <= F.sum(F.octet_length("window"))).alias("packs"))
+    return found.join(files, "path").select(F.col("name").cast("long").alias("name"), "same", "packs")
+
+
+@query("select (doc_id // 2000)::bigint as name, 0::bigint wrong, true found_wrong from documents group by 1")
+def checked_bzip2_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every found start of a bzip2 block is one; a bit further there is none."""
+    files = _document_archives(spark, sf, "bzip2")
+    starts = cut(parallel.bzip2_starts(files, 64 << 10))
+    good = parallel.checked_offsets(starts.select("path", "start_bits")).groupBy("path").agg(F.count_if(~F.col("valid")).alias("wrong"))
+    bad = parallel.checked_offsets(starts.select("path", (F.col("start_bits") + 1).alias("start_bits"))).groupBy("path").agg(F.bool_and(~F.col("valid")).alias("found_wrong"))
+    return good.join(bad, "path").join(files, "path").select(F.col("name").cast("long").alias("name"), "wrong", "found_wrong")
+
+
 # Scalars.
 
 
@@ -450,5 +485,6 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = files.first()["path"].rpartition("/")[0] if files.take(1) else f"{at}/none"
     members = streams.member_stream(streams.arriving(spark, f"{folder}/*.members")).select("path", "member_no", "decoded_size")
     streams.run_available(members, f"{at}/members", f"{at}/checkpoint")
-    counted = archives.counts(_contents(files)).agg(F.sum("n_newlines").alias("n_newlines"))
-    return spark.read.parquet(f"{at}/members").agg(F.count("*").alias("n_archives"), F.sum("decoded_size").alias("n_bytes")).crossJoin(counted)
+    found = spark.read.parquet(f"{at}/members").select(F.lit(1).alias("n_archives"), F.col("decoded_size").alias("n_bytes"), F.lit(0).cast("long").alias("n_newlines"))
+    lines = archives.counts(_contents(files)).select(F.lit(0).alias("n_archives"), F.lit(0).cast("long").alias("n_bytes"), "n_newlines")
+    return found.unionByName(lines).agg(*[F.sum(c).alias(c) for c in found.columns])

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from bytelake.functions import formats
 from bytelake.sources.files import read_range, write_file
@@ -277,9 +279,34 @@ def offsets_as_text(blocks: DataFrame, folder: str, decoded: bool = True) -> Non
     blocks.orderBy("start_bits").select(*cols).write.csv(folder)
 
 
-def window_codec(window, ratio, chosen: str | None = None):
-    """How a window is kept: as chosen, else ZLIB where its chunk shrank to less than half, else as it is."""
-    return F.lit(chosen) if chosen else F.when((ratio > 2) & (F.octet_length(window) > 0), "ZLIB").otherwise("NONE")
+def pack(window: bytes, codec: str) -> bytes:
+    if codec not in ("NONE", "ZLIB", "GZIP"):
+        raise ValueError(f"windows can't be kept as {codec}")
+    return window if codec == "NONE" else zlib.compress(window) if codec == "ZLIB" else formats.gzip_member(window)
+
+
+def unpack(packed: bytes, codec: str) -> bytes:
+    if codec not in ("NONE", "ZLIB", "GZIP"):
+        raise ValueError(f"windows can't be kept as {codec}")
+    return packed if codec == "NONE" else zlib.decompress(packed, 15 if codec == "ZLIB" else 31)
+
+
+def packed_windows(index: DataFrame, codec: str | None = None) -> DataFrame:
+    """An index table with `window` packed and `window_codec`: as chosen, else ZLIB where the chunk shrank to less than half, else NONE."""
+    shrunk = F.col("decoded_size") * 8 > 2 * (F.col("stop_bits") - F.col("start_bits"))
+    chosen = F.lit(codec) if codec else F.when(shrunk, "ZLIB").otherwise("NONE")
+    return index.withColumn("window_codec", chosen).withColumn("window", _packed("window", "window_codec"))
+
+
+def unpacked_windows(index: DataFrame) -> DataFrame:
+    return index.withColumn("window", _unpacked("window", "window_codec")).drop("window_codec")
+
+
+def _by_codec(f):
+    return arrow_udf(lambda w, c: pa.array([None if x is None else f(x, y) for x, y in zip(w.to_pylist(), c.to_pylist())], pa.binary()), T.BinaryType())
+
+
+_packed, _unpacked = _by_codec(pack), _by_codec(unpack)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -257,3 +257,20 @@ def test_uncertainty():
 def test_names_and_chunks():
     assert [files.output_name(x) for x in ("a.gz", "b.BZ2", "c", "d.txt", ".gz")] == ["a", "b", "c.out", "d.txt.out", ".gz.out"]
     assert parallel.chunk_size(1 << 40, 8) == 4 << 20 and parallel.chunk_size(1000, 8) == 512 << 10
+
+
+def test_flushed_starts():
+    z, parts = zlib.compressobj(6, zlib.DEFLATED, -15), []
+    for k in range(4):
+        parts.append(z.compress(prose(20_000, k)) + z.flush(zlib.Z_FULL_FLUSH))
+    raw = b"".join(parts) + z.flush()
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    assert set(ends) <= set(deflate.flushed_starts(raw)) and all(deflate.starts_block(raw, 8 * e) for e in ends)
+
+
+def test_windows_are_packed():
+    w = prose(32768)
+    for codec in ("NONE", "ZLIB", "GZIP"):
+        assert index_files.unpack(index_files.pack(w, codec), codec) == w
+    with pytest.raises(ValueError):
+        index_files.pack(w, "LZ4")
