@@ -158,31 +158,47 @@ def walk(data: bytes, at: int = 0, history: int = 0):
                 raise Corrupt("the data end within a block")
         else:
             (lit, lit_bits), (dist, dist_bits) = decoder(block.literal_lengths, one=True), decoder(block.distance_lengths, one=True)
-            b, out = Bits(data, block.header_end), 0
+            lit_mask, dist_mask, matches = (1 << lit_bits) - 1, (1 << dist_bits) - 1, block.matches
+            byte, skip = divmod(block.header_end, 8)
+            held = data[byte : byte + 32]  # bits that were read but not yet used, the next one lowest
+            bits, left, byte = int.from_bytes(held, "little") >> skip, 8 * len(held) - skip, byte + 32
+            out = literals = 0
             while True:
-                symbol, n = lit[b.peek(lit_bits)]
-                if symbol < 0:
-                    raise Corrupt("no such code")
-                b.take(n)
-                if symbol < 256:
+                if left < 64:
+                    held = data[byte : byte + 32]
+                    bits |= int.from_bytes(held, "little") << max(left, 0)
+                    left, byte = left + 8 * len(held), byte + 32
+                symbol, n = lit[bits & lit_mask]
+                bits >>= n
+                left -= n
+                if 0 <= symbol < 256:
                     out += 1
-                    block.literals += 1
+                    literals += 1
                     continue
                 if symbol == 256:
                     break
-                if symbol > 285:
-                    raise Corrupt("no such length")
-                length = LENGTH_BASE[symbol - 257] + b.take(LENGTH_EXTRA[symbol - 257])
-                symbol, n = dist[b.peek(dist_bits)]
+                if symbol < 0 or symbol > 285:
+                    raise Corrupt("no such code")
+                extra = LENGTH_EXTRA[symbol - 257]
+                length = LENGTH_BASE[symbol - 257] + (bits & (1 << extra) - 1)
+                bits >>= extra
+                symbol, n = dist[bits & dist_mask]
                 if symbol < 0 or symbol > 29:
                     raise Corrupt("no such distance")
-                b.take(n)
-                distance = DISTANCE_BASE[symbol] + b.take(DISTANCE_EXTRA[symbol])
+                more = DISTANCE_EXTRA[symbol]
+                distance = DISTANCE_BASE[symbol] + (bits >> n & (1 << more) - 1)
+                bits >>= n + more
+                left -= extra + n + more
+                if left < 0:
+                    raise Corrupt("the data end within a block")
                 if distance > decoded + out:
                     raise Corrupt("a reference before the start")
-                block.matches.append((out, length, distance))
+                matches.append((out, length, distance))
                 out += length
-            block.size, block.end = out, b.at
+            if left < 0:
+                raise Corrupt("the data end within a block")
+            block.literals, at = literals, 8 * min(byte, len(data)) - left
+            block.size, block.end = out, at
         decoded, at = decoded + block.size, block.end
         yield block
         if block.final:

@@ -40,14 +40,17 @@ def _dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(max(1, min(n, max(least, n // 4))), *keys)
 
 
-def cells(files: DataFrame, spacing: int) -> DataFrame:
-    """(path, length, cell): the grid over each file."""
-    n = files.agg(F.sum(F.ceil(F.greatest("length", F.lit(1)) / spacing))).first()[0] or 0
+def n_cells(files: DataFrame, spacing: int) -> int:
+    return files.agg(F.sum(F.ceil(F.greatest("length", F.lit(1)) / spacing))).first()[0] or 0
+
+
+def cells(files: DataFrame, spacing: int, n: int | None = None) -> DataFrame:
+    """(path, length, cell): the grid over each file, of n cells in all."""
     rows = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest("length", F.lit(1)) / spacing) - 1)).alias("cell"))
-    return _dealt(rows, n, "path", "cell")
+    return _dealt(rows, n_cells(files, spacing) if n is None else n, "path", "cell")
 
 
-def block_starts(files: DataFrame, spacing: int = SPACING) -> DataFrame:
+def block_starts(files: DataFrame, spacing: int = SPACING, n: int | None = None) -> DataFrame:
     """(path, length, cell, start_bits, file_type): the first start of a deflate block in each cell that has one."""
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("cell", pa.int64()), ("start_bits", pa.int64()), ("file_type", pa.string())])
 
@@ -68,7 +71,7 @@ def block_starts(files: DataFrame, spacing: int = SPACING) -> DataFrame:
                     out.append((path, length, cell, 8 * low + at, None))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
-    return cells(files, spacing).mapInArrow(run, "path string, length long, cell long, start_bits long, file_type string")
+    return cells(files, spacing, n).mapInArrow(run, "path string, length long, cell long, start_bits long, file_type string")
 
 
 def _chunks(starts: DataFrame) -> DataFrame:
@@ -180,16 +183,17 @@ def _scan(rows: DataFrame, data: bool) -> DataFrame:
 def planned(files: DataFrame, spacing: int = SPACING, rounds: int = 8, thin: bool = False) -> DataFrame:
     """Chunks of deflate archives with their windows, ready to scan: an index that isn't counted yet. `thin`: windows keep only
     what their chunks refer to."""
-    starts = cut(block_starts(files, spacing))
+    n = n_cells(files, spacing)  # chunks are as many at most
+    starts = cut(block_starts(files, spacing, n))
     for _ in range(rounds):
-        n, chunks = starts.count(), _chunks(starts)
+        chunks = _chunks(starts)
         tails = cut(_tails(_dealt(chunks, n, "path", "chunk_no")))
-        bad = tails.where("bad").select("path", "cell")
-        if not bad.take(1):
-            break
-        if bad.where("cell = 0").take(1):
+        bad, first = tails.agg(F.count_if("bad"), F.count_if(F.expr("bad and cell = 0"))).first()
+        if first:
             raise deflate.Corrupt("an archive's first block can't be decoded")
-        starts = cut(starts.join(bad, ["path", "cell"], "left_anti"))
+        if not bad:
+            break
+        starts = cut(starts.join(tails.where("bad").select("path", "cell"), ["path", "cell"], "left_anti"))
     else:
         raise deflate.Corrupt("block starts could not be told from data that look like them")
     return _dealt(chunks.join(_windows(tails, thin), ["path", "chunk_no"]), n, "path", "chunk_no")
