@@ -324,6 +324,18 @@ class Piece:
     size: int = 0
 
 
+def stream(data: bytes, at: int, end: int, history: bytes = b"", step: int = 1 << 16):
+    """Output of the stream from the block at bit `at`, a step of input at a time, then the byte where the stream ends (None: not
+    before byte `end`). Steps keep what follows a short stream from being copied with it."""
+    d = zlib.decompressobj(-15, zdict=history) if history else zlib.decompressobj(-15)
+    first, pos = at >> 3, at >> 3
+    while pos < end and not d.eof:
+        stop = min(end, pos + step)
+        yield d.decompress(primed(data, at, stop)[0] if pos == first else data[pos:stop])
+        pos = stop
+    yield pos - len(d.unused_data) if d.eof else None
+
+
 def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw: bool = False) -> list[Piece]:
     """The output of bits [start, stop) of an archive, both starts of blocks or its end, after `history`.
 
@@ -335,18 +347,16 @@ def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw:
     if not last and start >= stop:
         return out
     while True:
-        d = zlib.decompressobj(-15, zdict=history) if history else zlib.decompressobj(-15)
-        body, front = primed(data, at, end)
-        got = d.decompress(body) if body else b""
-        if not d.eof:
-            if last and not (at == start and not body):
+        *parts, foot = stream(data, at, end, history)
+        got = b"".join(parts)
+        if foot is None:
+            if last and (at != start or parts):
                 raise Corrupt("the archive ends within a stream")
             out.append(Piece(got, fresh))
             return out
         if raw:
             out.append(Piece(got, fresh, True, zlib.crc32(got), len(got)))
             return out
-        foot = (at >> 3) + len(body) - front - len(d.unused_data)
         said = gzip_footer(data, foot)
         if said is None:
             raise Corrupt("the archive ends before its footer")

@@ -75,16 +75,17 @@ def _members(path: str, data: bytes, strict: bool = True):
         if head is None and (no or kind != "DEFLATE"):
             return
         start = head.end if head else 0
-        d, size, crc, adler, part = zlib.decompressobj(-15), 0, 0, 1, data[start:]
+        size, crc, adler, foot = 0, 0, 1, None
         try:
-            while not d.eof:
-                got = d.decompress(part, 1 << 22)
-                size, crc, adler, part = size + len(got), zlib.crc32(got, crc), zlib.adler32(got, adler), d.unconsumed_tail
-                if not got and not part and not d.eof:
-                    raise deflate.Corrupt(f"{path}: member {no} is cut short")
+            for got in deflate.stream(data, 8 * start, len(data)):
+                if isinstance(got, bytes):
+                    size, crc, adler = size + len(got), zlib.crc32(got, crc), zlib.adler32(got, adler)
+                else:
+                    foot = got
         except zlib.error as e:
             raise deflate.Corrupt(f"{path}: {e}") from None
-        foot = len(data) - len(d.unused_data)
+        if foot is None:
+            raise deflate.Corrupt(f"{path}: member {no} is cut short")
         said = said_size = said_adler = None
         if kind in ("GZIP", "BGZF"):
             if (footer := formats.gzip_footer(data, foot)) is None:
@@ -164,10 +165,9 @@ def decode_bytes(data: bytes) -> bytes:
         return zlib.decompress(data, 15 if found[0] == "ZLIB" else -15)
     out, at = [], 0
     while head := formats.gzip_header(data, at):
-        d = zlib.decompressobj(-15)
-        got = d.decompress(data[head.end :])
-        foot = len(data) - len(d.unused_data)
-        if not d.eof or formats.gzip_footer(data, foot) != (zlib.crc32(got), len(got) & 0xFFFFFFFF):
+        *parts, foot = deflate.stream(data, 8 * head.end, len(data))
+        got = b"".join(parts)
+        if foot is None or formats.gzip_footer(data, foot) != (zlib.crc32(got), len(got) & 0xFFFFFFFF):
             raise deflate.Corrupt("a member is cut short or has another checksum than its footer states")
         out.append(got)
         at = foot + 8
