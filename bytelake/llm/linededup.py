@@ -18,6 +18,7 @@ from bytelake.llm.shared import WHITE, cut, fresh_dir
 FANOUT, BATCHES = 3, 4
 MASK, TOP = (1 << 64) - 1, 1 << 63
 KEY = ["h1", "h2"]
+ID, LOST = "__line_dedup_id", "__line_dedup_lost"  #: columns beside those of the documents, whatever theirs are called
 
 
 def key(line: str) -> str:
@@ -103,13 +104,13 @@ def repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, batches:
     store.known().where(F.col("n_docs") >= min_docs).write.parquet(f"{store.path}/often")  # a table of its own: the join may then split a hot key
     often = spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(f"{store.path}/often")
     lost = all_lines.join(often, KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
-    return lost.where("last_doc is not null").groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
+    return lost.where("last_doc is not null").groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias(LOST))
 
 
 def _apply(batches, least: int, extra: bool):
     for b in batches:
         out, n_lines, n_dropped = [], [], []
-        for text, lost in zip(b.column("text"), b.column("_lost")):
+        for text, lost in zip(b.column("text"), b.column(LOST)):
             own = (text.as_py() or "").split("\n")
             n_lines.append(len(own))
             if lost := lost.as_py():
@@ -120,8 +121,8 @@ def _apply(batches, least: int, extra: bool):
             else:
                 out.append(text.as_py())
                 n_dropped.append(0)
-        cols = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] not in ("text", "_lost")]
-        names = [x for x in b.schema.names if x not in ("text", "_lost")]
+        cols = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] not in ("text", LOST)]
+        names = [x for x in b.schema.names if x not in ("text", LOST)]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), *([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if extra else [])], [*names, "text", *(["n_lines", "n_dropped"] if extra else [])])
 
 
@@ -134,16 +135,16 @@ def dedup_lines(docs: DataFrame, least: int = 40, min_docs: int = 5) -> DataFram
     share its decisions; null doc_ids count as one document, less than every other. Other columns are not read; an
     empty table gives no rows.
     """
-    lost = repeated_lines(docs, least, min_docs).withColumnRenamed("doc_id", "_id")
+    lost = repeated_lines(docs, least, min_docs).withColumnRenamed("doc_id", ID)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = own.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "_lost")
+    both = own.join(lost, F.col("doc_id").eqNullSafe(F.col(ID)), "left").select("doc_id", "text", LOST)
     return both.mapInArrow(lambda bs: _apply(bs, least, True), "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def without_repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5) -> DataFrame:
     """`docs` with its columns and rows, its texts without the repeated lines (see dedup_lines)."""
-    lost = repeated_lines(docs, least, min_docs).withColumnRenamed("doc_id", "_id")
-    both = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left").drop("_id")
-    order = [c for c in both.columns if c not in ("text", "_lost")]
+    lost = repeated_lines(docs, least, min_docs).withColumnRenamed("doc_id", ID)
+    both = docs.join(lost, docs["doc_id"].eqNullSafe(lost[ID]), "left").drop(ID)
+    order = [c for c in both.columns if c not in ("text", LOST)]
     schema = docs.select(*order, "text").schema
-    return both.select(*order, "text", "_lost").mapInArrow(lambda bs: _apply(bs, least, False), schema).select(*docs.columns)
+    return both.select(*order, "text", LOST).mapInArrow(lambda bs: _apply(bs, least, False), schema).select(*docs.columns)

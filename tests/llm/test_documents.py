@@ -196,7 +196,7 @@ def test_line_dedup(spark):
         lines = (t or "").split("\n")
         kept = [x for x in lines if len(key(x)) < 40 or len(where[key(x)]) < 5 or i == max(where[key(x)])]
         assert ((got[i]["text"] or ""), got[i]["n_lines"], got[i]["n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
-    rows = frame(spark, texts)
+    rows = frame(spark, texts).withColumnsRenamed({"key": "_id", "fp": "_lost", "n": "_keep"})
     again = linededup.without_repeated_lines(rows)
     assert again.schema == rows.schema and {r["doc_id"]: r["text"] for r in again.collect()} == {i: r["text"] for i, r in got.items()}
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
