@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.shared import cut, fresh_dir, remainder
+from bytelake.llm.shared import bounded_batches, cut, fresh_dir, remainder
 
 DEPTH = 5  #: bytes of context; a gram has DEPTH + 1 bytes, 7 at most
 BLOCK_ROWS = 8192  #: rows of a file that make a block; fewer where texts are long
@@ -344,6 +344,7 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     if not 3 <= depth <= 6:
         raise ValueError("depth must be 3 to 6")
+    bounded_batches(docs.sparkSession)
     spark, placed = docs.sparkSession, blocked(docs)
     counted = placed.select("block", "text", "learn").mapInArrow(lambda b: _count(b, depth), "block long, key long, n long")
     totals = cut(counted.groupBy("key").agg(F.sum("n").alias("n")))

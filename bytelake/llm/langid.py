@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.shared import remainder
+from bytelake.llm.shared import bounded_batches, remainder
 
 SAMPLE = 6000  #: documents that are learnt from, at most; the least by a hash of their id, so a random sample
 SAMPLE_BYTES = 20_000  #: labelled rows with longer texts aren't drawn for the sample (prediction reads all texts whole)
@@ -139,6 +139,7 @@ def language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     calibrated score under the model's threshold. Texts are read whole; repeated rows are predicted each; a null
     doc_id isn't held out; other columns are not read; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     model = model or fit(docs)
 
     def run(batches):
@@ -152,6 +153,7 @@ def language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of `docs`, all columns, whose text isn't rejected."""
+    bounded_batches(docs.sparkSession)
     model = model or fit(docs)
 
     def run(batches):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.llm.shared import cut
+from bytelake.llm.shared import bounded_batches, cut
 
 WINDOW, BUCKETS, BUDGET = 2048, 16, 65_536
 SHARD = 2000  #: sequences that are numbered together, about; a bucket has as many shards as its size asks for
@@ -64,6 +64,7 @@ def pack(docs: DataFrame, window: int = WINDOW, buckets: int = BUCKETS, budget:
     is one sequence of no tokens, in a bucket of its own length class; repeated rows are packed each; a null doc_id is packed
     like others; other columns are not read; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     spark, rows = docs.sparkSession, cut(sequences(docs, window))
     found = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()  # window + 1 rows at most
     if not found:

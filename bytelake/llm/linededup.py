@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from bytelake.llm.shared import WHITE, cut, fresh_dir
+from bytelake.llm.shared import WHITE, bounded_batches, fresh_dir
 
 FANOUT, BATCHES = 3, 4
 MASK, TOP = (1 << 64) - 1, 1 << 63
@@ -95,6 +95,7 @@ class LineRuns:
 def repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
     """(doc_id, keys): the hashes of the lines that each document loses. Documents are distinct doc_ids (null is one of them)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     at = fresh_dir(spark, "lines")
     lines(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).write.partitionBy("batch").parquet(at)
     all_lines = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(at)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts: \x20 and \x09-\x0D, which is what bytes.split() and bytes.strip() use.
 WHITE = b" \t\n\r\x0b\x0c"
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) a new local one."""
@@ -33,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most between the JVM and Python: two tasks of an executor otherwise hold some times 64 MB of texts
+    on either side. A limit that the session was given itself stays."""
+    if spark.conf.get(BATCH_KEY) == f"{64 << 20}b":
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

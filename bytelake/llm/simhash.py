@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from bytelake.llm.components import components
-from bytelake.llm.shared import cut
+from bytelake.llm.shared import bounded_batches, cut
 
 POLY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, a generator of the code
 BIG = 64  #: buckets with more fingerprints than this are linked through one-bit neighbours instead of pairs
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

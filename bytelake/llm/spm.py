@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytelake.llm.ragged import Merges, Places
+from bytelake.llm.shared import bounded_batches
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -286,4 +287,5 @@ def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataF
                     cols.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

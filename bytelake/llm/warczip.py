@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.shared import cut, fresh_dir
+from bytelake.llm.shared import bounded_batches, cut, fresh_dir
 
 MEMBER = 8 << 20  #: bytes of records that make a member; larger single records make larger ones
 BATCH = 4 << 20  #: bytes of records that a reader hands over at once
@@ -183,6 +183,7 @@ def write_packages(pages: DataFrame, folder: str, member: int = MEMBER, zip64: b
             fs.move(f"{base}/.{name}", f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "n_records": pa.array([n], pa.int64())})
 
+    bounded_batches(pages.sparkSession)
     return cut(pages.select("page_id", "url", "payload", "record_type", "refers_to").mapInArrow(run, "path string, n_records long"))
 
 
