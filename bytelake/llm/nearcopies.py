@@ -1,0 +1,162 @@
+"""Near copies by exact Jaccard similarity of word shingles, with candidates from MinHash bands.
+
+A SimHash of 64 bits can't reach texts at similarity 0.8 (they differ in some ten bits), so candidates are texts that
+agree in all ROWS minima of one of BANDS bands: a pair at similarity s is missed with probability
+(1 - s**ROWS)**BANDS, 3e-5 at 0.8 and 2e-7 at 0.85. Every link is verified on the whole sets of shingle hashes.
+Buckets are first linked to one member each, some rounds with other members; then all pairs that share a bucket and
+aren't connected yet are compared, so that a large group costs a few comparisons a member and no pair is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from bytelake.llm.components import components
+from bytelake.llm.shared import bounded_batches, cut
+
+WIDTH, SIMILARITY = 5, 0.8  #: words a shingle; the least Jaccard similarity of a link
+BANDS, ROWS = 26, 5
+STARS = 4  #: rounds that link buckets to one member, at most; after the first only buckets of over BIG members
+BIG = 64
+BITS = 36  #: of the 128 lowest bits of minima, those that a pair may differ in (13 are expected at similarity 0.8, deviation 3.4)
+_RNG = np.random.default_rng(11)
+_A, _B = _RNG.integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+_A |= np.uint32(1)
+_C = _RNG.integers(0, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a whole text's shingles; a shorter text is one shingle, a blank one too."""
+    words = (text or "").encode().lower().split()
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    k = min(width, len(w))
+    if not k:
+        return np.zeros(1, np.uint64)
+    n = len(w) - k + 1
+    total = np.full(n, k, np.uint64)
+    for i in range(k):
+        total += w[i : i + n] * _C[i]
+    return np.unique(_mix(total))
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minima of a set."""
+    h, out = (found >> np.uint64(32)).astype(np.uint32), np.full(len(_A), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 4096):
+        np.minimum(out, (h[at : at + 4096] * _A + _B).min(axis=1), out=out)
+    return out
+
+
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, d, n, b0, b1, keys): a digest of each text's set, its size, lowest bits of minima, one key a band."""
+    columns = ["doc_id", "d", "n", "b0", "b1", "keys"]
+
+    def run(batches):
+        powers, band = _C[: ROWS, None], np.arange(BANDS, dtype=np.uint64)
+        for b in batches:
+            d, n, bits, keys = [], [], np.zeros((b.num_rows, 2), np.int64), np.zeros((b.num_rows, BANDS), np.int64)
+            for i, text in enumerate(b.column("text")):
+                found = shingles(text.as_py(), width)
+                m = minima(found)
+                d.append(xxh64_intdigest(found.tobytes(), 3))
+                n.append(len(found))
+                bits[i] = np.packbits((m[:128] & 1).astype(np.uint8)).view(np.int64)
+                keys[i] = _mix((m.reshape(BANDS, ROWS).T.astype(np.uint64) * powers).sum(axis=0, dtype=np.uint64) * np.uint64(BANDS) + band).view(np.int64)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(d, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), rows], columns)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, d long, n long, b0 long, b1 long, keys array<long>")
+
+
+def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(d, hashes): the digest of each text's set and the set itself."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                found = [shingles(t.as_py(), width).tobytes() for t in b.column("text").slice(at, 64)]
+                d = np.array([xxh64_intdigest(x, 3) for x in found], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(found, pa.binary())], ["d", "hashes"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "d long, hashes binary")
+
+
+def verified(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of digests whose sets are as similar as that."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = hashes.toDF("a", "x"), hashes.toDF("b", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, d) of every row, and (d, root) of every d: rows are near copies of each other where roots are equal."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    own = cut(sketches(docs, width))
+    classes = own.groupBy("d").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "keys")))
+    keyed = classes.select("d", "n", "b0", "b1", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")  # a join may split a bucket of any size
+    keyed = cut(keyed.join(shared, "key").select("key", "m", "d", "n", "b0", "b1"))
+    needed = cut(keyed.select("d").distinct())
+    ids = own.join(needed, "d").groupBy("d").agg(F.min("doc_id").alias("_id")).select("_id").where("_id is not null").distinct()
+    texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    hashes = cut(sets(texts, width).join(needed, "d", "left_semi").dropDuplicates(["d"]))
+    roots, links = needed.select("d", F.col("d").alias("root")), None
+    near = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1) <= {BITS} and a.root <> b.root"
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), hashes, similarity)
+        links = cut(found if links is None else links.unionByName(found))
+        at = components(links).withColumnRenamed("node", "d")
+        return cut(needed.join(at, "d", "left").select("d", F.coalesce("root", "d").alias("root")))
+
+    for i in range(STARS):
+        rows = keyed.where(F.col("m") > BIG) if i else keyed
+        rows = rows.join(roots, "d")
+        centre = rows.groupBy("key").agg(F.min_by(F.struct("d", "n", "b0", "b1", "root"), F.xxhash64("d", F.lit(i))).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        pairs = cut(rows.alias("a").join(centre.select("key", "c.*").alias("b"), "key").where(near).select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct())
+        if not pairs.count():
+            break
+        roots = linked(pairs)
+    rows = keyed.join(roots, "d")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = cut(rows.join(open_, "key", "left_semi"))
+    pairs = cut(rows.alias("a").join(rows.alias("b"), "key").where(f"a.d < b.d and {near}").select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct())
+    if pairs.count():
+        roots = linked(pairs)
+    return own.select("doc_id", "d"), roots
+
+
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` without the documents of each group of near copies but that of the least doc_id; same columns.
+
+    Texts link when the Jaccard similarity of their sets of `width`-word shingles (lower-cased ASCII, split at ASCII
+    white space) is `similarity` or more; groups are what links connect. A shorter text is one shingle; null, empty
+    and blank texts are copies of each other. Rows with a null doc_id link their group and are kept: they cannot be
+    told from one another. Rows that repeat a kept doc_id are kept.
+    """
+    own, roots = near_copy_groups(docs, width, similarity)
+    least = own.groupBy("d").agg(F.min("doc_id").alias("least"))
+    keep = least.join(roots, "d", "left").groupBy(F.coalesce("root", "d")).agg(F.min("least").alias("_keep")).where("_keep is not null").select("_keep").distinct()
+    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").unionByName(docs.where("doc_id is null"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm import langid, lenpack, linededup, simhash
+from bytelake.llm import langid, lenpack, linededup, nearcopies
 from bytelake.llm.shared import fresh_dir, table
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the least doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: that of the least doc_id."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
