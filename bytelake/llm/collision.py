@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
-Maximum inner product becomes nearness by one more coordinate (the largest norm of the table makes all vectors equally
-long). Each of PROJECTIONS random projections of a block of candidates is a sorted array. A query's window in each
+A block's candidates are cut into bands of norms within a factor of BAND, each with an index of its own, so that one long
+row doesn't level the others. In a band maximum inner product becomes nearness by one more coordinate (the band's largest
+norm makes all vectors equally long). A band is left out only if by its largest norm it can't reach the k-th score found. Each of PROJECTIONS random projections of a band is a sorted array. A query's window in each
 array is centred on the query's own projection and widened by virtual rehashing: radius R becomes RATIO * R, and only what is new in the window is
 counted. Candidates that collide in at least a threshold of the arrays are verified by their true inner product. The
 widening ends when enough were verified.
@@ -11,13 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bytelake.llm.blocks import block_search, top, vectors
 
 STRIPE, BATCH = 32_768, 1024
 PROJECTIONS, THRESHOLD, RADIUS, RATIO = 65, 0.7, 0.8, 1.12
-VERIFY = 0.07  #: share of a block, on top of 8 k, whose verification ends the widening
+BAND = 1.1  #: largest norm of a band over its least
+VERIFY = 0.07  #: share of a band, on top of 8 k, whose verification ends the widening
 SCOUTS = 8  #: a block's first queries begin at RADIUS; the others one step before the least radius that those ended at
 
 
@@ -81,6 +82,39 @@ class CollisionIndex:
         return self.ids[found][best], scores[best]
 
 
+class BandedIndex:
+    """An index for each band of norms; the rows of bands that would be verified whole anyway are one band without an index."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        norms = np.sqrt((v * v).sum(axis=1))
+        order = np.argsort(-norms, kind="stable")
+        self.bands, few, at = [], [], 0
+        while at < len(order):
+            end = len(order) - int(np.searchsorted(norms[order][::-1], norms[order[at]] / BAND))
+            rows, at = np.sort(order[at : max(end, at + 1)]), max(end, at + 1)
+            if len(rows) <= 8 * k:
+                few.append(rows)
+            else:
+                self.bands.append((float(norms[rows].max()), CollisionIndex(ids[rows], v[rows], float(norms[rows].max()))))
+        rows = np.sort(np.concatenate(few)) if few else np.zeros(0, np.int64)
+        self.ids, self.v = ids[rows], v[rows]
+
+    def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, inner products) of the best k found but for rows with the id `own`."""
+        other = np.ones(len(self.ids), bool) if own is None else self.ids != own
+        ids, scores = self.ids[other], inner(self.v[other], q)
+        length = np.sqrt(q @ q)
+        for norm, index in self.bands:
+            if len(ids) >= k and np.partition(scores, len(scores) - k)[-k] > norm * length * (1 + 1e-9):
+                break
+            more = index.search(q, k, own)
+            ids, scores = np.concatenate([ids, more[0]]), np.concatenate([scores, more[1]])
+            best = top(ids, scores, k)
+            ids, scores = ids[best], scores[best]
+        best = top(ids, scores, k)
+        return ids[best], scores[best]
+
+
 def collision_neighbours(table: DataFrame, modulus: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by largest inner product (all candidates if fewer).
 
@@ -90,10 +124,9 @@ def collision_neighbours(table: DataFrame, modulus: int = 20, k: int = 20) -> Da
     but not of the query of that id. Other columns are not read; an empty table gives no rows.
     """
     whole = vectors(table).where("exists(v, x -> x <> 0)")
-    norm = whole.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x, F.sqrt))).first()[0] or 1.0
 
     def search(ids, v, qids, q):
-        index, out = CollisionIndex(ids, v, norm), []
+        index, out = BandedIndex(ids, v, k), []
         for query_id, one in zip(qids, q):
             found, scores = index.search(one, k, query_id)
             out.append((np.full(len(found), query_id), found, scores))
