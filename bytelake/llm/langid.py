@@ -24,6 +24,9 @@ SAMPLE = 6000  #: documents that are learnt from, at most; the least by a hash o
 SAMPLE_BYTES = 20_000  #: labelled rows with longer texts aren't drawn for the sample (prediction reads all texts whole)
 BUCKETS, DIM, EPOCHS, RATE = 1 << 14, 16, 12, 4.0
 REJECTED = 0.001  #: share of rightly classified held-back documents that rejection may cost, at most
+CALIBRATED = 30  #: with fewer rightly classified held-back documents nothing is rejected by score or by unseen subwords
+DEVIATIONS = 3.1  #: a normal tail of REJECTED, where too few documents are held back to show it
+SEEN_BITS = 22  #: subwords of the training rows are remembered by a hash of so many bits
 LETTER = regex.compile(r"\p{L}")
 _MAP = np.full(256, 32, np.uint8)
 _MAP[97:123] = np.arange(97, 123)
@@ -31,8 +34,8 @@ _MAP[65:91] = np.arange(97, 123)
 _MAP[128:] = np.arange(128, 256)
 
 
-def subwords(data: bytes) -> np.ndarray:
-    """The bucket of every window."""
+def windows(data: bytes) -> np.ndarray:
+    """A hash of SEEN_BITS bits of every window; its upper bits are the window's bucket."""
     x = _MAP[np.frombuffer(data, np.uint8)]
     if len(x):
         x = x[np.r_[True, (x[1:] != 32) | (x[:-1] != 32)]]
@@ -41,7 +44,12 @@ def subwords(data: bytes) -> np.ndarray:
     three = two[:-1] << np.uint32(8) | x[2:]
     four = three[:-1] << np.uint32(8) | x[3:]
     keys = np.concatenate([two * np.uint32(7) + np.uint32(1), three * np.uint32(3), four])
-    return keys * np.uint32(2654435761) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    return keys * np.uint32(2654435761) >> np.uint32(32 - SEEN_BITS)
+
+
+def subwords(data: bytes) -> np.ndarray:
+    """The bucket of every window."""
+    return windows(data) >> np.uint32(SEEN_BITS - BUCKETS.bit_length() + 1)
 
 
 @dataclass
@@ -52,25 +60,52 @@ class Model:
     logits: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
-
-    def probabilities(self, data: bytes) -> np.ndarray:
+    threshold: float = -math.inf  #: the least log-odds of the best language, before rounding to a probability, of a text that is accepted
+    seen: np.ndarray | None = None  #: one bit a subword hash
+    unseen: float = 1.0  #: the largest share of subwords that training didn't see in a text that is accepted
+
+    def unseen_share(self, data: bytes) -> float:
+        if self.seen is None:
+            return 0.0
+        new, n = 0, 0
+        for at in range(0, len(data), 1 << 20):
+            w = windows(data[max(0, at - 3) : at + (1 << 20)])
+            new += int((self.seen[w >> np.uint32(3)] >> (w & np.uint32(7)).astype(np.uint8) & 1 == 0).sum())
+            n += len(w)
+        return new / max(n, 1)
+
+    def logits_of(self, data: bytes) -> np.ndarray:
         total, n = np.zeros(len(self.langs)), 0
         for at in range(0, len(data), 1 << 20):  # windows overlap by 3 bytes
             found = np.bincount(subwords(data[max(0, at - 3) : at + (1 << 20)]), minlength=BUCKETS)
             total += found @ self.logits
             n += found.sum()
-        z = (total / max(n, 1) + self.bias) / self.temperature
-        z = np.exp(z - z.max())
-        return z / z.sum()
+        return (total / max(n, 1) + self.bias) / self.temperature
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected); `und` with score 0 for a text that is null or has no letter."""
         if text is None or not LETTER.search(text) or not self.langs:
             return "und", 0.0, True
-        p = self.probabilities(text.encode())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
+        data = text.encode()
+        z = self.logits_of(data)
+        best, odds = int(z.argmax()), float(margins(z[None])[0])
+        return self.langs[best], 1 / (1 + math.exp(-odds)), bool(odds < self.threshold or self.unseen_share(data) > self.unseen)
+
+
+def margins(z: np.ndarray) -> np.ndarray:
+    """The log-odds of the largest logit of each row, against all others together; infinite if there are none."""
+    z = np.sort(z, axis=1)
+    if z.shape[1] < 2:
+        return np.full(len(z), np.inf)
+    return z[:, -1] - z[:, -2] - np.log(np.exp(z[:, :-1] - z[:, -2:-1]).sum(axis=1))
+
+
+def seen(texts) -> np.ndarray:
+    """A bit for each subword hash that the texts hold."""
+    found = np.zeros(1 << SEEN_BITS, bool)
+    for text in texts:
+        found[windows(text.encode())] = True
+    return np.packbits(found, bitorder="little")
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -110,13 +145,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             s = s - s.max(axis=1, keepdims=True)
             return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
 
-        model.temperature = min((0.25 * 1.25**k for k in range(20)), key=loss)
+        model.temperature = min((0.25 * 1.25**k for k in range(-20, 20)), key=loss)
         s = z / model.temperature
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-        if len(right):  # half the least confidence that all but REJECTED of the right ones reach, and no more than chance asks for
-            model.threshold = float(min(right[math.floor(REJECTED * len(right))] / 2, 1.2 / len(langs)))
+        right = s.argmax(axis=1) == y
+        if right.sum() >= CALIBRATED:  # the margin and the unseen share that all but REJECTED of the right ones keep to
+            margin = np.sort(margins(s[right]))
+            if np.isfinite(margin).all():
+                model.threshold = float(min(margin[math.floor(REJECTED * len(margin))], margin.mean() - DEVIATIONS * margin.std()))
+            model.seen = seen(rows[i][0] for i in learn)
+            share = np.sort([model.unseen_share(rows[i][0].encode()) for i, ok in zip(back, right) if ok])[::-1]
+            model.unseen = float(max(share[math.floor(REJECTED * len(share))], share.mean() + DEVIATIONS * share.std()))
     return model
 
 
@@ -136,7 +174,7 @@ def language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1), rejected.
 
     `und` with score 0 where the text is null or has no letter, or nothing could be learnt. Rejected: `und`, or a
-    calibrated score under the model's threshold. Texts are read whole; repeated rows are predicted each; a null
+    calibrated score under the model's threshold, or more subwords that training didn't see than the model accepts. Texts are read whole; repeated rows are predicted each; a null
     doc_id isn't held out; other columns are not read; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
