@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from bytelake.llm.shared import bounded_batches, remainder
 
 SAMPLE = 6000  #: documents that are learnt from, at most; the least by a hash of their id, so a random sample
-SAMPLE_BYTES = 20_000  #: labelled rows with longer texts aren't drawn for the sample (prediction reads all texts whole)
+SAMPLE_BYTES = 20_000  #: of longer labelled rows the sample has PIECES pieces spread over the whole text, of so many bytes together at most (prediction reads all texts whole)
+PIECES = 8
 BUCKETS, DIM, EPOCHS, RATE = 1 << 14, 16, 12, 4.0
 REJECTED = 0.001  #: share of rightly classified held-back documents that rejection may cost, at most
 CALIBRATED = 30  #: with fewer rightly classified held-back documents nothing is rejected by score or by unseen subwords
@@ -161,12 +162,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of a bounded sample of the documents whose crc32(doc_id) mod 4 isn't 2.
 
-    A count that reads only ids and languages sets the share of hashes that is drawn, so what all tasks together send
+    A count of the labelled rows that have a text sets the share of hashes that is drawn, so what all tasks together send
     stays near `sample` rows on any number of partitions; `sample` is the most that is learnt from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null").where(remainder(F.col("doc_id"), 4) != 2).withColumn("h", F.xxhash64("doc_id"))
+    rows = rows.where(F.col("text").isNotNull() & (F.col("text") != ""))
     share = min(1.0, 1.3 * sample / max(1, rows.select("h").count()))
-    drawn = rows.where((F.shiftrightunsigned("h", 2) <= int(share * (1 << 62))) & F.col("text").isNotNull() & (F.col("text") != "") & (F.octet_length("text") <= SAMPLE_BYTES))
+    size = SAMPLE_BYTES // 4 // PIECES - 1  # characters of at most 4 bytes, and a line end each
+    pieces = [F.substring("text", F.floor((F.length("text") - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
+    rows = rows.withColumn("text", F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.concat_ws("\n", *pieces)))
+    drawn = rows.where(F.shiftrightunsigned("h", 2) <= int(share * (1 << 62)))
     return train([(t, y) for t, y in drawn.orderBy("h", "lang", "text").limit(sample).select("text", "lang").collect()])
 
 

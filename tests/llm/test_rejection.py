@@ -17,3 +17,10 @@ def test_junk_is_rejected(spark, sf_dir):
         share = sum(model.predict(t)[2] for t in junk) / len(junk)
         print("rejected", letters[:3], share)
         assert share > 0.9
+
+
+def test_long_rows_are_learnt_from(spark):
+    texts = [prose(i, 4500) for i in range(12)] + [" ".join("zug baum haus weg".split()[(i + j) % 4] for j in range(6000)) for i in range(12)]
+    rows = frame(spark, texts).withColumn("lang", langid.F.when(langid.F.col("doc_id") < 12, "en").otherwise("de"))
+    assert min(map(len, texts)) > langid.SAMPLE_BYTES and langid.fit(rows).langs == ["de", "en"]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.language(rows).collect()} == {i: "en" if i < 12 else "de" for i in range(24)}
