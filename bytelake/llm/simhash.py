@@ -1,15 +1,27 @@
 """SimHash near-duplicates, with candidates from fuzzy hashing by the binary Golay code.
 
-A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. The Golay code (23, 12) is perfect: each 23-bit
-word has one codeword within distance 3. Two words at distance 2 or less have a word between them that lies within
-distance 1 of both, so the sets {decode(z) : |z - x| <= 1}, of 1 or 6 codeword indices, meet. Of 2 errors or fewer
-over three segments, either the first or the second segment has none, or both have one and the third has none; so
-three kinds of key (first exact, second fuzzy; second exact, first fuzzy; third exact, first fuzzy), about 16 a
-fingerprint, find every link. Candidates are verified by their true distance.
+The Golay code (23, 12) is perfect: each 23-bit word has one codeword within distance 3. Fingerprints are cut into
+segments, segments are decoded to the indices of nearby codewords, and pigeonholes over segments say which keys two
+near fingerprints must (or most likely do) share. Candidates are joined by key and verified.
+
+Links of 2 bits or fewer (`simhash_groups`): a 64-bit fingerprint has segments of 23, 23 and 18 bits. Two words at distance
+2 or less have a word between them that lies within distance 1 of both, so the sets {decode(z) : |z - x| <= 1}, of 1
+or 6 codeword indices, meet. Of 2 errors or fewer over three segments, either the first or the second segment has
+none, or both have one and the third has none; so three kinds of key (first exact, second fuzzy; second exact, first
+fuzzy; third exact, first fuzzy), about 16 a fingerprint, find every link. Buckets of any size are compared in blocks
+of a bounded number of fingerprints, and a block gives the edges of a spanning forest, not its pairs.
+
+Near copies (`near_copy_groups`) at a Jaccard similarity of word shingles: such texts differ in a seventh of their
+bits, more than hard decoding bears. So a fingerprint has SEGMENTS segments of sums, not only signs; each segment is
+decoded by its margins to the FEW codewords that fit best (all 4096 are scored), and of each of TRIPLES triples of
+segments the KEYS likeliest combinations of three indices are keys of 36 bits. Candidates that share one and whose
+signs are near enough are verified on their whole sets of shingles. By simulation a pair at similarity 0.8 (0.85, 0.9) shares a
+key with probability 0.99 (0.999, 1).
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import islice
 
@@ -20,10 +32,24 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from bytelake.llm.components import components
-from bytelake.llm.shared import bounded_batches, cut
+from bytelake.llm.shared import bounded_batches, cut, fresh_dir, partitions
 
 POLY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, a generator of the code
-BIG = 64  #: buckets with more fingerprints than this are linked through one-bit neighbours instead of pairs
+BLOCK = 1024  #: fingerprints of a bucket that a block holds, about; blocks of larger buckets are compared two by two
+
+WIDTH, SIMILARITY = 5, 0.8  #: words a shingle; the least Jaccard similarity of a link
+SEGMENTS, FEW, KEYS = 24, 6, 12
+TRIPLES = [(i, 8 + (i + s) % 8, 16 + (i + 2 * s) % 8) for s in range(2) for i in range(8)]  #: two of them share one segment at most
+SIGNS = 8  #: longs of signs that are kept of each text
+APART = 119  #: of the 64 * SIGNS signs, those that a pair may differ in (77 are expected at similarity 0.8, deviation 8.1)
+STARS = 3  #: rounds that link buckets to one member, at most; after the first only buckets of over CROWD members
+CROWD = 16
+HELD = 1 << 21  #: keys that a task sorts at once
+PIECE = 1 << 20  #: bytes of a text that are split into words at once
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+# Fingerprints of 64 bits.
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -38,11 +64,25 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         h = np.fromiter(islice(hashes, 1 << 15), "<u8")
         if not len(h):
             break
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(h[:, None])
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+@lru_cache(1)
+def _spread() -> np.ndarray:
+    """For each byte value, a long whose bytes are its bits, the lowest first."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many rows of (n, k) longs have each of their 64 k bits; a byte counts up to 255 rows at a time."""
+    raw, out = np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(len(h), -1), np.zeros(64 * h.shape[1], np.int64)
+    for at in range(0, len(raw), 255):
+        out += _spread()[raw[at : at + 255]].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return out
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -55,6 +95,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+# The Golay code.
+
+
 @lru_cache(1)
 def _errors() -> np.ndarray:
     """The error pattern of each of the 2048 syndromes."""
@@ -89,6 +132,28 @@ def fuzzy(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, found[row, col]
 
 
+@lru_cache(1)
+def _codewords() -> np.ndarray:
+    """(23, 4096): the signs of the bits of each codeword, by its index."""
+    upper = np.arange(4096, dtype=np.uint32) << np.uint32(11)
+    words = upper ^ _syndrome(upper)
+    return (2.0 * (words[None, :] >> np.arange(23, dtype=np.uint32)[:, None] & np.uint32(1)) - 1).astype(np.float32)
+
+
+def nearest(sums: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, scores), the best first: the `few` codewords that fit best to each row of 23 sums; ties to lower indices."""
+    score = sums.astype(np.float32) @ _codewords()
+    tops = score.reshape(len(score), 256, 16).max(axis=2)  # the best `few` lie in the `few` runs with the best tops
+    runs = np.sort(np.argpartition(-tops, few - 1, axis=1)[:, :few], axis=1)
+    index = (runs[:, :, None] * 16 + np.arange(16)).reshape(len(score), -1)
+    own = np.take_along_axis(score, index, axis=1)
+    best = np.argsort(-own, axis=1, kind="stable")[:, :few]
+    return np.take_along_axis(index, best, axis=1), np.take_along_axis(own, best, axis=1)
+
+
+# Links of two bits.
+
+
 def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): all keys of each fingerprint."""
     u = fp.view(np.uint64)
@@ -98,12 +163,34 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([r for r, _, _ in sets]), np.concatenate([(np.uint64(kind) << np.uint64(40) | exact << np.uint64(12) | k.astype(np.uint64)) for kind, (_, exact, k) in enumerate(sets)]).view(np.int64)
 
 
-def links(distinct: DataFrame, big: int = BIG) -> DataFrame:
+def forest(group: np.ndarray, fp: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): edges of a spanning forest of the links of `most` bits or fewer between rows of equal, adjacent groups."""
+    n, fp = len(fp), fp.view(np.uint64)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, n])
+    left = np.repeat(first + size, size) - np.arange(n)  # rows of the group from here on
+    root, live, step = np.arange(n), np.arange(n), 1
+    while len(live := live[left[live] > step]):
+        i = live[np.bitwise_count(fp[live] ^ fp[live + step]) <= most]
+        j = i + step
+        while len(i):
+            a, b = root[i], root[j]
+            open_ = a != b
+            i, j, low, high = i[open_], j[open_], np.minimum(a, b)[open_], np.maximum(a, b)[open_]
+            np.minimum.at(root, high, low)
+            while not np.array_equal(up := root[root], root):
+                root = up
+        step += 1
+    own = np.flatnonzero(root != np.arange(n))
+    return own, root[own]
+
+
+def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): edges over distinct fingerprints (column fp) whose components are those of all links of 2 bits or fewer.
 
-    A bucket of up to `big` fingerprints gives its verified pairs. In a larger one each fingerprint meets those that
-    share a one-bit neighbour with it (65 rows each; such a set lies within distance 2 throughout), so the work
-    stays in proportion and no link is lost.
+    A bucket of n fingerprints is dealt by a hash to about n / `block` blocks; every two blocks, and each with itself, meet in a
+    group of a bounded size, where distances are verified and the edges of a spanning forest come out. So
+    no task holds a bucket, whatever its size, and as many rows come out as go in.
     """
 
     def run(batches):
@@ -116,12 +203,46 @@ def links(distinct: DataFrame, big: int = BIG) -> DataFrame:
 
     keyed = distinct.select("fp").mapInArrow(run, "key long, fp long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # a join, unlike a window, may split a bucket of any size
-    sized = cut(keyed.join(shared, "key").select("key", "fp", "n"))
-    small = sized.where(F.col("n") <= big).groupBy("key").agg(F.collect_list("fp").alias("m"))
-    pairs = small.selectExpr("explode(flatten(transform(m, x -> transform(filter(m, y -> y < x and bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))))) e").select("e.a", "e.b")
-    balls = sized.where(F.col("n") > big).select("fp").distinct().selectExpr("fp", "explode(transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))) ball")
-    stars = balls.selectExpr("fp a", "min(fp) over (partition by ball) b").where("a <> b")
-    return pairs.unionByName(stars).distinct()
+    sized = cut(keyed.join(shared, "key").select("key", "fp", F.ceil(F.col("n") / block).alias("blocks")))
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+
+    def compare(batches):
+        for cols in whole_groups(batches, ["key", "low", "high"], "fp"):
+            i, j = forest(cols[0], cols[1])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[1][i]), pa.array(cols[1][j])], ["a", "b"])
+
+    return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(compare, "a long, b long").distinct()
+
+
+def whole_groups(batches, by: list[str], value: str, rows: int = 50_000):
+    """(group number, values) of some `rows` rows of batches in the order of `by`, never splitting a group."""
+    held: list = []
+    for b in batches:
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in (*by, value)])
+        if sum(len(h[0]) for h in held) < rows:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held)]
+        new = _new(cols[: len(by)])
+        at = int(new[-1])
+        held = [[c[at:] for c in cols]]
+        if at:
+            yield _numbered(cols, new, at)
+    if held:
+        cols = [np.concatenate(x) for x in zip(*held)]
+        if len(cols[0]):
+            yield _numbered(cols, _new(cols[: len(by)]), len(cols[0]))
+
+
+def _new(cols: list[np.ndarray]) -> np.ndarray:
+    """The first rows of groups."""
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+
+
+def _numbered(cols: list[np.ndarray], new: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.zeros(end, np.int64)
+    at[new[new < end]] = 1
+    return np.cumsum(at), cols[-1][:end]
 
 
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -140,10 +261,261 @@ def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """`docs` without the documents of each group but that of the least doc_id; same columns.
+# Near copies.
+
+
+_C = np.random.default_rng(11).integers(0, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a whole text; long texts are split a piece at a time."""
+    data, at, out = (text or "").encode().lower(), 0, []
+    while at < len(data):
+        m = _BLANK.search(data, at + PIECE) if at + PIECE < len(data) else None
+        end = m.end() if m else len(data)
+        words = data[at:end].split()
+        out.append(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a whole text's shingles; a shorter text is one shingle, a blank one too."""
+    w = word_hashes(text)
+    k = min(width, len(w))
+    if not k:
+        return np.zeros(1, np.uint64)
+    n = len(w) - k + 1
+    total = np.full(n, k, np.uint64)
+    for i in range(k):
+        total += w[i : i + n] * _C[i]
+    return np.unique(_mix(total))
+
+
+def sums(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set before its signs are taken: for each bit, the hashes that have it less those that don't."""
+    longs, out = -(-23 * SEGMENTS // 64), 0
+    for at in range(0, len(found), 255 << 6):
+        part = found[at : at + (255 << 6), None]
+        out = out + bit_counts(_mix(part * _C[32 : 32 + longs] + np.arange(1, longs + 1, dtype=np.uint64)))
+    return 2 * out - len(found)
 
-    Rows with a null doc_id are kept: they cannot be told from one another. Rows that repeat a kept doc_id are kept.
+
+@lru_cache(1)
+def _ranks() -> np.ndarray:
+    """Ranks (0: best) in three lists that a sum among the KEYS largest may come from: no more than KEYS - 1 others are as large."""
+    r = np.stack(np.meshgrid(*[np.arange(FEW)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    return r[(r + 1).prod(axis=1) <= KEYS]
+
+
+def fuzzy_keys(margins: np.ndarray) -> np.ndarray:
+    """(rows, len(TRIPLES) * KEYS): the keys of 40 bits of rows of sums: the triple, and three codeword indices."""
+    n = len(margins)
+    index, score = nearest(margins[:, : 23 * SEGMENTS].reshape(-1, 23))
+    index, score, ranks = index.reshape(n, SEGMENTS, FEW).astype(np.uint64), score.reshape(n, SEGMENTS, FEW), _ranks()
+    out = np.zeros((n, len(TRIPLES), KEYS), np.uint64)
+    for t, segments in enumerate(TRIPLES):
+        total = sum(score[:, s][:, ranks[:, k]] for k, s in enumerate(segments))
+        best = ranks[np.argsort(-total, axis=1, kind="stable")[:, :KEYS]]
+        for k, s in enumerate(segments):
+            out[:, t] |= np.take_along_axis(index[:, s], best[:, :, k], axis=1) << np.uint64(12 * k)
+        out[:, t] |= np.uint64(t << 36)
+    return out.reshape(n, -1)
+
+
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, d, n, signs, keys): a digest of each text's set, its size, the first signs of its SimHash as longs, its keys of 5 bytes."""
+    columns = ["doc_id", "d", "n", "signs", "keys"]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                d, n, margins = [], [], []
+                for text in part.column("text"):
+                    found = shingles(text.as_py(), width)
+                    d.append(xxh64_intdigest(found.tobytes(), 3))
+                    n.append(len(found))
+                    margins.append(sums(found))
+                margins = np.array(margins)
+                signs = np.packbits(margins[:, : 64 * SIGNS] > 0, axis=1).view("<i8")
+                own = fuzzy_keys(margins)
+                packed = own.astype("<u8").view(np.uint8).reshape(*own.shape, 8)[:, :, :5]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(d, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(list(signs), pa.list_(pa.int64())), pa.array([x.tobytes() for x in packed], pa.binary())], columns)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, d long, n long, signs array<long>, keys binary")
+
+
+_ENTRY = np.dtype([("key", "u1", 5), ("d", "<i8")])
+
+
+def _blobs(at: np.ndarray, key: np.ndarray, d: np.ndarray, parts: int) -> pa.Array:
+    """For each part, the entries of the rows that are dealt to it; rows in the order of the parts."""
+    rows = np.empty(len(key), _ENTRY)
+    rows["key"], rows["d"] = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], d
+    ends = (np.searchsorted(at, np.arange(parts + 1)) * _ENTRY.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _entries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw, _ENTRY)
+    key = np.zeros((len(rows), 8), np.uint8)
+    key[:, :5] = rows["key"]
+    return key.view("<u8").ravel().astype(np.uint64), rows["d"].astype(np.int64)
+
+
+def _distinct(key: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, digests, whether the key has other digests) of distinct pairs in the order of the keys."""
+    order = np.lexsort((d, key))
+    key, d = key[order], d[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])]
+    key, d = key[new], d[new]
+    like = np.r_[False, key[1:] == key[:-1], False]
+    return key, d, like[1:] | like[:-1]
+
+
+def members(sketched: DataFrame) -> DataFrame:
+    """(key, d): the keys that sets of more than one digest share, with these digests, once each.
+
+    A task sorts its keys, gives out those that it finds shared, and sends one digest for each key on, packed by part. So
+    a key that many rows have meets itself first within tasks, and no part gets more than a row for each key and flush."""
+    parts = 4 * partitions(sketched.sparkSession)
+
+    def deal(batches):
+        held: list = []
+        for b in batches:
+            raw = np.frombuffer(b"".join(x.as_py() for x in b.column("keys")), np.uint8).reshape(-1, 5)
+            key = np.zeros((len(raw), 8), np.uint8)
+            key[:, :5] = raw
+            held.append((key.view("<u8").ravel().astype(np.uint64), np.repeat(b.column("d").to_numpy(zero_copy_only=False), len(TRIPLES) * KEYS)))
+            if sum(len(k) for k, _ in held) >= HELD:
+                yield flush(held)
+                held = []
+        if held:
+            yield flush(held)
+
+    def flush(held):
+        key, d, like = _distinct(*(np.concatenate(x) for x in zip(*held)))
+        at = (_mix(key + np.uint64(77)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        key, d, like, at = key[order], d[order], like[order], at[order]
+        one = np.r_[True, key[1:] != key[:-1]]  # equal keys are still adjacent
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), _blobs(at[one], key[one], d[one], parts), _blobs(at[like], key[like], d[like], parts)], ["part", "one", "like"])
+
+    def meet(batches):
+        own, held = None, []
+        for b in batches:
+            for part, one, like in zip(b.column("part").to_pylist(), b.column("one"), b.column("like")):
+                if part != own and held:
+                    yield found(held)
+                    held = []
+                own = part
+                held.append((one.as_py(), like.as_py()))
+        if held:
+            yield found(held)
+
+    def found(held):
+        key, d, like = _distinct(*_entries(b"".join(x for x, _ in held)))
+        more, at = _entries(b"".join(x for _, x in held))
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[key[like], more].view(np.int64)), pa.array(np.r_[d[like], at])], ["key", "d"])
+
+    dealt = sketched.select("d", "keys").mapInArrow(deal, "part long, one binary, like binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, d long").distinct()
+
+
+def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(d, hashes): the digest of each text's set and the set itself."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                found = [shingles(t.as_py(), width).tobytes() for t in b.column("text").slice(at, 64)]
+                d = np.array([xxh64_intdigest(x, 3) for x in found], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(found, pa.binary())], ["d", "hashes"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "d long, hashes binary")
+
+
+def verified(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of digests whose sets are as similar as that."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = hashes.toDF("a", "x"), hashes.toDF("b", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, d) of every row, and (d, root) of the digests that share a key: rows are near copies of each other where roots
+    (the digests themselves where there is none) are equal.
+
+    Buckets are first linked to one member each, large ones some rounds with other members; then all pairs that share a bucket and
+    aren't connected yet are verified, so that a large group costs a few comparisons a member and no candidate is left out."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sketches(docs, width).write.parquet(at := fresh_dir(spark, "sketches"))
+    own = spark.read.schema("doc_id long, d long, n long, signs array<long>, keys binary").parquet(at)
+    met = cut(members(own))
+    needed = cut(met.select("d").distinct())
+    classes = own.join(needed, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+    keyed = cut(met.join(met.groupBy("key").agg(F.count("*").alias("m")), "key").join(classes, "d").select("key", "m", "d", "n", "signs"))
+    ids = classes.select(F.col("least").alias("_id")).where("_id is not null").distinct()
+    texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    hashes = cut(sets(texts, width).join(needed, "d", "left_semi").dropDuplicates(["d"]))
+    roots, found = needed.select("d", F.col("d").alias("root")), None
+    apart = " + ".join(f"bit_count(a.signs[{i}] ^ b.signs[{i}])" for i in range(SIGNS))
+    near = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and a.root <> b.root and {apart} <= {APART}"
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nonlocal found
+        new = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), hashes, similarity)
+        found = cut(new if found is None else found.unionByName(new))
+        at = components(found).withColumnRenamed("node", "d")
+        return cut(needed.join(at, "d", "left").select("d", F.coalesce("root", "d").alias("root")))
+
+    for i in range(STARS):
+        rows = (keyed.where(F.col("m") > CROWD) if i else keyed).join(roots, "d")
+        centre = rows.groupBy("key").agg(F.min_by(F.struct("d", "n", "signs", "root"), F.xxhash64("d", F.lit(i))).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        pairs = cut(rows.alias("a").join(centre.select("key", "c.*").alias("b"), "key").where(near).select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct())
+        if pairs.isEmpty():
+            break
+        roots = linked(pairs)
+    rows = keyed.join(roots, "d")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = cut(rows.join(open_, "key", "left_semi"))
+    pairs = cut(rows.alias("a").join(rows.alias("b"), "key").where(f"a.d < b.d and {near}").select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct())
+    if not pairs.isEmpty():
+        roots = linked(pairs)
+    return own.select("doc_id", "d"), roots
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` without the documents of each group of near copies but that of the least doc_id; same columns.
+
+    Texts link when the Jaccard similarity of their sets of `width`-word shingles (lower-cased ASCII, split at ASCII
+    white space) is `similarity` or more; groups are what links connect. A shorter text is one shingle; null, empty
+    and blank texts are copies of each other. Texts are read whole, of any length. Rows with a null doc_id link their
+    group and are kept: they cannot be told from one another. Rows that repeat a kept doc_id are kept. An empty table
+    gives no rows; columns may have any names.
     """
-    keep = simhash_groups(docs, width).where("component_id <=> doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").unionByName(docs.where("doc_id is null"))
+    own, roots = near_copy_groups(docs, width, similarity)
+    least = own.groupBy("d").agg(F.min("doc_id").alias("least"))
+    keep = least.join(roots, "d", "left").groupBy(F.coalesce("root", "d")).agg(F.min("least").alias(KEEP)).where(F.col(KEEP).isNotNull()).select(KEEP).distinct()
+    return docs.join(keep, docs["doc_id"] == keep[KEEP], "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+KEEP = "__simhash_keep"
