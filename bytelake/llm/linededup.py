@@ -1,21 +1,24 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (h1, h2, n_docs, last_doc, fresh), sorted by hash: what one batch of documents, or several
-compacted ones, said of each key. A batch is merge-anti-joined with the runs (fresh: no earlier run has the key) and
-added as a run of level 0; FANOUT runs of a level are compacted into one of the next. The runs of a store together
-hold, for each key, in how many documents it stands and the largest doc_id that has it.
+A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by hash. Each batch of documents is merge-anti-joined
+with the runs: keys that no run has become a run of level 0, with the documents of that batch that hold them; keys
+that some run has go to a run of changes, which hold what the batch adds to them. Two runs of a level are merged
+into one of the next. So the runs hold each key once, and a key's documents are those of its run and of its changes.
+All runs have the same buckets, so joining and compacting them moves no row of theirs.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from bytelake.llm.shared import WHITE, bounded_batches, fresh_dir
+from bytelake.llm.shared import WHITE, bounded_batches, fresh_dir, partitions, remove
 
-FANOUT, BATCHES = 3, 4
+BATCHES = 3
 MASK, TOP = (1 << 64) - 1, 1 << 63
 KEY = ["h1", "h2"]
 ID, LOST = "__line_dedup_id", "__line_dedup_lost"  #: columns beside those of the documents, whatever theirs are called
@@ -47,49 +50,71 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
 
 
 class LineRuns:
-    """A store of levelled runs in a folder that driver and executors share."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout, self.levels, self.made = spark, path or fresh_dir(spark, "runs"), fanout, [], 0
-
-    def _write(self, df: DataFrame) -> str:
-        at = f"{self.path}/run-{self.made}"
-        self.made += 1
-        df.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(at)
-        return at
-
-    def _read(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long, fresh boolean").parquet(*runs)
-
-    def runs(self) -> list[str]:
-        return [r for level in self.levels for r in level]
+    """A store of levelled runs in a folder that driver and executors share: `keys`, each key once, and `changes` to them."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.buckets = spark, path or fresh_dir(spark, "runs"), partitions(spark)
+        self.keys: list[list[str]] = []
+        self.changes: list[list[str]] = []
+
+    def _write(self, rows: DataFrame) -> str:
+        """Write (h1, h2, n_docs, last_doc) as a run. Rows that come from an aggregate or from runs are dealt as buckets are."""
+        name = f"bytelake_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, runs: list[str]) -> None:
+        for name in runs:
+            self.spark.sql(f"drop table {name}")
+            remove(self.spark, f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        self._drop([r for levels in (self.keys, self.changes) for level in levels for r in level])
+        self.keys, self.changes = [], []
+
+    def fresh(self, batch: str) -> DataFrame:
+        """The rows of a batch's own run whose key no run has: a merge-anti-join with each run, bucket by bucket."""
+        out = self.spark.table(batch)
+        for run in (r for level in self.keys for r in level):
+            out = out.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        return out
 
     def add(self, batch: DataFrame) -> None:
         """Add (doc_id, h1, h2) rows of documents that no other batch has."""
-        own = batch.distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if self.runs():
-            known = self._read(self.runs()).select(*KEY).distinct()
-            old = known.hint("merge").withColumn("old", F.lit(True))
-            own = own.join(old, KEY, "left").withColumn("fresh", F.col("old").isNull()).drop("old")
-        else:
-            own = own.withColumn("fresh", F.lit(True))
-        self._put(0, self._write(own))
-
-    def _put(self, level: int, run: str) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            run = self._write(self._merged(self.levels[level]))
-            self.levels[level] = []
-            self._put(level + 1, run)
-
-    def _merged(self, runs: list[str]) -> DataFrame:
-        return self._read(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
-
-    def known(self) -> DataFrame:
-        """(h1, h2, n_docs, last_doc) over all runs."""
-        return self._merged(self.runs()).drop("fresh")
+        own = self._write(batch.distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        if not self.keys:
+            return self._put(self.keys, 0, own)
+        fresh = self._write(self.fresh(own))
+        known = self.spark.table(own).join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti")
+        self._put(self.changes, 0, self._write(known))
+        self._put(self.keys, 0, fresh)
+        self._drop([own])
+
+    def _put(self, levels: list[list[str]], level: int, run: str) -> None:
+        if level == len(levels):
+            levels.append([])
+        levels[level].append(run)
+        if len(levels[level]) == 2:
+            runs, levels[level] = levels[level], []
+            merged = self._write(self._with(self.spark.table(runs[0]), runs[1], "full"))
+            self._drop(runs)
+            self._put(levels, level + 1, merged)
+
+    def _with(self, rows: DataFrame, run: str, how: str) -> DataFrame:
+        """Add up what two runs say of their keys: a merge join, bucket by bucket."""
+        more = self.spark.table(run).toDF(*KEY, "more", "later").hint("merge")
+        n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+        return rows.join(more, KEY, how).select(*KEY, n.alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
+
+    def known(self) -> list[DataFrame]:
+        """(h1, h2, n_docs, last_doc), a frame for each run of keys: what it says, and all changes."""
+        out = []
+        for run in (r for level in self.keys for r in level):
+            rows = self.spark.table(run)
+            for changes in (r for level in self.changes for r in level):
+                rows = self._with(rows, changes, "left")
+            out.append(rows)
+        return out
 
 
 def repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
@@ -102,8 +127,10 @@ def repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, batches:
     store = LineRuns(spark)
     for i in range(batches):
         store.add(all_lines.where(F.col("batch") == i).select("doc_id", *KEY))
-    store.known().where(F.col("n_docs") >= min_docs).write.parquet(f"{store.path}/often")  # a table of its own: the join may then split a hot key
+    for rows in store.known():  # into a table of its own: the join may then split a hot key
+        rows.where(F.col("n_docs") >= min_docs).write.mode("append").parquet(f"{store.path}/often")
     often = spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(f"{store.path}/often")
+    store.drop()
     lost = all_lines.join(often, KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
     return lost.where("last_doc is not null").groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias(LOST))
 
