@@ -1,13 +1,16 @@
-"""SentencePiece encoding and decoding in numpy.
+"""SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-Unigram: batched Viterbi. Words of equal length advance together, one end position at a time: hashes of all their
-substrings that end there probe the sorted piece keys, and the best score and its back pointer are kept for every
-word at once. BPE models are not solved by Viterbi (the best sum of scores isn't what merging yields), so their
-pieces come from rank-synchronous merging; `viterbi` may still be asked for with their scores. Words of over SHORT
-characters, which are few, advance with others of nearly their length; each is followed back from its own end.
+Words of equal length advance together, one end position at a time: hashes of all their substrings that end there
+probe the sorted keys of the pieces of that size, hits are compared by their characters, and the best score, its piece
+and its back pointer are kept for every word at once. For a Unigram model a path's score is the sum of its pieces' scores. What
+merging gives for a BPE model is no best sum, but it is a path: pieces a, b may follow each other exactly if merging the text of both gives a, b
+again, and exactly one path keeps to that at all its steps (a merge that crossed one of its borders first would cross it in the
+text of these two pieces alone as well). So for a BPE model a step scores 0, or minus infinity where its two pieces
+don't fit; whether they do is found by undoing their merges, the latest first, and asking each time whether the two
+symbols at the border would have merged before. Of equal ranks the first pair merges first.
 
 A sentence is cut into words before each run of word-boundary marks and around line ends; no piece of the models that are
-accepted lies across such a cut.
+accepted lies across such a cut. A long word goes through in stretches of ends, so that it needs some 30 bytes a character.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.ragged import Merges, Places
+from bytelake.llm.ragged import NONE, Merges
 from bytelake.llm.shared import bounded_batches
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-CACHE = 6_000_000  #: words and pieces that a task keeps of each kind; then it starts over
-SHORT, STEP = 32, 300_000  #: characters of words that only meet others of their length; characters that a batch has
+CACHE = 12_000_000  #: words, characters and pieces that a task keeps; then it starts over
+STEP = 100_000  #: characters that advance together, about: of words of a length, or of a stretch of one
+PAIRS = 21  #: bits of the number of pairs of pieces that are remembered
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE, UNKNOWN, NORMAL, UNUSED = 6, 2, 1, 5
 
@@ -87,12 +91,16 @@ class Model:
         self.id = {self.pieces[i]: i for i in usual}
         self.floor = min(self.scores[i] for i in usual) - 10.0
         self.longest = max(map(len, self.id))
-        points = [np.array(list(map(ord, p)), np.uint64) for p in self.id]
-        keys = np.array([_hash(p) for p in points], np.uint64)
-        if len(set(keys.tolist())) < len(keys):
-            raise ValueError("two pieces share a hash")
-        self.places, self.key_ids = Places(keys), np.fromiter(self.id.values(), np.int64)
-        self.key_scores = np.array(self.scores)[self.key_ids]
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by size: sorted keys, ids, characters
+        for size in sorted(set(map(len, self.id))):
+            own = [p for p in self.id if len(p) == size]
+            points = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").reshape(-1, size)
+            keys = _hashes(points, size)[:, 0]
+            order = np.argsort(keys)
+            if (keys[order][1:] == keys[order][:-1]).any():
+                raise ValueError("two pieces share a hash")
+            self.sizes[size] = keys[order], np.array([self.id[p] for p in own])[order], points[order]
+        self.values = np.array(self.scores)
         self.of_char = -1 - np.arange(0x110000)  # the piece of a character, or a negative number that names it
         for piece, i in self.id.items():
             if len(piece) == 1:
@@ -108,9 +116,50 @@ class Model:
                     a, b = self.id.get(piece[:k]), self.id.get(piece[k:])
                     if a is not None and b is not None:
                         left.append(a), right.append(b), rank.append(-self.scores[i]), result.append(i)
-            self.merges = Merges(left, right, np.array(rank).astype(np.int64), result)
+            self._merging(left, right, np.array(rank).astype(np.int64), result)
         self.known: dict[tuple[bool, ...], _Known] = {}
 
+    def _merging(self, left, right, rank, result) -> None:
+        """What BPE needs: the merges; for each piece the two that its last merge joins, and the rank of that (-1: it is a character)."""
+        self.merges, n = Merges(left, right, rank, result), len(self.pieces)
+        self.rank, self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        pairs, self.reached = {(a, b): (r, c) for a, b, r, c in zip(left, right, rank.tolist(), result)}, np.ones(n, bool)
+        for piece, i in self.id.items():  # merging a piece's own text, one pair at a time: the least rank, of equal ones the first
+            row, last = [self.of_char[ord(c)] for c in piece], None
+            while found := [(*pairs[two], k) for k, two in enumerate(zip(row, row[1:])) if two in pairs]:
+                r, c, k = min(found, key=lambda f: (f[0], f[2]))
+                last = row[k], row[k + 1], r
+                row[k : k + 2] = [c]
+            self.reached[i] = row == [i]
+            if last and row == [i]:
+                self.left[i], self.right[i], self.rank[i] = last
+        self.pair_keys, self.pair_fits = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging the text of each two pieces gives them back. Pairs are remembered, one for each of their hashes."""
+        key = a << 32 | b
+        slot = (key.view(np.uint64) * BASE >> np.uint64(64 - PAIRS)).astype(np.int64)
+        new = np.flatnonzero(self.pair_keys[slot] != key)
+        out = self.pair_fits[slot]
+        if len(new):
+            out[new] = self._fit(a[new], b[new])
+            self.pair_keys[slot[new]], self.pair_fits[slot[new]] = key[new], out[new]  # of equal slots the last stays, in both
+        return out
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b, out, live, limit = a.copy(), b.copy(), np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), NONE)
+        while len(live):
+            crossed = self.merges.find(a[live], b[live])[0] < limit[live]
+            out[live[crossed]] = False
+            live = live[~crossed]
+            x, y = self.rank[a[live]], self.rank[b[live]]
+            some = (x >= 0) | (y >= 0)
+            live, x, y = live[some], x[some], y[some]
+            later = x > y  # of equal ranks the left one merges first
+            limit[live] = np.where(later, x, y + 1)
+            a[live], b[live] = np.where(later, self.right[a[live]], a[live]), np.where(later, b[live], self.left[b[live]])
+        return out
+
     def normal(self, text: str) -> str:
         """The sentence of a text: white space marks, and one in front if the model asks for it."""
         if self.squeeze:
@@ -119,12 +168,12 @@ class Model:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str], viterbi: bool | None = None) -> list[np.ndarray]:
-        """The piece ids of each text; by Viterbi for Unigram models (or where asked), else by merging."""
-        return self.encode_ways(texts, (not self.bpe if viterbi is None else viterbi,))[0]
+    def encode(self, texts: list[str], sums: bool | None = None) -> list[np.ndarray]:
+        """The piece ids of each text: for BPE models the path of pieces that fit, for Unigram ones (or where asked: `sums`) that of the best sum."""
+        return self.encode_ways(texts, (not self.bpe if sums is None else sums,))[0]
 
     def encode_ways(self, texts: list[str], ways: tuple[bool, ...]) -> list[list[np.ndarray]]:
-        """For each way (True: Viterbi), the piece ids of each text; the texts are split and looked up once."""
+        """For each way (True: by sums), the piece ids of each text; the texts are split and their pieces looked up once."""
         out: list[list[np.ndarray]] = [[] for _ in ways]
         for at in range(0, len(texts), 256):
             split = [WORDS.findall(self.normal(t)) for t in texts[at : at + 256]]
@@ -132,7 +181,8 @@ class Model:
                 self.known[ways] = _Known(len(ways))
             known, words = self.known[ways], list(chain.from_iterable(split))
             new = sorted(set(words).difference(known.index), key=len)
-            known.add(new, [[self._viterbi(w) if way else self._merge(w) for w in self._batches(new)] for way in ways])
+            runs = [self._viterbi(w, ways) for w in self._batches(new)]
+            known.add(new, [[r[k] for r in runs] for k in range(len(ways))])
             ends = np.cumsum([len(w) for w in split])
             for got, (ids, n) in zip(out, known.get(words)):
                 got += np.split(ids, np.r_[0, np.cumsum(n)][ends][:-1])
@@ -140,11 +190,10 @@ class Model:
 
     @staticmethod
     def _batches(words: list[str]):
-        """Runs of words in the order of their lengths: equal ones, over SHORT nearly equal ones, of some STEP characters."""
-        sizes, at = np.fromiter(map(len, words), np.int64), 0
+        """Runs of words of equal lengths, of some STEP characters together."""
+        sizes, at = np.fromiter(map(len, words), np.int64, len(words)), 0
         while at < len(words):
-            most = int(sizes[at]) if sizes[at] <= SHORT else int(sizes[at] * 1.25)
-            end = min(int(np.searchsorted(sizes, most, "right")), at + max(1, STEP // most))
+            end = min(int(np.searchsorted(sizes, sizes[at], "right")), at + max(1, STEP // int(sizes[at])))
             yield words[at:end]
             at = end
 
@@ -164,50 +213,69 @@ class Model:
             ids = wide
         return ids, np.bincount(row, minlength=n)
 
-    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of about one length, the longest last."""
-        n, length, own = len(words), len(words[-1]), np.array([len(w) for w in words])
-        x = np.zeros((n, length), np.uint64)
-        x[np.arange(length) < own[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        most = min(self.longest, length)
-        gain = np.full((length + 1, most, n), -np.inf)  # by end and size - 1
-        name = np.full((length + 1, most, n), -1, np.int32)
-        h, power = np.zeros((n, length), np.uint64), np.ones(1, np.uint64)
-        for size in range(1, most + 1):
-            h[:, size - 1 :] += (x[:, : length - size + 1] + np.uint64(1)) * power
-            power = power * BASE
-            found = self.places.find(h[:, size - 1 :].ravel()).reshape(n, -1)
-            row, end = np.nonzero(found >= 0)
-            at = found[row, end]
-            end += size
-            if size == 1:
-                gain[1:, 0] = self.floor
-            gain[end, size - 1, row], name[end, size - 1, row] = self.key_scores[at], self.key_ids[at]
-        best, back = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), np.int32)
-        best[0] = 0
-        every = np.arange(n)
-        for end in range(1, length + 1):
-            sizes = min(most, end)
-            score = best[end - sizes : end][::-1] + gain[end, :sizes]
-            pick = score.argmax(axis=0)  # the first, so the shortest piece, of equal ones
-            best[end], back[end] = score[pick, every], pick
-        end, rows, ends, ids = own.copy(), [], [], []
-        live = np.flatnonzero(end > 0)
-        while len(live):
-            e = end[live]
-            pick = back[e, live]
-            piece = name[e, pick, live].astype(np.int64)
-            rows.append(live), ends.append(e), ids.append(np.where(piece >= 0, piece, -1 - x[live, e - 1].astype(np.int64)))
-            end[live] = e - pick - 1
-            live = live[end[live] > 0]
-        rows, ends, ids = (np.concatenate(v) for v in (rows, ends, ids))
-        order = np.lexsort((ends, rows))
-        return self._bytes(ids[order], rows[order], n)
-
-    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        seq = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        return self._bytes(*self.merges.merge(self.of_char[points], seq), len(words))  # unknown characters never merge
+    def _found(self, x: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
+        """(high - low, most, n): by end (the first is low + 1) and size - 1, the piece of each word there; -1 for none. A character that
+        is no piece is named by a negative number."""
+        n = len(x)
+        first = max(0, low - most + 1)
+        part = x[:, first:high]
+        out = np.full((high - low, most, n), -1, np.int32)
+        out[:, 0] = self.of_char[part[:, low - first :]].T
+        for size, (keys, ids, points) in self.sizes.items():
+            if size == 1 or size > most or size > part.shape[1]:
+                continue
+            h = _hashes(part, size)
+            at = np.minimum(np.searchsorted(keys, h.ravel()), len(keys) - 1)
+            row, begin = np.divmod(np.flatnonzero(keys[at] == h.ravel()), h.shape[1])
+            at, end = at[row * h.shape[1] + begin], first + begin + size
+            same = end > low
+            for k in range(size):
+                same &= part[row, begin + k] == points[at, k]
+            out[end[same] - low - 1, size - 1, row[same]] = ids[at[same]]
+        return out
+
+    def _viterbi(self, words: list[str], ways: tuple[bool, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each way, the pieces of words of one length, end to end, and how many each word has."""
+        n, length = len(words), len(words[0])
+        x = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, length)
+        most, every = min(self.longest, length), np.arange(n)
+        kept = [(np.zeros((length + 1, n)), np.full((length + 1, n), -1, np.int32), np.zeros((length + 1, n), np.uint8)) for _ in ways]
+        stretch = max(1, STEP // n)
+        for low in range(0, length, stretch):
+            found = self._found(x, low, min(length, low + stretch), most)
+            for sums, (best, last, back) in zip(ways, kept):
+                if sums:
+                    gain = np.where(found >= 0, self.values[np.maximum(found, 0)], -np.inf)
+                    gain[:, 0] = np.where(found[:, 0] >= 0, gain[:, 0], self.floor)
+                for end in range(low + 1, low + len(found) + 1):
+                    sizes, own = min(most, end), found[end - low - 1]
+                    if sums:
+                        score = best[end - sizes : end][::-1] + gain[end - low - 1, :sizes]
+                    else:
+                        score = np.full((sizes, n), -np.inf)
+                        score[0] = np.where(own[0] < 0, 0.0, -np.inf)  # what is no piece never merges
+                        size, row = np.nonzero(own[:sizes] >= 0)
+                        a, b = last[end - 1 - size, row].astype(np.int64), own[size, row].astype(np.int64)
+                        ok = self.reached[b]
+                        ask = np.flatnonzero(ok & (a >= 0) & (size + 1 < end))
+                        ok[ask] = self.fits(a[ask], b[ask])
+                        score[size[ok], row[ok]] = 0.0
+                    pick = sizes - 1 - score[::-1].argmax(axis=0)  # of equal ones the longest piece
+                    best[end], last[end], back[end] = score[pick, every], own[pick, every], pick + 1
+        out = []
+        for best, last, back in kept:
+            if not np.isfinite(best[length]).all():
+                raise ValueError("a word has no path")
+            steps, name, ids, many = back.T.tolist(), last.T, [], np.zeros(n, np.int64)
+            for i, step in enumerate(steps):
+                end, ends = length, []
+                while end:
+                    ends.append(end)
+                    end -= step[end]
+                ids.append(name[i, ends[::-1]])
+                many[i] = len(ends)
+            out.append(self._bytes(np.concatenate(ids).astype(np.int64), np.repeat(every, many), n))
+        return out
 
     def decode(self, ids) -> str:
         """The text of piece ids; bytes that are no UTF-8 become U+FFFD."""
@@ -226,15 +294,17 @@ class _Known:
 
     def __init__(self, ways: int):
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.kept = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(ways)]  # ids, counts, starts
 
     def size(self) -> int:
-        return len(self.index) + sum(len(ids) for ids, _, _ in self.kept)
+        return len(self.index) + self.chars + sum(len(ids) for ids, _, _ in self.kept)
 
     def add(self, words: list[str], found: list[list[tuple[np.ndarray, np.ndarray]]]) -> None:
         """found: for each way, (ids, how many each word has) of consecutive runs of the words."""
         if not words:
             return
+        self.chars += sum(map(len, words))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         for k, (runs, (ids, n, start)) in enumerate(zip(found, self.kept)):
             more = np.concatenate([c for _, c in runs])
@@ -249,12 +319,13 @@ class _Known:
             yield ids[np.repeat(start[at] - before, n) + np.arange(n.sum())].astype(np.int64), n
 
 
-def _hash(points: np.ndarray) -> np.uint64:
-    h, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
-    for c in points[::-1]:
-        h += (c + np.uint64(1)) * power
-        power *= BASE
-    return h[0]
+def _hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` characters of each row."""
+    many = points.shape[1] - size + 1
+    h = np.zeros((len(points), many), np.uint64)
+    for k in range(size):
+        h = h * BASE + points[:, k : k + many] + np.uint64(1)
+    return h
 
 
 @lru_cache(2)
@@ -263,14 +334,15 @@ def model(file: str) -> Model:
 
 
 def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_pieces, n_viterbi, viterbi_score, ids_digest (XXH64 of the ids as little-endian
-    int32, hex), round_trip (decoding gives the sentence back), and ids where `keep_ids`.
+    """One row per document: doc_id, n_pieces, ids_digest (XXH64 of the ids as little-endian int32, hex), round_trip
+    (decoding gives the sentence back), n_unigram, unigram_digest, unigram_score, and ids where `keep_ids`.
 
-    n_pieces, ids and digest are the model's own encoding; n_viterbi and viterbi_score are those of the best
-    segmentation by the sum of its scores. Null and empty texts have no pieces. Texts are read whole; repeated rows are encoded each;
-    other columns are not read; an empty table gives no rows.
+    n_pieces, ids and ids_digest are the model's own encoding, as its library gives it: for a BPE model the Viterbi path
+    whose pieces fit. The unigram columns are the path with the best sum of the model's scores, as
+    the library gives it for the same pieces as a Unigram model. Null and empty texts have no pieces. Texts are read
+    whole, words of any length; repeated rows are encoded each; other columns are not read; an empty table gives no rows.
     """
-    schema = "doc_id long, n_pieces long, n_viterbi long, viterbi_score double, ids_digest string, round_trip boolean" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, n_pieces long, ids_digest string, round_trip boolean, n_unigram long, unigram_digest string, unigram_score double" + ", ids array<int>" * keep_ids
 
     def run(batches):
         m = model(file)
@@ -282,7 +354,10 @@ def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataF
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 own, best = m.encode_ways(texts, (not m.bpe, True))
                 want = [m.normal(t).replace(MARK, " ")[m.prefix :] for t in texts]
-                cols = [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([len(x) for x in best], pa.int64()), pa.array([float(scores[x].sum()) for x in best]), pa.array([xxhash.xxh64_hexdigest(x.astype("<i4").tobytes()) for x in own]), pa.array([m.decode(x) == w for x, w in zip(own, want)])]
+                trip = [m.decode(x) == w for x, w in zip(own, want)]
+                digest = [pa.array([xxhash.xxh64_hexdigest(x.astype("<i4").tobytes()) for x in ids]) for ids in (own, best)]
+                size = [pa.array([len(x) for x in ids], pa.int64()) for ids in (own, best)]
+                cols = [part.column("doc_id"), size[0], digest[0], pa.array(trip), size[1], digest[1], pa.array([float(scores[x].sum()) for x in best])]
                 if keep_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
