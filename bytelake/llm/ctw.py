@@ -6,8 +6,11 @@ weights of context-tree weighting, so a prediction is a mixture over all depths
 holds, ends every text and stands before it, so the model is a distribution over whole texts.
 
 Nothing here grows on the driver but the nodes of depth 0 and 1 (256 contexts of 255 nodes). Blocks of documents give
-their distinct grams (contexts with next byte) and words; Spark sums these, a group of grams with the same two last
-context bytes is weighted at a time, and each block gets back the values of its own grams and words by a join.
+their distinct grams (contexts with next byte) and words; Spark sums these; grams with the same three last context
+bytes are weighted together, from the deepest nodes up to depth 3, and sums of these go up to the 65,536 contexts of depth 2 and
+on to depth 1; then each group gets the mixture of the depths above it, as a row of its own before its grams, and
+each block gets back the values of its own grams and words by a join. (A block's distinct grams are found twice, once
+to be summed and once for that join: kept between, they would take more disk than the time is worth.)
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from bytelake.llm.shared import bounded_batches, cut, fresh_dir, remainder
 
 DEPTH = 5  #: bytes of context; a gram has DEPTH + 1 bytes, 7 at most
-BLOCK_ROWS = 8192  #: rows of a file that make a block; fewer where texts are long
+BLOCK_ROWS, USUAL = 8192, 1 << 14  #: rows of a file that make a block; half as many whenever texts are twice as long as USUAL bytes
+NEAR = 3  #: context bytes that grams of a group share
 END, WORD = 0xFF, -(1 << 63)
 PIECE = 1 << 18  #: bytes whose grams are held at once
 FREE = -1  #: no key: a word's is WORD at least and stays below -1 by its making
@@ -200,53 +204,108 @@ def weigh(labels: list[np.ndarray], n: np.ndarray, bit: np.ndarray, below: np.nd
 
 
 def _levels(key: np.ndarray, depth: int):
-    """For each of 8 bit positions: labels of depths 2..depth, bit, node of the symbol tree (heap index)."""
+    """For each of 8 bit positions: labels of depths NEAR..depth, bit, node of the symbol tree (heap index)."""
     symbol = key & 255
     for i in range(8):
         prefix = symbol >> (8 - i)
-        yield [(key >> (8 * (depth + 1 - d))) << 8 | prefix for d in range(2, depth + 1)], symbol >> (7 - i) & 1, (1 << i) | prefix
+        yield [(key >> (8 * (depth + 1 - d))) << 8 | prefix for d in range(NEAR, depth + 1)], symbol >> (7 - i) & 1, (1 << i) | prefix
 
 
-def subtree_roots(key: np.ndarray, n: np.ndarray, depth: int) -> pa.RecordBatch:
-    """For grams of whole groups with the same two last context bytes: (c1, heap, wp), the log weighted probability of
-    each node of depth 2, summed over the groups of a last byte."""
-    c1, n, sums = key >> (8 * depth), n.astype(float), np.zeros((256, 256))
+def group_roots(key: np.ndarray, n: np.ndarray, depth: int) -> pa.RecordBatch:
+    """For grams of whole groups: (two, heap, wp), the log weighted probability of each group's nodes of depth NEAR, summed over the
+    groups with the same two last context bytes."""
+    two, n, parts = key >> (8 * (depth - 1)), n.astype(float), []
     for labels, bit, heap in _levels(key, depth):
         inv, wp, _, _ = weigh(labels, n, bit)[0]
         at = np.zeros(len(wp), np.int64)
-        at[inv] = c1 << 8 | heap
-        sums += np.bincount(at, wp, 1 << 16).reshape(256, 256)
-    c, h = np.nonzero(sums)
-    return pa.RecordBatch.from_arrays([pa.array(c), pa.array(h), pa.array(sums[c, h])], ["c1", "heap", "wp"])
+        at[inv] = two << 8 | heap
+        node, inv = np.unique(at, return_inverse=True)
+        parts.append((node, np.bincount(inv, wp, len(node))))
+    node, wp = (np.concatenate(x) for x in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(node >> 8), pa.array(node & 255), pa.array(wp)], ["two", "heap", "wp"])
+
+
+class Seconds:
+    """The nodes of depth 2 of one context of two bytes: counts of their next bytes, and what lies below."""
+
+    def __init__(self, counts: np.ndarray, below: np.ndarray):
+        """counts of 256 next bytes; below: by heap node, the sum of the log weighted probabilities of the children."""
+        symbol = np.flatnonzero(counts)
+        n = counts[symbol].astype(float)
+        self.wp, self.share, self.estimate = np.zeros(256), np.ones(256), np.full(256, 0.5)  # by heap node; the estimate of a one
+        for i in range(8):
+            heap, bit = (1 << i) | symbol >> (8 - i), symbol >> (7 - i) & 1
+            node, inv = np.unique(heap, return_inverse=True)
+            n1, n0 = np.bincount(inv, n * bit, len(node)), np.bincount(inv, n * (1 - bit), len(node))
+            own = log_kt(n0, n1)
+            self.wp[node] = np.logaddexp(own, below[node]) - np.log(2)
+            self.share[node] = np.exp(own - np.log(2) - self.wp[node])
+            self.estimate[node] = (n1 + 0.5) / (n0 + n1 + 1)
+
+
+def _seconds(batches, answer):
+    """answer(two, Seconds) for each context from rows (two, at, n, wp) in the order of `two`: n of next byte `at`, or wp below node `at`."""
+    held: list = []
+
+    def done():
+        at, n, wp = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
+        counts, below, some = np.zeros(256, np.int64), np.zeros(256), n >= 0
+        counts[at[some]], below[at[~some]] = n[some], wp[~some]
+        return answer(held[0][0], Seconds(counts, below))
 
+    for b in batches:
+        two, *cols = (b.column(c).to_numpy(zero_copy_only=False) for c in ("two", "at", "n", "wp"))
+        for a, e in zip(cuts := np.flatnonzero(np.r_[True, two[1:] != two[:-1]]), [*cuts[1:], len(two)]):
+            if held and held[0][0] != two[a]:
+                yield done()
+                held = []
+            held.append((int(two[a]), *(c[a:e] for c in cols)))
+    if held:
+        yield done()
 
-def predictions(key: np.ndarray, n: np.ndarray, depth: int, upper: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """(key, value): log10 of the mixed probability of each gram's last byte after its context."""
-    c1, n, total = key >> (8 * depth), n.astype(float), np.zeros(len(key))
+
+def predictions(key: np.ndarray, n: np.ndarray, depth: int, group: np.ndarray, upper: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """(key, value): log10 of the mixed probability of each gram's last byte after its context. `upper`: for each `group` and heap node,
+    what the depths above give a one, a zero, and the weight that is left."""
+    n, total = n.astype(float), np.zeros(len(key))
     done1, done0, rest = upper
     for labels, bit, heap in _levels(key, depth):
-        p = np.where(bit, done1[c1, heap], done0[c1, heap])
-        left = rest[c1, heap]
+        p = np.where(bit, done1[group, heap], done0[group, heap])
+        left = rest[group, heap]
         for _, _, share, estimate in weigh(labels, n, bit):
             p, left = p + left * share * estimate, left * (1 - share)
         total += np.log10(p)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["key", "value"])
 
 
-def _whole_groups(batches, depth: int, rows: int = 200_000):
-    """Arrays (key, n) of some `rows` grams from batches in the order of the keys, never splitting two last context bytes."""
+def _whole_groups(batches, depth: int, rows: int = 100_000):
+    """Arrays (key, n, upper) of some `rows` rows from batches in the order of the keys, never splitting a group of NEAR context
+    bytes; upper is a list, null but in a row with n < 0 that stands before its group."""
     held: list = []
+
+    def whole():
+        key, n = (np.concatenate([h[k] for h in held]) for k in range(2))
+        return key, n, [u for h in held for u in h[2]]
+
     for b in batches:
-        held.append((b.column("key").to_numpy(), b.column("n").to_numpy()))
-        if sum(len(k) for k, _ in held) >= rows:
-            key, n = (np.concatenate(x) for x in zip(*held))
-            two = key >> (8 * (depth - 1))
-            at = int(np.searchsorted(two, two[-1]))
-            held = [(key[at:], n[at:])]
+        held.append((b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("upper").to_pylist()))
+        if sum(len(h[0]) for h in held) >= rows:
+            key, n, upper = whole()
+            near = key >> (8 * (depth + 1 - NEAR))
+            at = int(np.searchsorted(near, near[-1]))
+            held = [(key[at:], n[at:], upper[at:])]
             if at:
-                yield key[:at], n[:at]
+                yield key[:at], n[:at], upper[:at]
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+        yield whole()
+
+
+def _predicted(batches, depth: int):
+    for key, n, upper in _whole_groups(batches, depth):
+        head = n < 0
+        group = np.cumsum(head) - 1
+        tables = np.array([np.frombuffer(u) for u in upper if u is not None]).reshape(-1, 3, 256).transpose(1, 0, 2)
+        yield predictions(key[~head], n[~head], depth, group[~head], tables)
 
 
 def upper_levels(order1: np.ndarray, wp2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,14 +330,14 @@ def upper_levels(order1: np.ndarray, wp2: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def blocked(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, text, held_out, learn, block). Blocks follow a file's rows and hold fewer of them the longer texts are, so none
-    grows past 512 MB, and at usual lengths past 50. A frame that isn't read from files alone is written to the shared folder first."""
+    grows past `rows` * USUAL bytes (128 MB; a single longer text is a block), and at usual lengths past 20. A frame that isn't read from files alone is written to the shared folder first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     try:
         placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     except Exception:  # no file source below
         docs.write.parquet(at := fresh_dir(docs.sparkSession, "ctw"))
         placed = docs.sparkSession.read.parquet(at).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)) / 65536))).cast("long")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)) / USUAL))).cast("long")
     block = F.xxhash64("_path", level, F.floor(F.col("_row") / F.greatest(F.lit(1), F.floor(rows / F.pow(F.lit(2), level)))))
     held = remainder(F.col("doc_id"), 7) == 2
     return placed.select("doc_id", "text", held.alias("held_out"), (~held).alias("learn"), block.alias("block"))
@@ -347,18 +406,38 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     bounded_batches(docs.sparkSession)
     spark, placed = docs.sparkSession, blocked(docs)
     counted = placed.select("block", "text", "learn").mapInArrow(lambda b: _count(b, depth), "block long, key long, n long")
-    totals = cut(counted.groupBy("key").agg(F.sum("n").alias("n")))
+    near, over = F.shiftright("key", 8 * (depth + 1 - NEAR)), 8 * (depth + 1 - NEAR)
+    totals = cut(counted.groupBy("key").agg(F.sum("n").alias("n")).repartition(near).sortWithinPartitions("key"))
     words, tree = totals.where("key < 0"), totals.where("key >= 0")
     n_all, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
+    blank = F.lit(None).cast("binary")
+    roots = tree.withColumn("upper", blank).mapInArrow(lambda bs: (group_roots(k, n, depth) for k, n, _ in _whole_groups(bs, depth)), "two long, heap long, wp double")
+    below = roots.groupBy("two", "heap").agg(F.sum("wp").alias("wp")).select("two", F.col("heap").alias("at"), F.lit(-1).cast("long").alias("n"), "wp")
+    counts = tree.groupBy(F.shiftright("key", 8 * (depth - 1)).alias("two"), F.col("key").bitwiseAND(255).alias("at")).agg(F.sum("n").alias("n"))
+    seconds = cut(counts.select("two", "at", "n", F.lit(0.0).alias("wp")).unionByName(below))  # 511 rows for each of 65,536 contexts at most
+    of_two = seconds.repartition("two").sortWithinPartitions("two")
+
+    def order1_row(two: int, own: Seconds) -> pa.RecordBatch:
+        heap = np.flatnonzero(own.wp)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(heap), two >> 8)), pa.array(heap), pa.array(own.wp[heap])], ["c1", "heap", "wp"])
+
     order1, wp2 = np.zeros((256, 256)), np.zeros((256, 256))
-    for c, s, n in tree.groupBy(F.shiftright("key", 8 * depth).alias("c"), (F.col("key").bitwiseAND(255)).alias("s")).agg(F.sum("n")).collect():  # 65,536 rows at most
+    for c, s, n in seconds.where("n >= 0").groupBy(F.shiftright("two", 8).alias("c"), "at").agg(F.sum("n")).collect():  # 65,536 rows at most
         order1[c, s] = n
-    grouped = tree.repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key")
-    roots = grouped.mapInArrow(lambda bs: (subtree_roots(k, n, depth) for k, n in _whole_groups(bs, depth)), "c1 long, heap long, wp double")
-    for c, h, w in roots.groupBy("c1", "heap").agg(F.sum("wp")).collect():
+    for c, h, w in of_two.mapInArrow(lambda bs: _seconds(bs, order1_row), "c1 long, heap long, wp double").groupBy("c1", "heap").agg(F.sum("wp")).collect():
         wp2[c, h] = w
     upper = spark.sparkContext.broadcast(upper_levels(order1, wp2))  # 1.6 MB, whatever the corpus
-    values = grouped.mapInArrow(lambda bs: (predictions(k, n, depth, upper.value) for k, n in _whole_groups(bs, depth)), "key long, value double")
+
+    def mixed(two: int, own: Seconds) -> pa.RecordBatch:
+        done1, done0, rest = (u[two >> 8] for u in upper.value)
+        table = np.array([done1 + rest * own.share * own.estimate, done0 + rest * own.share * (1 - own.estimate), rest * (1 - own.share)])
+        return pa.RecordBatch.from_arrays([pa.array([two], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["two", "upper"])
+
+    mixtures = of_two.mapInArrow(lambda bs: _seconds(bs, mixed), "two long, upper binary")
+    groups = tree.groupBy(near.alias("near")).agg(F.lit(-1).cast("long").alias("n"))
+    heads = groups.withColumn("two", F.shiftright("near", 8 * (NEAR - 2))).join(mixtures, "two").select(F.shiftleft("near", over).alias("key"), "n", "upper")
+    led = tree.withColumn("upper", blank).unionByName(heads).repartition(near).sortWithinPartitions("key", "n")
+    values = led.mapInArrow(lambda bs: _predicted(bs, depth), "key long, value double")
     values = values.unionByName(words.select("key", F.col("n").cast("double").alias("value")))
     found = counted.select("block", "key").join(values, "key").select("block", "key", "value")
 

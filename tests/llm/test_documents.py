@@ -161,7 +161,7 @@ def brute_ctw(train, text, depth):
 
 def test_ctw_matches_the_recursion(spark):
     texts = [prose(i, 30) for i in range(14)] + ODD[:8]
-    got = {r["doc_id"]: r for r in ctw.ctw_scores(frame(spark, texts), 3).collect()}
+    got = {r["doc_id"]: r for r in ctw.ctw_scores(frame(spark, texts), 4).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     train = [t or "" for i, t in enumerate(texts) if not held[i]]
     tokens = lambda t: (t or "").encode().lower().split() + [b""]
@@ -172,7 +172,7 @@ def test_ctw_matches_the_recursion(spark):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[i], len(tokens(t)), n, sum(c[w] > 0 for w in tokens(t)))
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)))
     for i in (0, 3, 9, 14, 15, 17):
-        assert got[i]["score"] == pytest.approx(brute_ctw(train, texts[i] or "", 3), rel=1e-9)
+        assert got[i]["score"] == pytest.approx(brute_ctw(train, texts[i] or "", 4), rel=1e-9)
     assert ctw.ctw_scores(frame(spark, [])).count() == 0
     assert ctw.ctw_scores(frame(spark, ["only held"], [4])).count() == 1
 
