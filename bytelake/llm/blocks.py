@@ -1,8 +1,10 @@
 """A stated query set against all rows of a vector table, in bounded blocks.
 
-Candidates are dealt to stripes of some STRIPE rows and queries to batches of some BATCH; a candidate goes to each
-query batch and a query to each stripe, so that every pair of blocks meets in one bounded group. Each group gives at
-most k rows a query, and a window keeps the best k over all stripes.
+Candidates are dealt to stripes of some STRIPE rows and queries to batches of some BATCH; every stripe meets every batch
+in one group. A group's candidates come first, and an index is built of them once; its queries follow and stream
+past that index, so a task holds one stripe, whatever the number of queries. A table is copied once for each
+batch, which only tables of over 50 * BATCH rows have more than one of. Each group gives at most k rows a query, and a
+window keeps the best k over all stripes.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIPE, BATCH = 8192, 2048
+STRIPE, BATCH = 8192, 16_384
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -22,32 +24,47 @@ def vectors(df: DataFrame) -> DataFrame:
     return v.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) <> double('inf'))")
 
 
-def block_search(df: DataFrame, modulus: int, k: int, score_type: str, search, stripe: int = STRIPE, batch: int = BATCH) -> DataFrame:
-    """query_id, rank, vec_id, score: the best k of `search` over all blocks, ties to the smaller vec_id.
+def block_search(df: DataFrame, modulus: int, k: int, score_type: str, index, stripe: int = STRIPE, batch: int = BATCH) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k over all blocks, ties to the smaller vec_id.
 
     `df`: (vec_id, v). Queries: rows whose vec_id is divisible by `modulus` (of repeated ids the least vector, once);
-    a row that has the query's vec_id isn't its candidate. search(ids, vectors, query_ids, queries) gives arrays
-    (query_id, vec_id, score). Vectors of another length than the query's are no candidates of it.
+    a row that has the query's vec_id isn't its candidate. index(ids, vectors).search(query, k, query_id) gives arrays
+    (vec_id, score); ids ascend. Vectors of another length than the query's are no candidates of it.
     """
     df = df.withColumn("dim", F.size("v"))
     n, n_queries = df.agg(F.count("*"), F.count_if(F.col("vec_id") % modulus == 0)).first()
     stripes, batches = max(1, -(-n // stripe)), max(1, -(-n_queries // batch))
-    h = F.xxhash64("vec_id", F.lit(17))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
     queries = df.where(F.col("vec_id") % modulus == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    queries = queries.select("dim", "vec_id", "v", F.pmod(h, F.lit(batches)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("s"))
-    rows = df.select("dim", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(stripes)).alias("s"))
+    queries = queries.select("dim", every(stripes).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(batches)).alias("b"), F.lit(True).alias("asks"), "vec_id", "v")
+    rows = df.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(stripes)).alias("s"), every(batches).alias("b"), F.lit(False).alias("asks"), "vec_id", "v")
     as_type = {"long": pa.int64(), "double": pa.float64()}[score_type]
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", as_type)])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        (ids, v), (qids, q) = ((t.column("vec_id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)) for t in (left, right))
-        order, qorder = np.argsort(ids, kind="stable"), np.argsort(qids)  # so that ties fall to the smaller id, and runs agree
-        found = search(ids[order], v[order], qids[qorder], q[qorder])
-        return pa.table(dict(zip(schema.names, found)), schema=schema)
+    def run(parts):
+        group, held, made = None, [], None
+        for part in parts:
+            cols = [part.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "s", "b", "asks", "vec_id")]
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)]) if part.num_rows else []
+            out = []
+            for at, end in zip(cuts, [*cuts[1:], part.num_rows]):
+                own, ids = tuple(int(c[at]) for c in cols[:3]), cols[4][at:end]
+                if own != group:
+                    group, held, made = own, [], None
+                v = part.column("v").slice(at, end - at).flatten().to_numpy(zero_copy_only=False).reshape(end - at, own[0])
+                if not cols[3][at]:
+                    held.append((ids, v))
+                elif held or made:
+                    if made is None:
+                        made, held = index(*(np.concatenate(x) for x in zip(*held))), []
+                    for query_id, q in zip(ids, v):
+                        found, scores = made.search(q, k, query_id)
+                        out.append((np.full(len(found), query_id), found, scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), schema.types)], schema=schema)
 
-    found = rows.groupBy("dim", "b", "s").cogroup(queries.groupBy("dim", "b", "s")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    met = rows.unionByName(queries).repartition(min(20_000, 4 * stripes * batches), "dim", "s", "b")
+    found = met.sortWithinPartitions("dim", "s", "b", "asks", "vec_id", "v").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,8 +4,9 @@ A block's candidates are cut into bands of norms within a factor of BAND, each w
 row doesn't level the others. In a band maximum inner product becomes nearness by one more coordinate (the band's largest
 norm makes all vectors equally long). A band is left out only if by its largest norm it can't reach the k-th score found. Each of PROJECTIONS random projections of a band is a sorted array. A query's window in each
 array is centred on the query's own projection and widened by virtual rehashing: radius R becomes RATIO * R, and only what is new in the window is
-counted. Candidates that collide in at least a threshold of the arrays are verified by their true inner product. The
-widening ends when enough were verified.
+counted. Candidates that collide in at least a threshold of the arrays are verified by their true inner product. A
+row at distance s collides in a projection if a normal number is under R / s, so at radius R rows nearer than about
+R / REACH have passed the threshold: the widening ends when the k-th nearest that was verified is as near as that.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame
 
 from bytelake.llm.blocks import block_search, top, vectors
 
-STRIPE, BATCH = 32_768, 1024
-PROJECTIONS, THRESHOLD, RADIUS, RATIO = 65, 0.7, 0.8, 1.12
+STRIPE, K = 16_384, 20
+PROJECTIONS, THRESHOLD, RADIUS, RATIO = 65, 0.7, 0.3, 1.05
+REACH = 1.13  #: a collision has probability THRESHOLD at 1.04; projections in whole orthogonal bases leave less to chance than others would
 BAND = 1.1  #: largest norm of a band over its least
-VERIFY = 0.07  #: share of a band, on top of 8 k, whose verification ends the widening
 SCOUTS = 8  #: a block's first queries begin at RADIUS; the others one step before the least radius that those ended at
 
 
@@ -49,15 +50,17 @@ class CollisionIndex:
         self.order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, self.order, axis=1)
         self.ended: list[float] = []
+        self.verified = self.asked = 0  #: rows verified; rows that could have been
 
     def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, inner products) of the best k found but for rows with the id `own`."""
         n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
         other = np.ones(n, bool) if own is None else self.ids != own
-        enough = min(int(other.sum()), 8 * k + int(VERIFY * n))
-        centre = self.axes @ np.r_[q / max(np.sqrt(q @ q), 1e-300), 0.0]
+        length = max(np.sqrt(q @ q), 1e-300)
+        centre = self.axes @ np.r_[q / length, 0.0]
         counts, radius = np.zeros(n, np.int64), RADIUS if len(self.ended) < SCOUTS else max(RADIUS, min(self.ended) / RATIO)
         low = high = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
+        rough, known = np.full(n, -np.inf), np.zeros(n, bool)
         while True:
             a, b = np.array([s.searchsorted((c - radius, c + radius)) for s, c in zip(self.sorted, centre.tolist())]).T
             if (low == high).all() and 2 * (b - a).sum() > n * PROJECTIONS:  # most collide at once: count those that don't
@@ -67,13 +70,20 @@ class CollisionIndex:
                 new = np.concatenate([x for o, a0, l0, h0, b0 in zip(self.order, a, low, high, b) for x in (o[a0:l0], o[h0:b0])])
                 counts += np.bincount(new, minlength=n)
             low, high = a, b
-            found = np.flatnonzero((counts >= need) & other)
-            if len(found) >= enough or (a == 0).all() and (b == n).all():
+            new = np.flatnonzero((counts >= need) & other & ~known)
+            known[new], rough[new] = True, self.v[new] @ q
+            if (a == 0).all() and (b == n).all():
                 break
+            if known.sum() >= k:
+                kth = np.partition(rough, n - k)[-k]
+                if 2 - 2 * kth / (self.norm * length) <= (radius / REACH) ** 2:
+                    break
             radius *= RATIO
+        found = np.flatnonzero(known)
+        self.verified, self.asked = self.verified + len(found), self.asked + n
         if len(self.ended) < SCOUTS:
             self.ended.append(radius)
-        rough = self.v[found] @ q
+        rough = rough[found]
         if len(found) > 4 * k:  # sums in another order differ by less than this, so none of the best is lost
             bar = np.partition(rough, len(rough) - k)[-k] - 1e-9 * max(1.0, self.norm) * max(1.0, np.sqrt(q @ q))
             found = found[rough >= bar]
@@ -85,7 +95,7 @@ class CollisionIndex:
 class BandedIndex:
     """An index for each band of norms; the rows of bands that would be verified whole anyway are one band without an index."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int = K):
         norms = np.sqrt((v * v).sum(axis=1))
         order = np.argsort(-norms, kind="stable")
         self.bands, few, at = [], [], 0
@@ -115,21 +125,14 @@ class BandedIndex:
         return ids[best], scores[best]
 
 
-def collision_neighbours(table: DataFrame, modulus: int = 20, k: int = 20) -> DataFrame:
+def collision_neighbours(table: DataFrame, modulus: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by largest inner product (all candidates if fewer).
 
-    Queries are the rows whose vec_id is divisible by `modulus`; every valid row is indexed. score is the inner product
+    Queries are the rows whose vec_id is divisible by `modulus`; where rows repeat such a vec_id, the least of their vectors is
+    asked, once. Every valid row is indexed. score is the inner product
     of the original vectors in double precision; ties go to the smaller vec_id. Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor do rows with a null vec_id; rows that repeat a vec_id are candidates each,
     but not of the query of that id. Other columns are not read; an empty table gives no rows.
     """
     whole = vectors(table).where("exists(v, x -> x <> 0)")
-
-    def search(ids, v, qids, q):
-        index, out = BandedIndex(ids, v, k), []
-        for query_id, one in zip(qids, q):
-            found, scores = index.search(one, k, query_id)
-            out.append((np.full(len(found), query_id), found, scores))
-        return [np.concatenate(x) for x in zip(*out)]
-
-    return block_search(whole, modulus, k, "double", search, STRIPE, BATCH)
+    return block_search(whole, modulus, k, "double", lambda ids, v: BandedIndex(ids, v, k), STRIPE)

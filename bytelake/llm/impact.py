@@ -1,10 +1,12 @@
 """Exact top-k by an impact-ordered, score-at-a-time index.
 
 In a block of candidates each dimension is a postings list, cut into segments of candidates whose components share a
-quantised impact level. A query walks all segments, those of the highest possible contribution first, and adds what they
-give to accumulators. A candidate's score is at most its accumulator plus, for each dimension that has not reached it
-yet, the largest contribution still to come there. The k-th best of exactly rescored candidates is a bar that no
-result can be under; the walk ends only when few candidates' bounds reach the bar, and these are all rescored exactly.
+quantised impact level. For a query, what a segment can add to a score, above the least that its dimension adds, is its
+impact. Segments of all dimensions are processed in the order of descending impact, a step of some postings at a time,
+and add what they hold to accumulators. A candidate's score is at most its accumulator plus, for the dimensions that
+have not reached it yet, the largest contributions still to come there. After each step the k-th best of exactly scored
+leading candidates is a bar that no result can be under; candidates whose bound is under it are out. The walk ends only
+when the few others are all scored exactly, or when every segment was processed.
 """
 
 from __future__ import annotations
@@ -16,73 +18,92 @@ from pyspark.sql import functions as F
 from bytelake.llm.blocks import block_search, top, vectors
 
 LEVELS = 16
+STEPS = 16  #: of the postings, processed between two proofs
+EXACT = float(1 << 53)  #: sums of whole numbers below this are exact in double precision
 
 
 class ImpactIndex:
-    """Postings of integer vectors, (n, dims); ids ascending."""
+    """Postings of vectors of whole numbers, (n, dims); ids ascending."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         n, dims = x.shape
         low, high = x.min(axis=0), x.max(axis=0)
-        level = ((x - low) * LEVELS // (high - low + 1)).astype(np.int64)
+        level = np.minimum((x - low) / np.maximum(high - low, 1) * LEVELS, LEVELS - 1).astype(np.int64)
         order = np.argsort(level, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T)  # by dimension: candidates in the order of their impact level
         self.values = np.take_along_axis(x, order, axis=0).T.astype(np.float64)
         self.cuts = np.stack([np.searchsorted(level[order[:, d], d], np.arange(LEVELS + 1)) for d in range(dims)])
-        full = np.arange(n)
         self.high, self.low = np.full((dims, LEVELS), -np.inf), np.full((dims, LEVELS), np.inf)
         for d in range(dims):
-            at, v = level[full, d], x[:, d]
-            np.maximum.at(self.high[d], at, v)
-            np.minimum.at(self.low[d], at, v)
+            np.maximum.at(self.high[d], level[:, d], x[:, d])
+            np.minimum.at(self.low[d], level[:, d], x[:, d])
+        self.some = self.cuts[:, 1:] > self.cuts[:, :-1]
+        self.size = np.abs(x).max(axis=0)
 
     def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k highest integer inner products but for rows with the id `own`; ties to smaller ids."""
+        other = np.flatnonzero(np.ones(len(self.ids), bool) if own is None else self.ids != own)
+        if float(np.abs(q) @ self.size) >= EXACT:  # sums aren't exact in double precision: all are scored in whole numbers
+            return self._whole(q, k, other)
+        possible = other if len(other) <= 16 * k else self._walk(q.astype(np.float64), k, other)
+        scores = self.x[possible] @ q
+        best = top(self.ids[possible], scores, k)
+        return self.ids[possible][best], scores[best].astype(np.int64)
+
+    def _walk(self, q: np.ndarray, k: int, alive: np.ndarray) -> np.ndarray:
+        """The candidates that may be among the k best."""
         n, dims = self.x.shape
-        q = q.astype(np.float64)
-        other = np.ones(n, bool) if own is None else self.ids != own
-        some = self.cuts[:, 1:] > self.cuts[:, :-1]
-        most = np.where(some, np.where(q[:, None] >= 0, q[:, None] * np.where(some, self.high, 0), q[:, None] * np.where(some, self.low, 0)), -np.inf)
-        up = q >= 0  # impact falls from a dimension's last level down, or rises from its first for a negative weight
-        falling = np.where(up[:, None], most[:, ::-1], most)
-        later = np.c_[np.maximum.accumulate(falling[:, ::-1], axis=1)[:, ::-1], np.full(dims, -np.inf)]
-        every = np.arange(dims)
-        for reach in (0.0, float(np.quantile(most[some], 0.25)), -np.inf):  # first all segments that can add to a score
-            walk = (falling >= reach) | (falling == -np.inf)
-            walked = np.where(walk.all(axis=1), LEVELS, walk.argmin(axis=1))
-            rest = later[every, walked]  # the largest contribution still to come
-            rest = np.where(np.isfinite(rest), rest, 0.0)
-            a = np.where(up, self.cuts[every, LEVELS - walked], 0)
-            b = np.where(up, n, self.cuts[every, walked])
-            got = np.concatenate([self.order[d, a[d] : b[d]] for d in range(dims)])
-            give = np.concatenate([self.values[d, a[d] : b[d]] * q[d] - rest[d] for d in range(dims)])
-            bound = np.where(other, rest.sum() + np.bincount(got, give, n), -np.inf)
-            leading = np.argpartition(bound, max(0, n - 4 * k))[max(0, n - 4 * k) :]
-            leading = leading[other[leading]]
-            bar = np.sort(self.x[leading] @ q)[-k] if len(leading) >= k else -np.inf
-            possible = np.flatnonzero(other & (bound >= bar - 1e-6))
-            if len(possible) <= max(16 * k, n // 8) or reach == -np.inf:
-                scores = self.x[possible] @ q
-                best = top(self.ids[possible], scores, k)
-                return self.ids[possible][best], scores[best].astype(np.int64)
-        raise AssertionError("unreachable")
+        up, every = (q >= 0)[:, None], np.arange(dims)
+        most = np.where(up, q[:, None] * np.where(self.some, self.high, 0), q[:, None] * np.where(self.some, self.low, 0))
+        falling = np.where(up, most[:, ::-1], most)  # impact falls from a dimension's last level down, or rises from its first
+        some = np.where(up, self.some[:, ::-1], self.some)
+        falling = np.where(some, falling, -np.inf)
+        later = np.maximum.accumulate(np.c_[falling, np.full(dims, -np.inf)][:, ::-1], axis=1)[:, ::-1]  # the largest from a level on
+        floor = np.where(some, falling, np.inf).min(axis=1)
+        dim, step = np.nonzero(some)
+        order = np.argsort(-(falling[dim, step] - floor[dim]), kind="stable")
+        dim, level = dim[order], np.where(q[dim[order]] >= 0, LEVELS - 1 - step[order], step[order])
+        begin, end, next_ = self.cuts[dim, level], self.cuts[dim, level + 1], step[order] + 1
+        ends = np.searchsorted(np.cumsum(end - begin), np.arange(1, STEPS + 1) * (n * dims / STEPS))
+        acc, seen, rest, at = np.zeros(n), np.zeros(n), later[:, 0].copy(), 0
+        for stop in np.unique(np.minimum(ends + 1, len(dim))).tolist():
+            part = list(zip(dim[at:stop].tolist(), begin[at:stop].tolist(), end[at:stop].tolist()))
+            got = np.concatenate([self.order[d, x:y] for d, x, y in part])
+            acc += np.bincount(got, np.concatenate([self.values[d, x:y] * q[d] - floor[d] for d, x, y in part]), n)
+            seen += np.bincount(got, minlength=n)
+            np.minimum.at(rest, dim[at:stop], later[dim[at:stop], next_[at:stop]])
+            at = stop
+            above = np.where(np.isfinite(rest), rest - floor, 0.0)  # what is still to come, above the dimension's least
+            begun = above[dim[:at]].min()
+            # of the dimensions that a candidate has reached each has `begun` at least, so the others together have at most what is left
+            bound = acc[alive] + (floor.sum() + above.sum()) - seen[alive] * begun
+            leading = alive[np.argpartition(bound, len(bound) - 2 * k)[-2 * k :]] if len(bound) > 2 * k else alive
+            bar = np.partition(self.x[leading] @ q, len(leading) - k)[-k] - 0.5  # scores are whole numbers
+            alive = alive[bound >= bar]
+            if len(alive) <= 16 * k:
+                break
+        return alive
+
+    def _whole(self, q: np.ndarray, k: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = [int(w) for w in q]
+        scores = [sum(int(a) * b for a, b in zip(self.x[i], weights)) for i in other]
+        best = sorted(range(len(other)), key=lambda i: (-scores[i], self.ids[other[i]]))[:k]
+        if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in best):
+            raise OverflowError("a score doesn't fit a long")
+        return self.ids[other[best]], np.array([scores[i] for i in best], np.int64)
 
 
 def impact_top_k(table: DataFrame, modulus: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products of floor(scale * x), all if fewer.
 
-    Queries are the rows whose vec_id is divisible by `modulus`. Ties go to the smaller vec_id. Vectors that are null,
-    empty or hold null or non-finite components take no part, nor do rows with a null vec_id; rows that repeat a vec_id are
-    candidates each, but not of the query of that id. Other columns are not read; an empty table gives no rows.
+    Queries are the rows whose vec_id is divisible by `modulus`; where rows repeat such a vec_id, the least of their vectors is
+    asked, once. Ties go to the smaller vec_id. Vectors that are null, empty or hold null or non-finite components take no part,
+    nor do rows with a null vec_id; rows that repeat a vec_id are candidates each, but not of the query of that id. Scores
+    are exact at any size; one that doesn't fit a long raises an error. Other columns are not read; an empty table gives no rows.
     """
+    def whole(x):
+        y = x * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole numbers
 
-    def search(ids, v, qids, q):
-        index, out = ImpactIndex(ids, v), []
-        for query_id, one in zip(qids, q):
-            found, scores = index.search(one, k, query_id)
-            out.append((np.full(len(found), query_id), found, scores))
-        return [np.concatenate(x) for x in zip(*out)]
-
-    whole = vectors(table).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    return block_search(whole, modulus, k, "long", search)
+    return block_search(vectors(table).select("vec_id", F.transform("v", whole).alias("v")), modulus, k, "long", ImpactIndex)

@@ -55,7 +55,24 @@ def test_impact_on_ties_and_signs():
             assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
 
 
-def test_collision_recall(spark, sf_dir):
+def test_impact_beyond_doubles():
+    x = np.array([[1e7, 1.0], [2e7, 3.0], [-3e7, 2.0], [2e7, 4.0]]) * 256
+    ids, scores = impact.ImpactIndex(np.arange(4), x).search(np.array([1e5, 1.0]) * 256, 3, 0)
+    assert list(zip(ids.tolist(), scores.tolist())) == sorted(((i, int(x[i][0]) * 25_600_000 + int(x[i][1]) * 256) for i in (1, 2, 3)), key=lambda t: -t[1])
+    with pytest.raises(OverflowError):
+        impact.ImpactIndex(np.arange(4), x).search(x[0] * 1e4, 1)
+
+
+def test_repeated_query_ids(spark):
+    """Of rows that repeat a query's vec_id the least vector is asked."""
+    df = table(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 0.5], [0.5, 1.0]], [100, 100, 1, 2])
+    assert [tuple(r) for r in impact.impact_top_k(df).collect()] == [(100, 1, 2, 65536), (100, 2, 1, 32768)]
+    assert [r["vec_id"] for r in collision.collision_neighbours(df).collect()] == [2, 1]
+
+
+@pytest.mark.parametrize("stripe", [16_384, 700])
+def test_collision_recall(spark, sf_dir, stripe, monkeypatch):
+    monkeypatch.setattr(collision, "STRIPE", stripe)
     df = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/embeddings.parquet")
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
     got = {}
