@@ -8,7 +8,7 @@ holds, ends every text and stands before it, so the model is a distribution over
 Nothing here grows on the driver but the nodes of depth 0 and 1 (256 contexts of 255 nodes). Blocks of documents give
 their distinct grams (contexts with next byte) and words; Spark sums these; grams with the same three last context
 bytes are weighted together, from the deepest nodes up to depth 3, and sums of these go up to the 65,536 contexts of depth 2 and
-on to depth 1; then each group gets the mixture of the depths above it, as a row of its own before its grams, and
+on to depth 1; then each group gets the mixtures of the depths above it, a row for each next byte before its grams, and
 each block gets back the values of its own grams and words by a join. (A block's distinct grams are found twice, once
 to be summed and once for that join: kept between, they would take more disk than the time is worth.)
 """
@@ -229,8 +229,8 @@ class Seconds:
     """The nodes of depth 2 of one context of two bytes: counts of their next bytes, and what lies below."""
 
     def __init__(self, counts: np.ndarray, below: np.ndarray):
-        """counts of 256 next bytes; below: by heap node, the sum of the log weighted probabilities of the children."""
-        symbol = np.flatnonzero(counts)
+        """counts of 256 next bytes, -1 for those that don't occur; below: by heap node, the sum of the log weighted probabilities of the children."""
+        self.symbols = symbol = np.flatnonzero(counts >= 0)
         n = counts[symbol].astype(float)
         self.wp, self.share, self.estimate = np.zeros(256), np.ones(256), np.full(256, 0.5)  # by heap node; the estimate of a one
         for i in range(8):
@@ -249,7 +249,7 @@ def _seconds(batches, answer):
 
     def done():
         at, n, wp = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
-        counts, below, some = np.zeros(256, np.int64), np.zeros(256), n >= 0
+        counts, below, some = np.full(256, -1), np.zeros(256), n >= 0
         counts[at[some]], below[at[~some]] = n[some], wp[~some]
         return answer(held[0][0], Seconds(counts, below))
 
@@ -264,14 +264,14 @@ def _seconds(batches, answer):
         yield done()
 
 
-def predictions(key: np.ndarray, n: np.ndarray, depth: int, group: np.ndarray, upper: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """(key, value): log10 of the mixed probability of each gram's last byte after its context. `upper`: for each `group` and heap node,
-    what the depths above give a one, a zero, and the weight that is left."""
+def predictions(key: np.ndarray, n: np.ndarray, depth: int, heads: np.ndarray, upper: np.ndarray) -> pa.RecordBatch:
+    """(key, value): log10 of the mixed probability of each gram's last byte after its context. heads: ascending, group and next byte
+    of each row of `upper`: for each of its 8 bits, what the depths above give it, then the weights that are left."""
+    over = 8 * (depth + 1 - NEAR)
+    at = np.searchsorted(heads, key >> over << 8 | key & 255)
     n, total = n.astype(float), np.zeros(len(key))
-    done1, done0, rest = upper
-    for labels, bit, heap in _levels(key, depth):
-        p = np.where(bit, done1[group, heap], done0[group, heap])
-        left = rest[group, heap]
+    for i, (labels, bit, _) in enumerate(_levels(key, depth)):
+        p, left = upper[at, i], upper[at, 8 + i]
         for _, _, share, estimate in weigh(labels, n, bit):
             p, left = p + left * share * estimate, left * (1 - share)
         total += np.log10(p)
@@ -279,8 +279,8 @@ def predictions(key: np.ndarray, n: np.ndarray, depth: int, group: np.ndarray, u
 
 
 def _whole_groups(batches, depth: int, rows: int = 100_000):
-    """Arrays (key, n, upper) of some `rows` rows from batches in the order of the keys, never splitting a group of NEAR context
-    bytes; upper is a list, null but in a row with n < 0 that stands before its group."""
+    """Arrays (key, n, upper) of some `rows` rows from batches in the order of their groups, never splitting a group of NEAR context
+    bytes; upper is a list, null but in rows with n < 0 that stand before their group."""
     held: list = []
 
     def whole():
@@ -301,11 +301,11 @@ def _whole_groups(batches, depth: int, rows: int = 100_000):
 
 
 def _predicted(batches, depth: int):
+    over = 8 * (depth + 1 - NEAR)
     for key, n, upper in _whole_groups(batches, depth):
         head = n < 0
-        group = np.cumsum(head) - 1
-        tables = np.array([np.frombuffer(u) for u in upper if u is not None]).reshape(-1, 3, 256).transpose(1, 0, 2)
-        yield predictions(key[~head], n[~head], depth, group[~head], tables)
+        table = np.array([np.frombuffer(u) for u in upper if u is not None]).reshape(-1, 16)
+        yield predictions(key[~head], n[~head], depth, key[head] >> over << 8 | key[head] & 255, table)
 
 
 def upper_levels(order1: np.ndarray, wp2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -429,14 +429,17 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     upper = spark.sparkContext.broadcast(upper_levels(order1, wp2))  # 1.6 MB, whatever the corpus
 
     def mixed(two: int, own: Seconds) -> pa.RecordBatch:
-        done1, done0, rest = (u[two >> 8] for u in upper.value)
-        table = np.array([done1 + rest * own.share * own.estimate, done0 + rest * own.share * (1 - own.estimate), rest * (1 - own.share)])
-        return pa.RecordBatch.from_arrays([pa.array([two], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["two", "upper"])
-
-    mixtures = of_two.mapInArrow(lambda bs: _seconds(bs, mixed), "two long, upper binary")
-    groups = tree.groupBy(near.alias("near")).agg(F.lit(-1).cast("long").alias("n"))
-    heads = groups.withColumn("two", F.shiftright("near", 8 * (NEAR - 2))).join(mixtures, "two").select(F.shiftleft("near", over).alias("key"), "n", "upper")
-    led = tree.withColumn("upper", blank).unionByName(heads).repartition(near).sortWithinPartitions("key", "n")
+        symbol, position = own.symbols[:, None], np.arange(8)
+        heap, bit = (1 << position) | symbol >> (8 - position), symbol >> (7 - position) & 1
+        done1, done0, rest = (u[two >> 8][heap] for u in upper.value)
+        given = np.where(bit, done1 + rest * own.share[heap] * own.estimate[heap], done0 + rest * own.share[heap] * (1 - own.estimate[heap]))
+        rows = np.concatenate([given, rest * (1 - own.share[heap])], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), two)), pa.array(own.symbols), pa.array([r.tobytes() for r in rows], pa.binary())], ["two", "symbol", "upper"])
+
+    mixtures = of_two.mapInArrow(lambda bs: _seconds(bs, mixed), "two long, symbol long, upper binary")
+    groups = tree.groupBy(near.alias("near"), F.col("key").bitwiseAND(255).alias("symbol")).agg(F.lit(-1).cast("long").alias("n"))
+    heads = groups.withColumn("two", F.shiftright("near", 8 * (NEAR - 2))).join(mixtures, ["two", "symbol"]).select((F.shiftleft("near", over) + F.col("symbol")).alias("key"), "n", "upper")
+    led = tree.withColumn("upper", blank).unionByName(heads).repartition(near).sortWithinPartitions(near, F.col("n") >= 0, "key")
     values = led.mapInArrow(lambda bs: _predicted(bs, depth), "key long, value double")
     values = values.unionByName(words.select("key", F.col("n").cast("double").alias("value")))
     found = counted.select("block", "key").join(values, "key").select("block", "key", "value")

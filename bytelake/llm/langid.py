@@ -15,15 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelake.llm.shared import bounded_batches, remainder
 
-SAMPLE = 6000  #: documents that are learnt from, at most; the least by a hash of their id, so a random sample
+SAMPLE = 6000  #: documents that are learnt from, at most; of each language the least by a hash of their id, so random ones
+LANGUAGES, RARE = 500, 4  #: languages that are learnt, at most, the most frequent; one part in RARE of the sample is dealt to all of them alike
 SAMPLE_BYTES = 20_000  #: of longer labelled rows the sample has PIECES pieces spread over the whole text, of so many bytes together at most (prediction reads all texts whole)
 PIECES = 8
-BUCKETS, DIM, EPOCHS, RATE = 1 << 14, 16, 12, 4.0
+BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 14, 16, 12, 4.0, 32
 REJECTED = 0.001  #: share of rightly classified held-back documents that rejection may cost, at most
 CALIBRATED = 30  #: with fewer rightly classified held-back documents nothing is rejected by score or by unseen subwords
 DEVIATIONS = 3.1  #: a normal tail of REJECTED, where too few documents are held back to show it
@@ -109,6 +110,32 @@ def seen(texts) -> np.ndarray:
     return np.packbits(found, bitorder="little")
 
 
+def _batch(feats: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, share of each bucket in each row's windows, labels) of some rows."""
+    ids, col = np.unique(np.concatenate([f[0] for f in feats]), return_inverse=True)
+    shares = np.zeros((len(feats), len(ids)), np.float32)
+    shares[np.repeat(np.arange(len(feats)), [len(f[0]) for f in feats]), col] = np.concatenate([f[1] for f in feats])
+    return ids, shares, np.array([f[2] for f in feats])
+
+
+def gradients(table, weight, bias, ids, shares, y):
+    """The summed cross-entropy's gradients by the rows `ids` of the table, by the weights and by the bias."""
+    mean = shares @ table[ids]
+    z = mean @ weight + bias
+    g = np.exp(z - z.max(axis=1, keepdims=True))
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(y)), y] -= 1
+    return shares.T @ (g @ weight.T), mean.T @ g, g.sum(axis=0)
+
+
+def step(table, weight, bias, ids, shares, y, rate: float) -> None:
+    """One step of gradient descent on a batch, in place."""
+    by_table, by_weight, by_bias = gradients(table, weight, bias, ids, shares, y)
+    table[ids] -= rate * by_table
+    weight -= 0.05 * rate * by_weight
+    bias -= 0.01 * rate * by_bias
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model of (text, lang) rows. A tenth of them is held back for the temperature and the threshold."""
     langs = sorted({lang for _, lang in rows})
@@ -123,19 +150,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     back, learn = order[: len(feats) // 10], order[len(feats) // 10 :]
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
+    batches = [_batch([feats[i] for i in learn[at : at + BATCH]]) for at in range(0, len(learn), BATCH)]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for i in rng.permutation(learn):
-            ids, n, y = feats[i]
-            mean = n @ table[ids]
-            z = mean @ weight + bias
-            g = np.exp(z - z.max())
-            g /= g.sum()
-            g[y] -= 1
-            into = weight @ g
-            weight -= 0.05 * rate * np.outer(mean, g)
-            bias -= 0.01 * rate * g
-            table[ids] -= rate * n[:, None] * into
+        for k in rng.permutation(len(batches)):
+            step(table, weight, bias, *batches[k], rate)
     model = Model(langs, (table @ weight).astype(np.float64), bias.astype(np.float64))
     held = [(model.logits[ids].T @ n + model.bias, y) for ids, n, y in (feats[i] for i in back)]
     if held:
@@ -162,17 +181,25 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of a bounded sample of the documents whose crc32(doc_id) mod 4 isn't 2.
 
-    A count of the labelled rows that have a text sets the share of hashes that is drawn, so what all tasks together send
-    stays near `sample` rows on any number of partitions; `sample` is the most that is learnt from."""
+    The sample is stratified: of `sample` rows one part in RARE goes to the languages alike, the rest by their counts, so a rare
+    language is learnt like others; of more than LANGUAGES languages the rarest are not. A language's count sets the share of
+    hashes that is drawn, so what all tasks together send stays near `sample` rows on any number of partitions."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null").where(remainder(F.col("doc_id"), 4) != 2).withColumn("h", F.xxhash64("doc_id"))
     rows = rows.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    share = min(1.0, 1.3 * sample / max(1, rows.select("h").count()))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return train([])
+    total = sum(counts.values())
+    quota = {lang: min(n, sample // RARE // len(counts) + (sample - sample // RARE) * n // total) for lang, n in counts.items()}
+    told = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("lang")]
+    most = {lang: (1 << 62) - 1 if q == counts[lang] else int(min(1.0, 1.3 * (q + 10) / counts[lang]) * ((1 << 62) - 1)) for lang, q in quota.items()}
+    rows = rows.where(F.shiftrightunsigned("h", 2) <= told(most))
     size = SAMPLE_BYTES // 4 // PIECES - 1  # characters of at most 4 bytes, and a line end each
     pieces = [F.substring("text", F.floor((F.length("text") - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
     rows = rows.withColumn("text", F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.concat_ws("\n", *pieces)))
-    drawn = rows.where(F.shiftrightunsigned("h", 2) <= int(share * (1 << 62)))
-    return train([(t, y) for t, y in drawn.orderBy("h", "lang", "text").limit(sample).select("text", "lang").collect()])
+    drawn = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= told(quota))
+    return train([(t, y) for t, y in drawn.orderBy("h", "lang", "text").select("text", "lang").collect()])
 
 
 def language(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -195,7 +222,10 @@ def language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of `docs`, all columns, whose text isn't rejected."""
+    """The rows of `docs`, all columns, whose text isn't rejected (see `language`; null, empty and letterless texts are).
+
+    Texts are read whole, of any length; equal texts fare alike, whatever their ids; rows that repeat or lack a doc_id are
+    kept or not by their own text; columns may have any names; an empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     model = model or fit(docs)
 

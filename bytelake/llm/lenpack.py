@@ -1,6 +1,7 @@
 """Packing by optimal length buckets.
 
-Texts are cut into sequences of at most `window` words. A dynamic program over the global histogram of sequence lengths (at
+Texts are cut into sequences of at most `window` tokens. A token is a word, cut at ASCII white space, or a part of one: each UNIT
+bytes begun of a longer word count as one, so that texts without blanks have a length as well. A dynamic program over the global histogram of sequence lengths (at
 most `window` entries, whatever the corpus) chooses the bucket boundaries that minimise padding; inside a bucket,
 sequences in the order of a hash form batches of at most `budget` padded tokens.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from bytelake.llm.shared import bounded_batches, cut
 
 WINDOW, BUCKETS, BUDGET = 2048, 16, 65_536
+UNIT = 16  #: bytes of UTF-8 that a token has at most
 SHARD = 2000  #: sequences that are numbered together, about; a bucket has as many shards as its size asks for
 
 
@@ -40,14 +42,20 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
+def n_tokens(text: str | None) -> int:
+    """A whole text's tokens."""
+    words = (text or "").encode().split()
+    return len(words) + sum((n - 1) // UNIT for n in map(len, words) if n > UNIT)
+
+
 def sequences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, seq_no, start, n_tokens): each text's words, split at ASCII white space, in sequences of at most `window`."""
+    """(doc_id, seq_no, start, n_tokens): each text's tokens in sequences of at most `window`; start counts tokens."""
 
     def run(batches):
         for b in batches:
             ids, cols = [], ([], [], [])
             for i, text in enumerate(b.column("text")):
-                n = len((text.as_py() or "").encode().split())
+                n = n_tokens(text.as_py())
                 for k, at in enumerate(range(0, max(n, 1), window)):
                     ids.append(i)
                     for col, v in zip(cols, (k, at, min(window, n - at))):
@@ -61,8 +69,8 @@ def pack(docs: DataFrame, window: int = WINDOW, buckets: int = BUCKETS, budget:
     """One row per sequence: doc_id, seq_no, start, n_tokens, padded_to (its bucket), batch_no (within the bucket), slot (within the batch).
 
     Batches of a bucket hold budget // padded_to sequences (1 at least), all but the last. A null, empty or blank text
-    is one sequence of no tokens, in a bucket of its own length class; repeated rows are packed each; a null doc_id is packed
-    like others; other columns are not read; an empty table gives no rows.
+    is one sequence of no tokens, in the bucket of the shortest; a text of any length is cut into as many sequences as it takes;
+    sequences of equal length are in one bucket, in the order of a hash; repeated rows are packed each; a null doc_id is packed like others; other columns are not read; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     spark, rows = docs.sparkSession, cut(sequences(docs, window))

@@ -266,15 +266,15 @@ class Model:
         for best, last, back in kept:
             if not np.isfinite(best[length]).all():
                 raise ValueError("a word has no path")
-            steps, name, ids, many = back.T.tolist(), last.T, [], np.zeros(n, np.int64)
-            for i, step in enumerate(steps):
-                end, ends = length, []
-                while end:
-                    ends.append(end)
-                    end -= step[end]
-                ids.append(name[i, ends[::-1]])
-                many[i] = len(ends)
-            out.append(self._bytes(np.concatenate(ids).astype(np.int64), np.repeat(every, many), n))
+            rows, ends, ids, live, end = [], [], [], every, np.full(n, length)
+            while len(live):
+                e = end[live]
+                rows.append(live), ends.append(e), ids.append(last[e, live])
+                end[live] = e - back[e, live]
+                live = live[end[live] > 0]
+            rows, ends, ids = (np.concatenate(v) for v in (rows, ends, ids))
+            order = np.argsort(rows * (length + 1) + ends, kind="stable")
+            out.append(self._bytes(ids[order].astype(np.int64), rows[order], n))
         return out
 
     def decode(self, ids) -> str:

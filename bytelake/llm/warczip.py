@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +29,9 @@ MEMBER = 8 << 20  #: bytes of records that make a member; larger single records
 BATCH = 4 << 20  #: bytes of records that a reader hands over at once
 
 
+_BREAKS = re.compile(r"[\r\n]+[ \t]*")  # a value that went on in another line could be read as other fields
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -39,7 +43,7 @@ def record(kind: str, url: str | None, payload: bytes, fields: dict[str, str]) -
     if kind == "revisit":
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     head |= {"Content-Type": "text/html", "Content-Length": str(len(block))}
-    clean = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head.items())
+    clean = "".join(f"{k}: {_BREAKS.sub(' ', v).strip()}\r\n" for k, v in head.items())
     return f"WARC/1.1\r\n{clean}\r\n".encode() + block + b"\r\n\r\n"
 
 
@@ -139,6 +143,7 @@ def directory(f, size: int) -> list[tuple[str, int, int, int, int]]:
 
 
 def open_uri(uri: str):
+    uri = re.sub("^s3[an]://", "s3://", uri)  # Spark's names of that store
     fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
     return fs, path
 
@@ -265,7 +270,7 @@ def warc_round_trip(pages: DataFrame, least: int = 0, folder: str | None = None,
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("d", F.sha2("payload", 256))
-    firsts = rows.select("page_id", "d").groupBy("d").agg(F.min("page_id").alias("first"))
+    firsts = cut(rows.select("page_id", "d").groupBy("d").agg(F.min("page_id").alias("first")))  # a table of its own: the join may then split a payload that many pages have
     joined = rows.join(firsts, "d")
     revisit = (F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))

@@ -14,22 +14,32 @@ from bytelake.llm.shared import fresh_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification rejects go."""
+    """Documents that language identification rejects go: null, empty and letterless texts, and texts of no language that it learnt.
+
+    Columns, rows that repeat or lack a doc_id, and texts of any length: see langid.accepted. An empty table gives none."""
     return langid.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; n_chars follows the text."""
+    """Lines that many documents share stay in one of them, the one of the largest doc_id; n_chars follows the text.
+
+    Every row stays: null texts are null still, texts that lose every line empty. Rows that repeat a doc_id share its
+    decisions; null doc_ids count as one document. Other columns stay as they are; an empty table gives none."""
     return linededup.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: that of the least doc_id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: that of the least doc_id.
+
+    Null, empty and blank texts are copies of each other. Rows without a doc_id stay, and so do rows that repeat one that
+    stays. Columns may have any names; an empty table gives none."""
     return simhash.drop_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document, as packed sequences."""
+    """Every remaining document, as packed sequences (see lenpack.pack): doc_id, seq_no, start, n_tokens, padded_to, batch_no, slot.
+
+    Null, empty and blank texts are one sequence of no tokens; repeated rows are packed each; an empty table gives none."""
     return lenpack.pack(docs)
 
 

@@ -257,6 +257,56 @@ def test_language(spark, sf_dir):
     assert langid.language(frame(spark, []).withColumn("lang", langid.F.lit(None).cast("string"))).count() == 0
 
 
+def naive_language(model, text):
+    """The prediction written out: every window's hash, its row of logits, their mean, the softmax."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode())
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    data, z, n, new = b" " + data + b" ", np.zeros(len(model.langs)), 0, 0
+    for size in (2, 3, 4):
+        for i in range(len(data) - size + 1):
+            key = int.from_bytes(data[i : i + size], "big")
+            h = {2: key * 7 + 1, 3: key * 3, 4: key}[size] * 2654435761 % 2**32 >> 10
+            z += model.logits[h >> 8]
+            n += 1
+            new += model.seen is not None and not model.seen[h >> 3] >> (h & 7) & 1
+    z = (z / n + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return model.langs[int(z.argmax())], float(p.max() / p.sum()), new / n
+
+
+def test_language_against_the_naive_pass(spark):
+    texts = [(" ".join(random.Random(i).choice(w) for _ in range(60)), y) for i in range(400) for w, y in ((WORDS, "en"), ([x[::-1] + "ë" for x in WORDS], "xx"))]
+    model = langid.train(texts)
+    for text in [t for t, _ in texts[:8]] + ["Rain  and\tRIVER", "é", "x", "日本語 テキスト です"]:
+        lang, score, new = naive_language(model, text)
+        got = model.predict(text)
+        assert got[0] == lang and got[1] == pytest.approx(score, abs=1e-9) and model.unseen_share(text.encode()) == pytest.approx(new)
+    assert model.predict("日本語 テキスト です")[2] and not model.predict(texts[3][0])[2]
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)] + [(5000 + i, "zq jv kx " * 20, "rare") for i in range(4)] + [(6000, None, None), (None, "of the", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, 100).langs == ["en", "rare", "xx"]  # a rare language isn't lost
+
+
+def test_language_gradients():
+    r = np.random.default_rng(1)
+    table, weight, bias = r.normal(size=(9, 3)), r.normal(size=(3, 4)), r.normal(size=4)
+    ids, shares, y = np.array([1, 4, 7]), r.dirichlet(np.ones(3), 5), r.integers(0, 4, 5)
+
+    def loss():
+        z = shares @ table[ids] @ weight + bias
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(5), y]).sum())
+
+    found = langid.gradients(table, weight, bias, ids, shares, y)
+    for array, at, want in [(table, (ids[i], j), found[0][i, j]) for i in range(3) for j in range(3)] + [(weight, (i, j), found[1][i, j]) for i in range(3) for j in range(4)] + [(bias, (j,), found[2][j]) for j in range(4)]:
+        old, ends = array[at], []
+        for e in (1e-5, -1e-5):
+            array[at] = old + e
+            ends.append(loss())
+        array[at] = old
+        assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(want, abs=1e-6)
+
+
 def test_token_counts_match_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
 
@@ -356,7 +406,7 @@ def test_packing(spark):
     for x in got:
         assert x["n_tokens"] <= x["padded_to"] and x["start"] == 100 * x["seq_no"]
         tokens[x["doc_id"]] = tokens.get(x["doc_id"], 0) + x["n_tokens"]
-    assert tokens == {i: len((t or "").encode().split()) for i, t in enumerate(texts)}
+    assert tokens == {i: sum(max(1, -(-len(w) // 16)) for w in (t or "").encode().split()) for i, t in enumerate(texts)}
     for end in {x["padded_to"] for x in got}:
         places = sorted((x["batch_no"], x["slot"]) for x in got if x["padded_to"] == end)
         many = max(1, 1000 // max(end, 1))
@@ -389,3 +439,21 @@ def test_pipeline(spark, tmp_path):
         docs = out
     got = cp.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(t.split()) for i, t in want.items()}
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, odd texts, clashing columns, and an empty table."""
+    import corpus_pipeline as cp
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, d long, key string, n long, _id long, root long"
+    rows = [(i, t, None if i % 2 else "en", None, None, 1, "k", 2, 3, 4) for i, t in enumerate(ODD)] + [(None, prose(1, 30), "en", "s", 1, None, None, None, None, None)] * 2
+    rows += [(50, prose(2, 40), "en", "s", 1, 1, "k", 1, 1, 1)] * 2 + [(49, prose(2, 40), "en", "s", 1, 1, "k", 1, 1, 1)]
+    docs = spark.createDataFrame(rows, names)
+    for _, stage in cp.STAGES[1:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        docs = out
+    kept = [r["doc_id"] for r in docs.collect()]
+    assert kept.count(None) == 2 and 50 not in kept and kept.count(49) == 1 and {0, 3, 4} <= set(kept) and not {1, 2, 5} & set(kept)
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
