@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from bytelake.llm.shared import bounded_batches, cut, fresh_dir, remainder
 
 DEPTH = 5  #: bytes of context; a gram has DEPTH + 1 bytes, 7 at most
-BLOCK_ROWS, USUAL = 8192, 1 << 14  #: rows of a file that make a block; half as many whenever texts are twice as long as USUAL bytes
+BLOCK_ROWS, BLOCK_BYTES = 8192, 32 << 20  #: rows of a file that make a block, at most; bytes that they have on average, at most
+USUAL = 1 << 16  #: bytes; whenever texts are twice as long as this, half as many rows make a block
 NEAR = 3  #: context bytes that grams of a group share
 END, WORD = 0xFF, -(1 << 63)
 PIECE = 1 << 18  #: bytes whose grams are held at once
@@ -328,15 +329,18 @@ def upper_levels(order1: np.ndarray, wp2: np.ndarray) -> tuple[np.ndarray, np.nd
     return done1, done0, rest
 
 
-def blocked(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, text, held_out, learn, block). Blocks follow a file's rows and hold fewer of them the longer texts are, so none
-    grows past `rows` * USUAL bytes (128 MB; a single longer text is a block), and at usual lengths past 20. A frame that isn't read from files alone is written to the shared folder first."""
+def blocked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, held_out, learn, block). Blocks follow a file's rows, as many as have BLOCK_BYTES by the mean length of all texts, BLOCK_ROWS
+    at most, and fewer of texts over USUAL bytes; a single longer text is a block. A frame that isn't read from files alone is
+    written to the shared folder first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     try:
         placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     except Exception:  # no file source below
         docs.write.parquet(at := fresh_dir(docs.sparkSession, "ctw"))
         placed = docs.sparkSession.read.parquet(at).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    mean = docs.agg(F.avg(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    rows = int(min(BLOCK_ROWS, max(64, BLOCK_BYTES // max(1, mean))))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)) / USUAL))).cast("long")
     block = F.xxhash64("_path", level, F.floor(F.col("_row") / F.greatest(F.lit(1), F.floor(rows / F.pow(F.lit(2), level)))))
     held = remainder(F.col("doc_id"), 7) == 2
