@@ -15,6 +15,9 @@ from bytelake.operators import archives, parallel, selection
 from bytelake.sources import files, index_files
 
 
+GROUP = 256 << 20  #: decoded bytes that are read at once
+
+
 class Archive(io.RawIOBase):
     """Reads decoded bytes at any position. The index is built by the first call that needs it, or imported."""
 
@@ -42,9 +45,7 @@ class Archive(io.RawIOBase):
     def index(self) -> DataFrame:
         if self._index is None:
             if self.file_type() == "BZIP2":
-                b = files.cut(parallel.decode_bzip2(self._files(), self.chunk_size, data=False))
-                w = parallel.Window.partitionBy("path").orderBy("block_no")
-                self._index = b.withColumn("stop_bits", F.coalesce(F.lead("start_bits").over(w), F.lit(8 * self.length))).withColumn("line_offset", parallel.before("n_newlines", ["path"], ["block_no"]))
+                self._index = files.cut(parallel.decode_bzip2(self._files(), self.chunk_size, data=False))
             else:
                 self._index = parallel.build_index(self._files(), parallel.chunk_size(self.length, self.spark.sparkContext.defaultParallelism, self.chunk_size))
                 if self.verify and not self.test():
@@ -111,34 +112,75 @@ class Archive(io.RawIOBase):
     # Reading.
 
     def read_ranges(self, expression: str):
-        """The bytes of a range expression, in its order, a part at a time."""
+        """The bytes of a range expression, in its order, a part at a time. Ranges are read in groups of some GROUP bytes, one
+        after the other, so only a group's bytes are ever put in order."""
+        parsed = parse_ranges(expression)
         if self.file_type() == "BZIP2":
-            yield from self._bzip2_ranges(parse_ranges(expression))
+            for low, high in self._bzip2_spans(parsed):
+                yield from self._bzip2_bytes(self.index(), low, high)
             return
-        ranges = self.spark.createDataFrame([(self.path, i, *r) for i, r in enumerate(parse_ranges(expression))], f"path string, {SCHEMA}")
-        for row in selection.read_ranges(self.index(), ranges).orderBy("ordinal", "at").toLocalIterator():
+        ranges = self.spark.createDataFrame([(self.path, i, *r) for i, r in enumerate(parsed)], f"path string, {SCHEMA}")
+        held, size = [], 0
+        for r in selection.in_bytes(self.index(), ranges).orderBy("ordinal").collect():  # one for each range that was asked for
+            for at in range(r["offset"], r["offset"] + r["size"], GROUP):
+                n = min(GROUP, r["offset"] + r["size"] - at)
+                held.append((self.path, len(held), at, n, False, False))
+                size += n
+                if size >= GROUP:
+                    yield from self._group(held)
+                    held, size = [], 0
+        if held:
+            yield from self._group(held)
+
+    def _group(self, ranges: list):
+        rows = self.spark.createDataFrame(ranges, f"path string, {SCHEMA}")
+        for row in selection.read_ranges(self.index(), rows).orderBy("ordinal", "at").toLocalIterator():
             yield bytes(row["data"])
 
-    def _bzip2_ranges(self, ranges):
-        index = self.index()
+    def _bzip2_spans(self, ranges):
+        """(first byte, byte after the last) of each range that the archive has."""
         total = self.size()
         for r in ranges:
-            if r.offset_is_line or r.size_is_line:
-                whole = b"".join(self._bzip2_bytes(index, 0, total))  # lines of one archive without a line index
-                start = r.offset if not r.offset_is_line else 0 if not r.offset else (selection.nth_newline(whole, r.offset) or -2) + 1
-                if start < 0:
-                    continue
-                stop = start + r.size if not r.size_is_line else (selection.nth_newline(whole[start:], r.size) or total) + start + 1
-                yield whole[start:stop]
+            start = self._bzip2_line(r.offset) if r.offset_is_line else r.offset
+            if start is None or start >= total:
+                continue
+            if r.size_is_line:
+                first = r.offset if r.offset_is_line else self._bzip2_lines_before(start)
+                stop = self._bzip2_line(first + r.size)
             else:
-                yield from self._bzip2_bytes(index, r.offset, min(total, r.offset + min(r.size, total)))
+                stop = start + min(r.size, total)
+            yield start, total if stop is None else min(stop, total)
+
+    def _bzip2_counted(self) -> DataFrame:
+        """The index with newlines; where offsets were given without them, they are counted by one scan."""
+        if self.index().where("n_newlines is null").limit(1).count():
+            rows = self.index().select("path", "block_no", "start_bits", "stop_bits", (F.col("decoded_size") == 0).alias("is_end"), F.array().cast("array<long>").alias("before"), F.array("stop_bits").alias("after"))
+            lines = parallel.scan_bzip2(rows.repartition(max(1, rows.count()), "block_no"), data=False).select("block_no", "n_newlines")
+            counted = self.index().drop("n_newlines", "line_offset").join(lines, "block_no")
+            self._index = files.cut(counted.withColumn("line_offset", parallel.before("n_newlines", ["path"], ["block_no"])))
+        return self._index
+
+    def _bzip2_line(self, n: int) -> int | None:
+        """The byte after the n-th newline; None if there are fewer."""
+        if not n:
+            return 0
+        row = self._bzip2_counted().where((F.col("line_offset") < n) & (F.col("line_offset") + F.col("n_newlines") >= n)).first()
+        if row is None:
+            return None
+        return row["decoded_offset"] + selection.nth_newline(self._bzip2_block(row), n - row["line_offset"]) + 1
+
+    def _bzip2_lines_before(self, at: int) -> int:
+        row = self._bzip2_counted().where((F.col("decoded_offset") <= at) & (F.col("decoded_offset") + F.col("decoded_size") > at)).first()
+        return row["line_offset"] + self._bzip2_block(row)[: at - row["decoded_offset"]].count(b"\n")
+
+    def _bzip2_block(self, row) -> bytes:
+        base = row["start_bits"] >> 3
+        return parallel.bzip2_block(files.read_range(self.path, base, -(-row["stop_bits"] // 8)), row["start_bits"] - 8 * base, row["stop_bits"] - 8 * base)
 
     def _bzip2_bytes(self, index: DataFrame, low: int, high: int):
         met = index.where((F.col("decoded_offset") < high) & (F.col("decoded_offset") + F.col("decoded_size") > low)).orderBy("decoded_offset")
         for r in met.select("start_bits", "stop_bits", "decoded_offset").toLocalIterator():
-            base = r["start_bits"] >> 3
-            got = parallel.bzip2_block(files.read_range(self.path, base, -(-r["stop_bits"] // 8)), r["start_bits"] - 8 * base, r["stop_bits"] - 8 * base)
-            yield got[max(0, low - r["decoded_offset"]) : high - r["decoded_offset"]]
+            yield self._bzip2_block(r)[max(0, low - r["decoded_offset"]) : high - r["decoded_offset"]]
 
     def read(self, n: int = -1) -> bytes:
         n = (1 << 62) if n is None or n < 0 else n
@@ -188,8 +230,9 @@ def open(source, spark: SparkSession | None = None, **options) -> Archive:
 
 def determine_file_type(source) -> str:
     found = files.resolve_source(source)
-    data = found if isinstance(found, bytes) else files.read_range(found, 0, 1 << 62)
-    kind = formats.detect(data[: 2 * formats.MOST], data[-28:])
+    length = len(found) if isinstance(found, bytes) else index_files.len_of(found)
+    part = (lambda a, b: found[a:b]) if isinstance(found, bytes) else (lambda a, b: files.read_range(found, a, b))
+    kind = formats.detect(part(0, 2 * formats.MOST), part(max(0, length - 28), length))
     return kind[0] if kind else "NONE"
 
 

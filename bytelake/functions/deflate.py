@@ -320,8 +320,8 @@ class Piece:
     data: bytes
     fresh: bool  #: whether the member begins here, so that nothing before it is referred to
     end: bool = False
-    crc: int = 0
-    size: int = 0
+    crc: int | None = 0
+    size: int | None = 0
 
 
 def stream(data: bytes, at: int, end: int, history: bytes = b"", step: int = 1 << 16):
@@ -336,61 +336,60 @@ def stream(data: bytes, at: int, end: int, history: bytes = b"", step: int = 1 <
     yield pos - len(d.unused_data) if d.eof else None
 
 
-def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw: bool = False) -> list[Piece]:
-    """The output of bits [start, stop) of an archive, both starts of blocks or its end, after `history`.
+def inflated(data: bytes, start: int, stop: int, history: bytes, last: bool, raw: bool = False):
+    """The output of bits [start, stop) of an archive, both starts of blocks or its end, after `history`, a part at a time.
 
-    `data` holds the archive from byte 0. Streams may end within the range; what follows is a gzip footer and the next
-    member, or nothing (`raw`: streams have no footers). `last`: the range goes to the end of the archive."""
+    `data` holds the archive from byte 0. Parts follow each other; one with `end` set ends its member, whose footer it tells (None for
+    a `raw` stream, which has none); the next one, if any, begins the next member. `last`: the range goes to the end of the archive."""
     from bytelake.functions.formats import gzip_footer, gzip_header
 
-    out, at, fresh, end = [], start, not history, -(-stop // 8)
+    at, fresh, end = start, not history, -(-stop // 8)
     if not last and start >= stop:
-        return out
+        return
     while True:
-        *parts, foot = stream(data, at, end, history)
-        got = b"".join(parts)
+        held, foot, some = b"", None, False
+        for got in stream(data, at, end, history):
+            if not isinstance(got, bytes):
+                foot = got
+                break
+            if some:
+                yield Piece(held, fresh)
+            held, some = got, True
         if foot is None:
-            if last and (at != start or parts):
+            if last and (at != start or some):
                 raise Corrupt("the archive ends within a stream")
-            out.append(Piece(got, fresh))
-            return out
+            yield Piece(held, fresh)
+            return
         if raw:
-            out.append(Piece(got, fresh, True, zlib.crc32(got), len(got)))
-            return out
+            yield Piece(held, fresh, True, None, None)
+            return
         said = gzip_footer(data, foot)
         if said is None:
             raise Corrupt("the archive ends before its footer")
-        out.append(Piece(got, fresh, True, *said))
+        yield Piece(held, fresh, True, *said)
         head = gzip_header(data, foot + 8)
         if head is None:  # what follows the last member is no part of the archive
-            return out
+            return
         at, history, fresh = 8 * head.end, b"", True
         if at >= stop and not last:
-            return out
+            return
 
 
-# The places 0..32767 as pairs of bytes that differ: the lower byte of the place, and that plus one plus the upper byte.
-DICTIONARIES = [bytes(range(256)) * 128, bytes((i + 1 + (i >> 8)) & 255 for i in range(WINDOW))]
+def inflate(data: bytes, start: int, stop: int, history: bytes, last: bool, raw: bool = False) -> list[Piece]:
+    """`inflated`, with each member's parts put together."""
+    out, held = [], []
+    for p in inflated(data, start, stop, history, last, raw):
+        held.append(p.data)
+        if p.end:
+            out.append(Piece(b"".join(held), p.fresh, True, p.crc, p.size))
+            held = []
+    if held:
+        out.append(Piece(b"".join(held), p.fresh))
+    return out
 
 
-def places(data: bytes, start: int, stop: int, first: bytes, step: int = 1 << 16) -> bytes:
-    """What the second dictionary gives for the output `first` of the first one, up to where they agree for good."""
-    d = zlib.decompressobj(-15, zdict=DICTIONARIES[1])
-    body, out, alike = primed(data, start, -(-stop // 8))[0], bytearray(), 0
-    for at in range(0, len(body), step):
-        got = d.decompress(body[at : at + step])
-        own = first[len(out) : len(out) + len(got)]
-        if len(own) < len(got):
-            raise Corrupt("two decodings differ in length")
-        out += got
-        if own == got:
-            alike += len(got)
-        else:
-            differ = np.flatnonzero(np.frombuffer(own, np.uint8) != np.frombuffer(got, np.uint8))
-            alike = len(got) - 1 - int(differ[-1])
-        if alike >= WINDOW or d.eof:
-            break
-    return bytes(out)
+# The places 0..32767 as pairs of bytes that differ: the lower byte of the place, and that plus one plus the upper byte.
+DICTIONARIES = [bytes(range(256)) * 128, bytes((i + 1 + (i >> 8)) & 255 for i in range(WINDOW))]
 
 
 @dataclass
@@ -402,7 +401,7 @@ class Planes:
 
     @classmethod
     def of(cls, first: bytes, second: bytes) -> Planes:
-        """`second` may end where the two agree from there on."""
+        """Of what the two dictionaries give; `second` may end where the two agree from there on."""
         a, b = np.frombuffer(first, np.uint8), np.frombuffer(second, np.uint8)
         place = np.full(len(a), -1, np.int16)
         low = a[: len(b)]
@@ -427,6 +426,49 @@ def used_places(place: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
+@dataclass
+class Lead:
+    """What a chunk says before its history is known: sizes, the places of the window that it refers to, its last 32 KiB."""
+
+    decoded: int = 0
+    ends: bool = False  #: whether its last member ends within it
+    fresh: bool = False  #: whether its last member begins within it
+    tail: Planes | None = None
+    used: np.ndarray = field(default_factory=lambda: np.zeros(WINDOW, bool))
+
+
+def lead(data: bytes, start: int, stop: int, last: bool, raw: bool = False, known: bool = False) -> Lead:
+    """Decode bits [start, stop) after an unknown history (`known`: after none), a step at a time, holding 32 KiB.
+
+    The first stream goes through both dictionaries, until 32 KiB without a reference into the history have gone by."""
+    out, literal, place = Lead(), b"", np.zeros(0, np.int16)
+    one = inflated(data, start, stop, b"" if known else DICTIONARIES[0], last, raw)
+    two, alike = None if known else inflated(data, start, stop, DICTIONARIES[1], last, raw), 0
+    for p in one:
+        if out.ends:  # a member begins
+            literal, place = b"", place[:0]
+            two = None
+        got = p.data
+        out.decoded, out.ends, out.fresh = out.decoded + len(got), p.end, p.fresh
+        marks = np.full(min(len(got), WINDOW), -1, np.int16)
+        if two is not None:
+            other = next(two).data
+            if len(other) != len(got):
+                raise Corrupt("two decodings differ in length")
+            if other == got:
+                alike += len(got)
+            else:
+                all_marks = Planes.of(got, other).place
+                at = np.flatnonzero(all_marks >= 0)
+                out.used[all_marks[at]] = True
+                alike, marks = len(got) - 1 - int(at[-1]), all_marks[-WINDOW:]
+            if alike >= WINDOW:
+                two = None
+        literal, place = (literal + got[-WINDOW:])[-WINDOW:], np.concatenate([place, marks])[-WINDOW:]
+    out.tail = Planes(np.frombuffer(literal, np.uint8), place)
+    return out
+
+
 def next_window(window: bytes, tail: bytes) -> bytes:
     """The last 32 KiB of what ends with `tail` after `window`."""
     return (window + tail)[-WINDOW:]

@@ -95,6 +95,30 @@ def bgzf_blocks(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def bgzf_follow(data: bytes, at: int) -> int | None:
+    """Where the block after the one whose header is at `at` begins; None if there is no header."""
+    return at + int.from_bytes(data[at + 16 : at + 18], "little") + 1 if is_bgzf_header(data, at) else None
+
+
+def find_bgzf(data: bytes, length: int) -> int | None:
+    """The first block's header in `data`, the first part of the `length` bytes to the archive's end: one that a header or the end follows."""
+    at = data.find(GZIP)
+    while at >= 0:
+        after = bgzf_follow(data, at)
+        if after is not None and (after == length or after + 18 <= len(data) and is_bgzf_header(data, after)):
+            return at
+        at = data.find(GZIP, at + 1)
+    return None
+
+
+def bgzf_size(data: bytes) -> int:
+    """The decoded bytes of the blocks in `data`, which begins with a header, from the sizes in their footers."""
+    total, at = 0, 0
+    while (after := bgzf_follow(data, at)) is not None and after <= len(data):
+        total, at = total + int.from_bytes(data[after - 4 : after], "little"), after
+    return total
+
+
 def detect(head: bytes, tail: bytes | None = None) -> tuple[str, int] | None:
     """(format, bit where the first block begins) of a file with the first bytes `head` (64 KiB or so) and the last bytes
     `tail` (28; None: unknown). None if it is no format that is known."""

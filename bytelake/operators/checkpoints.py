@@ -26,8 +26,14 @@ def two_level_offsets(blocks: DataFrame, order: str, size: str, cell: int, out:
     return rows.withColumn("_within", before(size, ["_cell"], [order])).join(starts, "_cell").withColumn(out, F.col("_start") + F.col("_within")).drop("_cell", "_within", "_start")
 
 
-def sizes_from_offsets(checkpoints: DataFrame, keys: list[str], offset: str, end: Column, out: str = "decoded_size") -> DataFrame:
-    return checkpoints.withColumn(out, F.coalesce(F.lead(offset).over(Window.partitionBy(*keys).orderBy(offset)), end) - F.col(offset))
+def sizes_from_offsets(checkpoints: DataFrame, keys: list[str], order: str, offset: str, end: Column, out: str = "decoded_size") -> DataFrame:
+    """Sizes from the next row's offset, the last one's from `end`."""
+    return checkpoints.withColumn(out, F.coalesce(F.lead(offset).over(Window.partitionBy(*keys).orderBy(order)), end) - F.col(offset))
+
+
+def at_exactly(probes: DataFrame, checkpoints: DataFrame, at: list[str]) -> DataFrame:
+    """Each probe with the checkpoint that stands at its very place (columns `at` of both); nulls where there is none."""
+    return probes.join(checkpoints, at, "left")
 
 
 def end_rows(checkpoints: DataFrame, keys: list[str], order: str, offset: str) -> DataFrame:
@@ -36,11 +42,6 @@ def end_rows(checkpoints: DataFrame, keys: list[str], order: str, offset: str) -
     return checkpoints.withColumn("is_end", F.coalesce(following == F.col(offset), F.lit(True)))
 
 
-def with_end(checkpoints: DataFrame, ends: DataFrame) -> DataFrame:
-    """The map is final: a row for the end of each archive; one that stands there already stays alone."""
-    return checkpoints.unionByName(ends).distinct()
-
-
 def unsorted_pairs(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(keys, n): neighbours whose values fall; 0 where all is in order."""
     falls = F.lag(value).over(Window.partitionBy(*keys).orderBy(order)) > F.col(value)

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from bytelake.functions import deflate, formats
 from bytelake.functions.crc import folded_crc
 from bytelake.operators.checkpoints import before
-from bytelake.sources.files import cut, read_range
+from bytelake.sources.files import cut, opened, read_range
 
 SPACING, MARGIN = 4 << 20, 256 << 10
+REACH = 3  #: starts of bzip2 blocks that may lie within one by chance
 BZIP2_BLOCK, BZIP2_END = bytes.fromhex("314159265359"), bytes.fromhex("177245385090")
+PART = 16 << 20  #: decoded bytes that a row holds, about; one step of decoding may add some 64 MB to it
 PIECES = "array<struct<size:long,crc32:long,is_end:boolean,stated_crc32:long,stated_size:long>>"
 
 
@@ -51,34 +53,50 @@ def cells(files: DataFrame, spacing: int, n: int | None = None) -> DataFrame:
 
 
 def block_starts(files: DataFrame, spacing: int = SPACING, n: int | None = None) -> DataFrame:
-    """(path, length, cell, start_bits, file_type): the first start of a deflate block in each cell that has one."""
-    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("cell", pa.int64()), ("start_bits", pa.int64()), ("file_type", pa.string())])
+    """(path, length, cell, start_bits, file_type, head): the first start of a deflate block in each cell that has one.
+
+    Blocks of BGZF archives are members that tell their sizes, so their starts need no trial: a header that another follows
+    right after its block, or the archive's end. `head` is where that header begins."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("cell", pa.int64()), ("start_bits", pa.int64()), ("file_type", pa.string()), ("head", pa.int64())])
 
     def run(batches):
         for b in batches:
             out = []
             for path, length, cell in zip(*(b.column(c).to_pylist() for c in ("path", "length", "cell"))):
                 low, high = cell * spacing, min(length, (cell + 1) * spacing)
-                if cell == 0:
-                    head = read_range(path, 0, 2 * formats.MOST)
-                    kind = formats.detect(head, read_range(path, length - 28, length))
-                    if kind is None or kind[0] == "BZIP2":
-                        raise deflate.Corrupt(f"{path}: no deflate archive")
-                    out.append((path, length, cell, kind[1], kind[0]))
-                    continue
-                at = deflate.find_start(read_range(path, low, high + MARGIN), 0, 8 * (high - low))
-                if at is not None:
-                    out.append((path, length, cell, 8 * low + at, None))
+                with opened(path) as f:
+                    kind = _kind(f, path, length)
+                    if cell == 0:
+                        out.append((path, length, cell, kind[1], kind[0], 0))
+                        continue
+                    data = f.read_at(min(high + MARGIN, length) - low, low)
+                if kind[0] == "BGZF":
+                    at = formats.find_bgzf(data, length - low)
+                    if at is not None and at < high - low:
+                        out.append((path, length, cell, 8 * (low + formats.gzip_header(data, at).end), kind[0], low + at))
+                elif (at := deflate.find_start(data, 0, 8 * (high - low))) is not None:
+                    out.append((path, length, cell, 8 * low + at, kind[0], None))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
-    return cells(files, spacing, n).mapInArrow(run, "path string, length long, cell long, start_bits long, file_type string")
+    return cells(files, spacing, n).mapInArrow(run, "path string, length long, cell long, start_bits long, file_type string, head long")
+
+
+def _kind(f, path: str, length: int) -> tuple[str, int]:
+    """(format, first block) of an open archive; most headers are short, so little is read before more is."""
+    tail = f.read_at(min(28, length), length - min(28, length))
+    kind = formats.detect(f.read_at(min(1 << 12, length), 0), tail)
+    if kind is None or kind[0] not in ("GZIP", "BGZF") and length > 1 << 12:
+        kind = formats.detect(f.read_at(min(2 * formats.MOST, length), 0), tail)
+    if kind is None or kind[0] == "BZIP2":
+        raise deflate.Corrupt(f"{path}: no deflate archive")
+    return kind
 
 
 def _chunks(starts: DataFrame) -> DataFrame:
-    """(path, length, chunk_no, start_bits, stop_bits, is_last, raw)"""
+    """(path, length, cell, chunk_no, start_bits, stop_bits, is_last, raw, known, head, next_head), known: its history is empty"""
     w = Window.partitionBy("path").orderBy("start_bits")
-    whole = Window.partitionBy("path")
-    return starts.select("path", "length", "cell", (F.row_number().over(w) - 1).cast("long").alias("chunk_no"), "start_bits", F.coalesce(F.lead("start_bits").over(w), F.col("length") * 8).alias("stop_bits"), F.lead("start_bits").over(w).isNull().alias("is_last"), F.max("file_type").over(whole).isin("ZLIB", "DEFLATE").alias("raw"))
+    no = (F.row_number().over(w) - 1).cast("long")
+    return starts.select("path", "length", "cell", no.alias("chunk_no"), "start_bits", F.coalesce(F.lead("start_bits").over(w), F.col("length") * 8).alias("stop_bits"), F.lead("start_bits").over(w).isNull().alias("is_last"), F.col("file_type").isin("ZLIB", "DEFLATE").alias("raw"), ((F.col("file_type") == "BGZF") | (no == 0)).alias("known"), "head", F.coalesce(F.lead("head").over(w), "length").alias("next_head"))
 
 
 def _own(row: dict) -> tuple[int, bytes]:
@@ -93,9 +111,9 @@ def _pieces(row: dict, history: bytes) -> list[deflate.Piece]:
 
 
 def _tails(chunks: DataFrame) -> DataFrame:
-    """(path, chunk_no, cell, bad, ends, fresh, literal, place, used): what the next chunk's window needs of each chunk, and which
-    bytes of its own window (a bit each) a chunk refers to."""
-    schema = pa.schema([("path", pa.string()), ("chunk_no", pa.int64()), ("cell", pa.int64()), ("bad", pa.bool_()), ("ends", pa.bool_()), ("fresh", pa.bool_()), ("literal", pa.binary()), ("place", pa.binary()), ("used", pa.binary())])
+    """(path, chunk_no, cell, bad, ends, fresh, literal, place, used, decoded_size): what the next chunk's window needs of each chunk, and
+    which bytes of its own window (a bit each) a chunk refers to. Chunks of BGZF archives need nothing of each other: only their sizes are read."""
+    schema = pa.schema([("path", pa.string()), ("chunk_no", pa.int64()), ("cell", pa.int64()), ("bad", pa.bool_()), ("ends", pa.bool_()), ("fresh", pa.bool_()), ("literal", pa.binary()), ("place", pa.binary()), ("used", pa.binary()), ("decoded_size", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -103,22 +121,27 @@ def _tails(chunks: DataFrame) -> DataFrame:
                 out = {"path": row["path"], "chunk_no": row["chunk_no"], "cell": row["cell"], "bad": False}
                 try:
                     base, data = _own(row)
-                    start, stop = row["start_bits"] - 8 * base, row["stop_bits"] - 8 * base
-                    history = deflate.DICTIONARIES[0] if row["chunk_no"] else b""
-                    pieces = deflate.inflate(data, start, stop, history, row["is_last"], row["raw"])
-                    second = deflate.places(data, start, stop, pieces[0].data) if history and pieces else b""
+                    found = deflate.lead(data, row["start_bits"] - 8 * base, row["stop_bits"] - 8 * base, row["is_last"], row["raw"], row["known"])
+                    marked = found.tail.markers() > 0
+                    out |= {"ends": found.ends, "fresh": found.fresh, "used": np.packbits(found.used).tobytes(), "literal": found.tail.literal.tobytes(), "place": found.tail.place.astype("<i2").tobytes() if marked else b"", "decoded_size": found.decoded}
                 except (zlib.error, deflate.Corrupt):
-                    out["bad"], pieces = True, []
-                if pieces:
-                    last, used = pieces[-1], np.zeros(deflate.WINDOW, bool)
-                    first = deflate.Planes.of(pieces[0].data, second)
-                    used[deflate.used_places(first.place)] = True
-                    tail = deflate.Planes.of(last.data, b"").tail() if len(pieces) > 1 else first.tail()
-                    known = not tail.markers()
-                    out |= {"ends": last.end, "fresh": last.fresh, "used": np.packbits(used).tobytes(), "literal": tail.literal.tobytes(), "place": b"" if known else tail.place.astype("<i2").tobytes()}
+                    out["bad"] = True
                 yield pa.RecordBatch.from_pylist([out], schema)
 
-    return chunks.mapInArrow(run, "path string, chunk_no long, cell long, bad boolean, ends boolean, fresh boolean, literal binary, place binary, used binary")
+    return chunks.mapInArrow(run, "path string, chunk_no long, cell long, bad boolean, ends boolean, fresh boolean, literal binary, place binary, used binary, decoded_size long")
+
+
+def _bgzf_sizes(chunks: DataFrame) -> DataFrame:
+    """(path, chunk_no, decoded_size) of chunks of BGZF archives, from the sizes in their blocks' footers."""
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            for row in rows:
+                row["decoded_size"] = formats.bgzf_size(read_range(row["path"], row["head"], row["next_head"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in (("path", pa.string()), ("chunk_no", pa.int64()), ("decoded_size", pa.int64()))], ["path", "chunk_no", "decoded_size"])
+
+    return chunks.mapInArrow(run, "path string, chunk_no long, decoded_size long")
 
 
 def sparse(window: bytes, used: bytes) -> bytes:
@@ -157,72 +180,107 @@ def _windows(tails: DataFrame, thin: bool = False) -> DataFrame:
     return tails.repartition("path").sortWithinPartitions("path", "chunk_no").mapInArrow(run, "path string, chunk_no long, window binary")
 
 
-def _scan(rows: DataFrame, data: bool) -> DataFrame:
-    """Decode rows (path, length, chunk_no, start_bits, stop_bits, is_last, raw, window) by zlib, one chunk in memory at a time."""
-    fields = [("path", pa.string()), ("chunk_no", pa.int64()), ("start_bits", pa.int64()), ("stop_bits", pa.int64()), ("is_last", pa.bool_()), ("raw", pa.bool_()), ("length", pa.int64()), ("decoded_size", pa.int64()), ("n_newlines", pa.int64())]
+def _scan(rows: DataFrame, data: bool, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Decode rows (path, length, chunk_no, start_bits, stop_bits, is_last, raw, window) by zlib, a step at a time.
+
+    Without `data`, a row for each chunk. With it, a row for each PART of decoded bytes (part_no): what a chunk says of
+    sizes, newlines and pieces is split over its parts, and decoded_offset, where it is `carried`, goes on from part to part.
+    `carried`: columns of `rows` that are in the result as they are."""
+    fields = [("path", pa.string()), ("chunk_no", pa.int64()), ("part_no", pa.int64()), ("start_bits", pa.int64()), ("stop_bits", pa.int64()), ("is_last", pa.bool_()), ("raw", pa.bool_()), ("length", pa.int64()), *((c, pa.int64()) for c in carried), ("decoded_size", pa.int64()), ("n_newlines", pa.int64())]
     piece = pa.struct([("size", pa.int64()), ("crc32", pa.int64()), ("is_end", pa.bool_()), ("stated_crc32", pa.int64()), ("stated_size", pa.int64())])
-    schema = pa.schema([*fields, ("window", pa.binary()), ("pieces", pa.list_(piece)), *([("data", pa.binary())] if data else [])])
+    schema = pa.schema([*fields, *([] if data else [("window", pa.binary())]), ("pieces", pa.list_(piece)), *([("data", pa.binary())] if data else [])])
+
+    def row_of(row, part, pieces, held, lines):
+        size = sum(p["size"] for p in pieces)
+        out = {k: row[k] for k in schema.names if k in row} | {"part_no": part, "pieces": pieces, "decoded_size": size, "n_newlines": lines}
+        if data:
+            out["data"] = b"".join(held)
+        return pa.RecordBatch.from_pylist([out], schema), size
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                found = _pieces(row, row["window"])
-                for p in found:
-                    if p.end and row["raw"]:
-                        p.crc = p.size = None
-                whole = b"".join(p.data for p in found)
-                out = {k: row[k] for k in ("path", "chunk_no", "start_bits", "stop_bits", "is_last", "raw", "length", "window")}
-                out |= {"decoded_size": len(whole), "n_newlines": whole.count(b"\n"), "pieces": [{"size": len(p.data), "crc32": zlib.crc32(p.data), "is_end": p.end, "stated_crc32": p.crc if p.end else None, "stated_size": p.size if p.end else None} for p in found]}
-                if data:
-                    out["data"] = whole
-                yield pa.RecordBatch.from_pylist([out], schema)
-
-    return rows.mapInArrow(run, f"path string, chunk_no long, start_bits long, stop_bits long, is_last boolean, raw boolean, length long, decoded_size long, n_newlines long, window binary, pieces {PIECES}" + ", data binary" * data)
+                base, own = _own(row)
+                pieces, held, lines, part, open_, total = [], [], 0, 0, False, 0
+                for p in deflate.inflated(own, row["start_bits"] - 8 * base, row["stop_bits"] - 8 * base, row["window"], row["is_last"], row["raw"]):
+                    if not open_:
+                        pieces.append({"size": 0, "crc32": 0, "is_end": False, "stated_crc32": None, "stated_size": None})
+                    now = pieces[-1]
+                    now["size"], now["crc32"] = now["size"] + len(p.data), zlib.crc32(p.data, now["crc32"])
+                    total, lines, open_ = total + len(p.data), lines + p.data.count(b"\n"), not p.end
+                    if p.end:
+                        now |= {"is_end": True, "stated_crc32": p.crc, "stated_size": p.size}
+                    if data:
+                        held.append(p.data)
+                        if total >= PART:
+                            batch, size = row_of(row, part, pieces, held, lines)
+                            yield batch
+                            if "decoded_offset" in row:
+                                row["decoded_offset"] += size
+                            pieces, held, lines, part, open_, total = [], [], 0, part + 1, False, 0
+                if pieces or not part:
+                    yield row_of(row, part, pieces, held, lines)[0]
+
+    columns = "path string, chunk_no long, part_no long, start_bits long, stop_bits long, is_last boolean, raw boolean, length long" + "".join(f", {c} long" for c in carried) + ", decoded_size long, n_newlines long"
+    return rows.mapInArrow(run, columns + ("" if data else ", window binary") + f", pieces {PIECES}" + ", data binary" * data)
 
 
 def planned(files: DataFrame, spacing: int = SPACING, rounds: int = 8, thin: bool = False) -> DataFrame:
-    """Chunks of deflate archives with their windows, ready to scan: an index that isn't counted yet. `thin`: windows keep only
-    what their chunks refer to."""
+    """Chunks of deflate archives with their windows and decoded offsets, ready to scan: an index whose lines aren't counted yet.
+    `thin`: windows keep only what their chunks refer to. Chunks of BGZF archives are known without decoding any."""
     n = n_cells(files, spacing)  # chunks are as many at most
     starts = cut(block_starts(files, spacing, n))
-    for _ in range(rounds):
-        chunks = _chunks(starts)
+    is_bgzf = F.col("file_type") == "BGZF"
+    some_bgzf, some_plain = starts.agg(F.bool_or(is_bgzf), F.bool_or(~is_bgzf)).first()
+    plain = starts.where(~is_bgzf)
+    narrow = []
+    if some_bgzf:
+        known = _chunks(starts.where(is_bgzf))
+        sizes = _bgzf_sizes(_dealt(known, n, "path", "chunk_no"))
+        narrow.append(known.join(sizes, ["path", "chunk_no"]).withColumn("window", F.lit(b"")))
+    for _ in range(rounds if some_plain else 0):
+        chunks = _chunks(plain)
         tails = cut(_tails(_dealt(chunks, n, "path", "chunk_no")))
         bad, first = tails.agg(F.count_if("bad"), F.count_if(F.expr("bad and cell = 0"))).first()
         if first:
             raise deflate.Corrupt("an archive's first block can't be decoded")
         if not bad:
+            narrow.append(chunks.join(tails.select("path", "chunk_no", "decoded_size"), ["path", "chunk_no"]).join(_windows(tails, thin), ["path", "chunk_no"]))
             break
-        starts = cut(starts.join(tails.where("bad").select("path", "cell"), ["path", "cell"], "left_anti"))
+        plain = cut(plain.join(tails.where("bad").select("path", "cell"), ["path", "cell"], "left_anti"))
     else:
-        raise deflate.Corrupt("block starts could not be told from data that look like them")
-    return _dealt(chunks.join(_windows(tails, thin), ["path", "chunk_no"]), n, "path", "chunk_no")
+        if some_plain:
+            raise deflate.Corrupt("block starts could not be told from data that look like them")
+    if not narrow:
+        narrow.append(_chunks(starts).withColumn("decoded_size", F.lit(0).cast("long")).withColumn("window", F.lit(b"")))
+    out = narrow[0] if len(narrow) == 1 else narrow[0].unionByName(narrow[1])
+    return _dealt(out.withColumn("decoded_offset", before("decoded_size", ["path"], ["chunk_no"])).drop("decoded_size", "known", "cell", "head", "next_head"), n, "path", "chunk_no")
 
 
 def decode(files: DataFrame, spacing: int = SPACING, data: bool = True) -> DataFrame:
-    """Chunks of deflate archives (path, length): sizes, newlines, checksums and, unless only those are wanted, `data`."""
-    return _scan(planned(files, spacing), data)
+    """Chunks of deflate archives (path, length): sizes, offsets, newlines, checksums and, unless only those are wanted, `data` in parts."""
+    return _scan(planned(files, spacing), data, ("decoded_offset",))
 
 
 def with_places(chunks: DataFrame) -> DataFrame:
-    """decoded_offset and line_offset (newlines before the chunk) of scanned chunks."""
-    return chunks.withColumn("decoded_offset", before("decoded_size", ["path"], ["chunk_no"])).withColumn("line_offset", before("n_newlines", ["path"], ["chunk_no"]))
+    """line_offset (newlines before the chunk) of scanned chunks, which have no data."""
+    return chunks.withColumn("line_offset", before("n_newlines", ["path"], ["chunk_no"]))
 
 
 def build_index(files: DataFrame, spacing: int = SPACING, thin: bool = True) -> DataFrame:
     """Checkpoints (path, length, chunk_no, start_bits, stop_bits, is_last, raw, window, decoded_offset, decoded_size, line_offset, n_newlines, pieces)."""
-    return cut(with_places(_scan(planned(files, spacing, thin=thin), False)))
+    found = _scan(planned(files, spacing, thin=thin), False, ("decoded_offset",)).drop("part_no")
+    return cut(with_places(found))
 
 
 def indexed_scan(index: DataFrame, data: bool = True) -> DataFrame:
-    """Decode the chunks of an index, or those of its rows that are wanted: one zlib pass each, nothing in order."""
-    kept = index.select("path", "chunk_no", "decoded_offset", "line_offset")
-    return _scan(_dealt(index, index.count(), "path", "chunk_no"), data).join(kept, ["path", "chunk_no"])
+    """Decode the chunks of an index, or those of its rows that are wanted: one zlib pass each, nothing in order, data in parts."""
+    return _scan(_dealt(index, index.count(), "path", "chunk_no"), data, ("decoded_offset", "line_offset"))
 
 
 def verified(chunks: DataFrame, strict: bool = True) -> DataFrame:
     """(path, member_no, crc32, size, valid): each member's checksum and size, folded over chunks, against its footer."""
-    p = chunks.select("path", "chunk_no", F.posexplode("pieces").alias("k", "p")).select("path", (F.col("chunk_no") * (1 << 24) + F.col("k")).alias("at"), "p.*")
+    p = chunks.select("path", "chunk_no", "part_no" if "part_no" in chunks.columns else F.lit(0).alias("part_no"), F.posexplode("pieces").alias("k", "p")).select("path", F.struct("chunk_no", "part_no", "k").alias("at"), "p.*")
     p = p.withColumn("member_no", before(F.col("is_end").cast("long"), ["path"], ["at"]))
     stated = p.where("is_end").select("path", "member_no", "stated_crc32", "stated_size")
     out = folded_crc(p, ["path", "member_no"], "at").join(stated, ["path", "member_no"])
@@ -235,7 +293,7 @@ def verified(chunks: DataFrame, strict: bool = True) -> DataFrame:
 
 def verified_against(chunks: DataFrame, given: DataFrame) -> DataFrame:
     """(path, crc32, size, valid): archives of streams without checksums against those in `given` (path, crc32)."""
-    p = chunks.select("path", "chunk_no", F.posexplode("pieces").alias("k", "p")).select("path", (F.col("chunk_no") * (1 << 24) + F.col("k")).alias("at"), "p.size", "p.crc32")
+    p = chunks.select("path", "chunk_no", "part_no" if "part_no" in chunks.columns else F.lit(0).alias("part_no"), F.posexplode("pieces").alias("k", "p")).select("path", F.struct("chunk_no", "part_no", "k").alias("at"), "p.size", "p.crc32")
     both = folded_crc(p, ["path"], "at").join(given.select("path", F.col("crc32").alias("_given")), "path")
     return both.select("path", "crc32", "size", (F.col("crc32") == F.col("_given")).alias("valid"))
 
@@ -289,15 +347,6 @@ def checked_offsets(offsets: DataFrame) -> DataFrame:
     return offsets.mapInArrow(run, T.StructType([*offsets.schema.fields, T.StructField("valid", T.BooleanType())]))
 
 
-def released(index: DataFrame, bits: int) -> DataFrame:
-    """An index without the windows before a bit of the archive, for reading on from there only."""
-    return index.withColumn("window", F.when(F.col("start_bits") >= bits, F.col("window")))
-
-
-def available_cores(spark) -> int:
-    return spark.sparkContext.defaultParallelism
-
-
 def bzip2_block(data: bytes, start: int, stop: int) -> bytes:
     """The output of the block in bits [start, stop), made a stream of its own: one block's checksum is its stream's."""
     n = stop - start
@@ -309,20 +358,59 @@ def bzip2_block(data: bytes, start: int, stop: int) -> bytes:
     return bz2.decompress(b"BZh9" + whole.to_bytes(-(-n // 8), "big"))
 
 
-def decode_bzip2(files: DataFrame, spacing: int = SPACING, data: bool = True) -> DataFrame:
-    """(path, block_no, start_bits, decoded_size, n_newlines, decoded_offset[, data]) of bzip2 archives, ends of streams with size 0."""
-    starts = cut(bzip2_starts(files, spacing))
+def _bzip2_rows(starts: DataFrame) -> DataFrame:
+    """(path, block_no, start_bits, stop_bits, is_end, before, after): starts of blocks with the REACH starts on either side."""
     w = Window.partitionBy("path").orderBy("start_bits")
-    blocks = starts.select("path", "length", "is_end", "start_bits", (F.row_number().over(w) - 1).cast("long").alias("block_no"), F.coalesce(F.lead("start_bits").over(w), F.col("length") * 8).alias("stop_bits"))
-    schema = pa.schema([("path", pa.string()), ("block_no", pa.int64()), ("start_bits", pa.int64()), ("decoded_size", pa.int64()), ("n_newlines", pa.int64()), *([("data", pa.binary())] if data else [])])
+    stop = F.coalesce(F.lead("start_bits").over(w), F.col("length") * 8)
+    end = lambda k: F.coalesce(F.lead("start_bits", k).over(w), F.col("length") * 8)
+    near = [F.array(*(F.lag("start_bits", k).over(w) for k in range(1, REACH + 1))).alias("before"), F.array(*(end(k) for k in range(1, REACH + 2))).alias("after")]
+    return starts.select("path", (F.row_number().over(w) - 1).cast("long").alias("block_no"), "start_bits", stop.alias("stop_bits"), "is_end", *near)
+
+
+def bzip2_output(path: str, start: int, stops: list[int]) -> tuple[bytes, int] | None:
+    """(output, stop) of the block at bit `start`, which ends at one of `stops`: the magic may stand within a block by chance."""
+    base, last = start >> 3, max(stops)
+    data = read_range(path, base, -(-last // 8))
+    for stop in sorted(set(stops)):
+        try:
+            return bzip2_block(data, start - 8 * base, stop - 8 * base), stop
+        except (OSError, ValueError, EOFError):
+            continue
+    return None
+
+
+def _bzip2_own(r: dict) -> bytes | None:
+    """The output of a row of _bzip2_rows; None for a start that lies within a block."""
+    if (got := bzip2_output(r["path"], r["start_bits"], r["after"])) is not None:
+        return got[0]
+    for earlier in filter(None.__ne__, r["before"]):
+        got = bzip2_output(r["path"], earlier, [x for x in r["after"] if x > r["start_bits"]])
+        if got is not None:
+            return None
+    raise deflate.Corrupt(f"{r['path']}: the bzip2 block at bit {r['start_bits']} can't be decoded")
+
+
+def scan_bzip2(rows: DataFrame, data: bool = True) -> DataFrame:
+    """(path, block_no, start_bits, stop_bits, decoded_size, n_newlines[, data]) of rows of _bzip2_rows; ends of streams have size 0."""
+    schema = pa.schema([("path", pa.string()), ("block_no", pa.int64()), ("start_bits", pa.int64()), ("stop_bits", pa.int64()), ("decoded_size", pa.int64()), ("n_newlines", pa.int64()), *([("data", pa.binary())] if data else [])])
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                base = r["start_bits"] >> 3
-                got = b"" if r["is_end"] else bzip2_block(read_range(r["path"], base, -(-r["stop_bits"] // 8)), r["start_bits"] - 8 * base, r["stop_bits"] - 8 * base)
-                out = {"path": r["path"], "block_no": r["block_no"], "start_bits": r["start_bits"], "decoded_size": len(got), "n_newlines": got.count(b"\n")}
-                yield pa.RecordBatch.from_pylist([out | ({"data": got} if data else {})], schema)
+                if (got := b"" if r["is_end"] else _bzip2_own(r)) is not None:
+                    out = {"path": r["path"], "block_no": r["block_no"], "start_bits": r["start_bits"], "stop_bits": r["stop_bits"], "decoded_size": len(got), "n_newlines": got.count(b"\n")}
+                    yield pa.RecordBatch.from_pylist([out | ({"data": got} if data else {})], schema)
+
+    return rows.mapInArrow(run, "path string, block_no long, start_bits long, stop_bits long, decoded_size long, n_newlines long" + ", data binary" * data)
+
 
-    out = _dealt(blocks, starts.count(), "path", "block_no").mapInArrow(run, "path string, block_no long, start_bits long, decoded_size long, n_newlines long" + ", data binary" * data)
-    return out.withColumn("decoded_offset", before("decoded_size", ["path"], ["block_no"]))
+def decode_bzip2(files: DataFrame, spacing: int = SPACING, data: bool = True) -> DataFrame:
+    """Blocks of bzip2 archives (see scan_bzip2), in the order of block_no. Without `data`, decoded_offset and line_offset as well:
+    a sum over an archive's blocks moves rows, and rows with data stay where they are."""
+    starts = cut(bzip2_starts(files, spacing))
+    out = scan_bzip2(_dealt(_bzip2_rows(starts), starts.count(), "path", "block_no"), data)
+    if data:
+        return out
+    w = Window.partitionBy("path").orderBy("block_no")  # a block goes on over starts that lie within it
+    out = out.withColumn("stop_bits", F.coalesce(F.lead("start_bits").over(w), "stop_bits"))
+    return out.withColumn("decoded_offset", before("decoded_size", ["path"], ["block_no"])).withColumn("line_offset", before("n_newlines", ["path"], ["block_no"]))

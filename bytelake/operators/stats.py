@@ -89,7 +89,8 @@ def index_analytics(checkpoints: DataFrame, keys: list[str], encoded: str, decod
 
 
 def block_types(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("btype").agg(F.count("*").alias("n"))
+    """(btype, n, n_final, n_bytes): how many blocks of each type there are, and what they decode to."""
+    return blocks.groupBy("btype").agg(F.count("*").alias("n"), F.count_if("is_final").alias("n_final"), F.sum("decoded_size").cast("long").alias("n_bytes"))
 
 
 def symbol_shares(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,10 +98,6 @@ def symbol_shares(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys).agg(F.sum("literals").alias("literals"), F.sum("references").alias("references"), F.sum("copied").alias("copied"), (F.sum("copied") / F.greatest(F.sum("decoded_size"), F.lit(1))).alias("copied_share"))
 
 
-def compression_ratios(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("ratio", F.col("decoded_size") * 8 / F.col("encoded_size_bits"))
-
-
 def code_lengths(blocks: DataFrame, lengths: str) -> DataFrame:
     """(path, block_no, length, n): how many symbols have each length, zeros left out."""
     return blocks.select("path", "block_no", F.explode(lengths).alias("length")).where("length > 0").groupBy("path", "block_no", "length").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_files(rows: DataFrame, group: Column, order: str, kind: str, name: str) -> DataFrame:
     """(path, name, length): a file for each group of rows (`data`), in the order of `order`. kind: gzip (one member), members (one a
-    row), bgzf or bzip2. A group is one archive; groups are of bounded size, so there are more of them in larger tables."""
+    row), bgzf, bzip2, zlib or deflate. A group is one archive; groups are of bounded size, so there are more of them in larger tables."""
     spark = rows.sparkSession
     folder = shared_dir(spark, name)
     schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("length", pa.int64())])
@@ -41,7 +42,7 @@ def archive_files(rows: DataFrame, group: Column, order: str, kind: str, name: s
     def run(key, t):
         parts = t.sort_by(order).column("data").to_pylist()
         whole = b"".join(parts)
-        data = {"gzip": lambda: formats.gzip_member(whole), "members": lambda: b"".join(map(formats.gzip_member, parts)), "bgzf": lambda: formats.bgzf(whole), "bzip2": lambda: bz2.compress(whole, 1)}[kind]()
+        data = {"gzip": lambda: formats.gzip_member(whole), "members": lambda: b"".join(map(formats.gzip_member, parts)), "bgzf": lambda: formats.bgzf(whole), "bzip2": lambda: bz2.compress(whole, 1), "zlib": lambda: zlib.compress(whole, 6), "deflate": lambda: zlib.compress(whole, 6, -15)}[kind]()
         path = f"{folder}/{key[0].as_py()}.{kind}"
         write_file(path, data)
         return pa.Table.from_pydict({"path": [path], "name": [str(key[0].as_py())], "length": [len(data)]}, schema=schema)

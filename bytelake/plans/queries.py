@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from bytelake.functions import access, coding, crc, ranges, scalars
 from bytelake.operators import archives, checkpoints, parallel, selection, stats
 from bytelake.plans.fixtures import archive_files, document_blobs, document_bytes, order_lines, table
-from bytelake.sources import index_files
-from bytelake.sources.files import cut, read_range, shared_dir
+from bytelake.sources import datasource, index_files
+from bytelake.sources.files import contents, cut, read_range, shared_dir
 from bytelake.streaming import archives as streams
 
 QUERIES: dict = {}
@@ -76,6 +76,20 @@ def gzip_members(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("path", "member_no", "header_bits", "data_bits", "file_name", "decoded_size", "isize", scalars.system_name(F.col("os")).alias("system"), scalars.extra_flags_name(F.col("xfl")).alias("extra_flags"), "valid")
 
 
+@query(f"select cast(doc_id as varchar) path, {BYTES}::bigint n_bytes, true consistent from documents")
+def symbol_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Literals and copied bytes of all blocks are what an archive decodes to; references copy three bytes or more each."""
+    found = stats.symbol_shares(archives.blocks(document_blobs(spark, sf)), ["path"])
+    consistent = (F.col("copied") >= 3 * F.col("references")) & (F.col("copied") <= 258 * F.col("references")) & F.col("copied_share").between(0, 1)
+    return found.select("path", (F.col("literals") + F.col("copied")).cast("long").alias("n_bytes"), consistent.alias("consistent"))
+
+
+@query(f"select 'UNCOMPRESSED' btype, sum({BYTES})::bigint n_bytes, count(*) n_final from documents")
+def stored_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives without compression have stored blocks alone, one of them their last."""
+    return stats.block_types(archives.blocks(archives.encoded(document_bytes(spark, sf), "stored"))).select("btype", "n_bytes", "n_final")
+
+
 @query(f"select cast(doc_id as varchar) path, (ceil({BYTES} / 65280.0) + 1)::bigint n_blocks, {BYTES}::bigint decoded_size from documents")
 def bgzf_blocks(spark: SparkSession, sf: str) -> DataFrame:
     m = archives.members(document_blobs(spark, sf, "bgzf")).where("metadata['bgzf_block_size'] * 8 = end_bits - header_bits")
@@ -124,9 +138,7 @@ def block_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select doc_id, coalesce(lead(decoded_offset) over (partition by source order by doc_id), 1000000000000) - decoded_offset as decoded_size from {OFFSETS}")
 def block_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _offsets(spark, sf).withColumn("at", F.col("decoded_offset"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return rows.select("doc_id", (F.coalesce(F.lead("at").over(w), F.lit(10**12)) - F.col("at")).alias("decoded_size"))
+    return checkpoints.sizes_from_offsets(_offsets(spark, sf), ["source"], "doc_id", "decoded_offset", F.lit(10**12)).select("doc_id", "decoded_size")
 
 
 @query(f"select doc_id, coalesce(lead(decoded_offset) over (partition by source order by doc_id) = decoded_offset, true) is_end from {OFFSETS}")
@@ -139,22 +151,32 @@ def line_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return checkpoints.with_offsets(_offsets(spark, sf), ["source"], "doc_id", "lines", "line_offset").select("doc_id", "line_offset")
 
 
-@query("""select l_orderkey, l_linenumber, o_orderkey checkpoint from lineitem asof left join (select o_orderkey from orders where o_orderkey % 7 = 3) o on l_orderkey >= o_orderkey""")
+ASOF = "select l.l_orderkey, l.l_linenumber, o.checkpoint from (select *, 7 * l_orderkey + l_linenumber as at from lineitem) l asof left join (select 7 * o_orderkey + 3 as checkpoint from orders) o on l.at >= o.checkpoint"
+
+
+def _lookup(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
+    """Each line's place among the orders' checkpoints, which stand seven apart at least."""
+    points = table(spark, sf, "orders").select((F.col("o_orderkey") * 7 + 3).alias("checkpoint"))
+    probes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("at"))
+    return checkpoints.as_of(probes, points, "at", "checkpoint", strict=strict).drop("at")
+
+
+@query(ASOF)
 def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "orders").where("o_orderkey % 7 = 3").select(F.col("o_orderkey").alias("checkpoint"))
-    return checkpoints.as_of(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), points, "l_orderkey", "checkpoint")
+    return _lookup(spark, sf)
 
 
-@query("""select l_orderkey, l_linenumber, o_orderkey checkpoint from lineitem asof left join (select o_orderkey from orders where o_orderkey % 7 = 3) o on l_orderkey > o_orderkey""")
+@query(ASOF.replace(">=", ">"))
 def asof_lookup_strict(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "orders").where("o_orderkey % 7 = 3").select(F.col("o_orderkey").alias("checkpoint"))
-    return checkpoints.as_of(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), points, "l_orderkey", "checkpoint", strict=True)
+    return _lookup(spark, sf, strict=True)
 
 
-@query("select l_orderkey, l_linenumber, o_custkey from lineitem left join (select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0) on l_orderkey = o_orderkey")
+@query("select l_orderkey, l_linenumber, o_custkey from lineitem left join orders on l_partkey * 40 = o_orderkey")
 def encoded_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(points, "l_orderkey", "left")
+    """Exact places: most probes hit a row or none, by their keys' own gaps."""
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("at"), "o_custkey")
+    probes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 40).alias("at"))
+    return checkpoints.at_exactly(probes, points, ["at"]).drop("at")
 
 
 @query("select (l_orderkey - l_orderkey % 512)::bigint bucket, count(*) n from lineitem group by 1")
@@ -302,7 +324,7 @@ def _order_archives(spark: SparkSession, sf: str, kind: str = "gzip") -> DataFra
     return archive_files(order_lines(spark, sf), F.floor(F.col("o_orderkey") / 5000), "o_orderkey", kind, "orders")
 
 
-@query("""with o as (select (o_orderkey // 5000)::bigint as name, o_orderkey || '|' || o_custkey || '|' || o_orderstatus || chr(10) line, row_number() over (partition by o_orderkey // 5000 order by o_orderkey) i from orders),
+RANGES = ("""with o as (select (o_orderkey // 5000)::bigint as name, o_orderkey || '|' || o_custkey || '|' || o_orderstatus || chr(10) line, row_number() over (partition by o_orderkey // 5000 order by o_orderkey) i from orders),
 q as (select *, coalesce(sum(length(line)) over (partition by name order by i rows between unbounded preceding and 1 preceding), 0)::bigint pos from o),
 t as (select name, string_agg(line, '' order by i) s, count(*) n, sum(length(line))::bigint z from q group by 1),
 r as (select * from (values (0, 'B', 0, 'B', 10), (1, 'B', 15360, 'B', 1024), (2, 'B', 1, 'B', 100), (3, 'L', 20, 'L', 5), (4, 'B', 100, 'L', 3), (5, 'L', 7, 'B', 50), (6, 'B', 0, 'L', 1), (7, 'B', 9000, 'B', 20480), (8, 'L', 4990, 'B', 999999999), (9, 'B', 1000000000, 'B', 5)) v(ordinal, k, o, m, c)),
@@ -310,17 +332,33 @@ b as (select t.name, t.s, t.z, t.n, r.*, case when k = 'B' then o when o <= n th
 f as (select *, case when k = 'L' then o else (select count(*) from q where q.name = b.name and q.pos + length(q.line) <= begin_at) end lines_before from b where begin_at is not null and begin_at < z),
 g as (select *, least(z, case when m = 'B' then begin_at + c when lines_before + c >= n then z else (select pos from q where q.name = f.name and q.i = lines_before + c + 1) end) end_at from f)
 select name, ordinal, begin_at "offset", (end_at - begin_at)::bigint size, md5(substr(s, (begin_at + 1)::bigint, (end_at - begin_at)::bigint)) digest from g where end_at > begin_at""")
+
+
+@query(RANGES)
 def read_ranges(spark: SparkSession, sf: str) -> DataFrame:
     files = _order_archives(spark, sf)
-    index = parallel.build_index(files, 16 << 10)
+    return _ranges_of(selection.read_ranges(parallel.build_index(files, 16 << 10), _wanted(files)), files)
+
+
+def _wanted(files: DataFrame) -> DataFrame:
     asked = [F.struct(F.lit(i).alias("ordinal"), F.lit(r.offset).cast("long").alias("offset"), F.lit(r.size).cast("long").alias("size"), F.lit(r.offset_is_line).alias("offset_is_line"), F.lit(r.size_is_line).alias("size_is_line")) for i, r in enumerate(ranges.parse_ranges(EXPRESSION))]
-    wanted = files.select("path", F.inline(F.array(*asked)))
-    parts = selection.read_ranges(index, wanted)
+    return files.select("path", F.inline(F.array(*asked)))
+
+
+def _ranges_of(parts: DataFrame, files: DataFrame) -> DataFrame:
     whole = parts.groupBy("path", "ordinal").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("l"))
     out = whole.select("path", "ordinal", F.element_at("l", 1)["at"].alias("offset"), F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("d"))
     return out.join(files, "path").select(F.col("name").cast("long").alias("name"), "ordinal", "offset", F.octet_length("d").cast("long").alias("size"), F.md5("d").alias("digest"))
 
 
+@query(RANGES)
+def read_ranges_bzip2(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranges of bzip2 archives, whose blocks need no history: an index without windows."""
+    files = _order_archives(spark, sf, "bzip2")
+    blocks = parallel.decode_bzip2(files, 16 << 10, data=False).where("decoded_size > 0").withColumnRenamed("block_no", "chunk_no")
+    return _ranges_of(selection.bzip2_ranges(cut(blocks), _wanted(files)), files)
+
+
 @query("""with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) a from documents)
 select doc_id, case when len(a) > 3 then list_sum([octet_length(encode(x)) for x in a[1:3]])::bigint + 2 end "at" from t""")
 def nth_newline(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,15 +374,15 @@ def _document_archives(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return archive_files(document_bytes(spark, sf), F.floor(F.col("doc_id") / 2000), "doc_id", kind, "documents")
 
 
-def _digest(chunks: DataFrame, files: DataFrame) -> DataFrame:
+def _digest(chunks: DataFrame, files: DataFrame, order: str = "decoded_offset") -> DataFrame:
     """Whole archives again, of 2000 documents at most each."""
-    whole = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("decoded_offset", "data"))).alias("l"), F.sum("decoded_size").alias("size"), F.sum("n_newlines").alias("n_newlines"))
+    whole = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(order, "data"))).alias("l"), F.sum("decoded_size").alias("size"), F.sum("n_newlines").alias("n_newlines"))
     return whole.join(files, "path").select("path", F.col("name").cast("long").alias("name"), "size", "n_newlines", F.md5(F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["data"]))).alias("digest"))
 
 
 def _gzip_digest(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     files = _document_archives(spark, sf, kind)
-    chunks = cut(parallel.with_places(parallel.decode(files, 64 << 10)))
+    chunks = cut(parallel.decode(files, 64 << 10))
     good = parallel.verified(chunks).groupBy("path").agg(F.bool_and("valid").alias("valid"))
     return _digest(chunks, files).join(good, "path").drop("path")
 
@@ -367,7 +405,20 @@ def parallel_bgzf(spark: SparkSession, sf: str) -> DataFrame:
 @query(WHOLE.replace(", true valid", ""))
 def parallel_bzip2(spark: SparkSession, sf: str) -> DataFrame:
     files = _document_archives(spark, sf, "bzip2")
-    return _digest(parallel.decode_bzip2(files, 64 << 10), files).drop("path")
+    return _digest(parallel.decode_bzip2(files, 64 << 10), files, "block_no").drop("path")
+
+
+@query("""with d as (select (doc_id // 2000)::bigint as name, sum(octet_length(encode(coalesce(text, ''))))::bigint z, count(*) n, max(doc_id) last from documents group by 1)
+select name, (z + n * 200000)::bigint size, n::bigint n_newlines, true valid, true bounded from d""")
+def parallel_high_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document after 199,999 blanks and a line end: archives that grow several hundredfold come out in bounded parts."""
+    blanks = F.encode(F.concat(F.repeat(F.lit(" "), 199_999), F.lit("\n")), "UTF-8")
+    rows = document_bytes(spark, sf).select("doc_id", F.concat(blanks, F.encode(F.translate(F.decode("data", "UTF-8"), "\n", " "), "UTF-8")).alias("data"))
+    files = archive_files(rows, F.floor(F.col("doc_id") / 2000), "doc_id", "gzip", "blanks")
+    parts = cut(parallel.decode(files, 1 << 20).withColumn("bytes", F.octet_length("data")).drop("data"))
+    good = parallel.verified(parts).groupBy("path").agg(F.bool_and("valid").alias("valid"))
+    out = parts.groupBy("path").agg(F.sum("bytes").alias("size"), F.sum("n_newlines").alias("n_newlines"), (F.max("bytes") < 2 * parallel.PART + (70 << 20)).alias("bounded"))
+    return out.join(good, "path").join(files, "path").select(F.col("name").cast("long").alias("name"), "size", "n_newlines", "valid", "bounded")
 
 
 def _round_trip(spark: SparkSession, sf: str, kind: str, archive: str = "gzip") -> DataFrame:
@@ -381,6 +432,37 @@ def _round_trip(spark: SparkSession, sf: str, kind: str, archive: str = "gzip")
 INDEXED = WHOLE.replace(", true valid", "")
 
 
+@query(INDEXED)
+def indexed_scan_zlib(spark: SparkSession, sf: str) -> DataFrame:
+    return _round_trip(spark, sf, "indexed_gzip", "zlib")
+
+
+@query(INDEXED)
+def indexed_scan_deflate(spark: SparkSession, sf: str) -> DataFrame:
+    return _round_trip(spark, sf, "gztool-with-lines", "deflate")
+
+
+@query(INDEXED)
+def indexed_scan_bgzi(spark: SparkSession, sf: str) -> DataFrame:
+    """BGZF archives by the index of their own tool."""
+    return _round_trip(spark, sf, "bgzi", "bgzf")
+
+
+@query("select sum(octet_length(encode(coalesce(text, ''))))::bigint n_bytes, md5(string_agg(coalesce(text, ''), '' order by doc_id)) digest, true same from documents where doc_id // 2000 = 0")
+def source_and_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """An archive read in chunks through the data source, and written back through it, each chunk at its place."""
+    datasource.register(spark)
+    files = _document_archives(spark, sf, "gzip").where("name = '0'")
+    pairs = index_files.export_indexes(parallel.build_index(files, 64 << 10), "indexed_gzip", shared_dir(spark, "indexes")).first()
+    if pairs is None:
+        return spark.createDataFrame([], "n_bytes long, digest string, same boolean")
+    chunks = spark.read.format("bytelake").option("path", pairs["path"]).option("index", pairs["index_path"]).load()
+    chunks.select("decoded_offset", "data").write.format("bytelake").mode("append").save(target := f"{shared_dir(spark, 'sink')}/whole.txt")
+    n = chunks.agg(F.sum("decoded_size").alias("n")).first()["n"]
+    back = contents(spark, target).select(F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+    return back.withColumn("same", F.col("n_bytes") == n)
+
+
 @query(INDEXED)
 def indexed_scan_indexed_gzip(spark: SparkSession, sf: str) -> DataFrame:
     return _round_trip(spark, sf, "indexed_gzip")

@@ -7,6 +7,7 @@ n_newlines, data. Write: rows (decoded_offset, data) go to one file at `path`, e
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 
@@ -29,12 +30,12 @@ class ArchiveReader(DataSourceReader):
         if not self.index:
             return [Chunk(0, None)]
         from bytelake.sources.files import read_range
-        from bytelake.sources.index_files import read_index
+        from bytelake.sources.index_files import ascending, read_index, without_footers
 
         found = read_index(read_range(self.index, 0, 1 << 62), self.path)
-        rows = sorted((c for c in found.checkpoints if c.bits < 8 * found.compressed_size), key=lambda c: c.bits)
+        rows, raw = ascending([c for c in found.checkpoints if c.bits < 8 * found.compressed_size]), without_footers(self.path)
         stops = [c.bits for c in rows[1:]] + [8 * found.compressed_size]
-        return [Chunk(k, {"path": self.path, "length": found.compressed_size, "chunk_no": k, "start_bits": c.bits, "stop_bits": stop, "is_last": k == len(rows) - 1, "raw": False, "window": c.window, "decoded_offset": c.offset}) for k, (c, stop) in enumerate(zip(rows, stops))]
+        return [Chunk(k, {"path": self.path, "length": found.compressed_size, "chunk_no": k, "start_bits": c.bits, "stop_bits": stop, "is_last": k == len(rows) - 1, "raw": raw, "window": c.window, "decoded_offset": c.offset}) for k, (c, stop) in enumerate(zip(rows, stops))]
 
     def read(self, partition):
         from bytelake.operators import archives, parallel
@@ -58,7 +59,9 @@ class Part(WriterCommitMessage):
 
 
 class BytesWriter(DataSourceWriter):
-    """Each task writes its rows to a part; the commit puts them together in order and the parts away."""
+    """Where `path` is a file that tasks can write to at any position, each task writes its rows at their offsets, and the commit
+    renames the file when it is whole; a task that runs twice writes the same bytes twice. In stores without such writes each
+    task writes a part, and the commit puts the parts together in order."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.own = path, overwrite, uuid.uuid4().hex
@@ -66,6 +69,8 @@ class BytesWriter(DataSourceWriter):
     def write(self, iterator):
         from bytelake.sources.files import file_system
 
+        if self._local():
+            return self._at_offsets(iterator)
         fs, path = file_system(f"{self.path}.{self.own}.parts/{uuid.uuid4().hex}")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         spans, at = [], 0
@@ -76,7 +81,32 @@ class BytesWriter(DataSourceWriter):
                 at += len(row["data"])
         return Part(path, spans)
 
+    def _local(self) -> bool:
+        from bytelake.sources.files import file_system
+
+        return file_system(self.path)[0].type_name == "local"
+
+    def _at_offsets(self, iterator):
+        from bytelake.sources.files import file_system
+
+        fs, path = file_system(f"{self.path}.{self.own}.part")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        f, end = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644), 0
+        try:
+            for row in iterator:
+                data, at = memoryview(bytes(row["data"])), row["decoded_offset"]
+                while data:
+                    n = os.pwrite(f, data, at)
+                    data, at = data[n:], at + n
+                end = max(end, at)
+            os.fsync(f)
+        finally:
+            os.close(f)
+        return Part(path, [(end, 0, 0)])
+
     def _drop(self, fs, path):
+        if fs.get_file_info(f"{path}.{self.own}.part").type.name == "File":
+            fs.delete_file(f"{path}.{self.own}.part")
         parts = f"{path}.{self.own}.parts"
         if fs.get_file_info(parts).type.name == "Directory":
             fs.delete_dir(parts)
@@ -88,6 +118,12 @@ class BytesWriter(DataSourceWriter):
         if not self.overwrite and fs.get_file_info(path).type.name != "NotFound":
             self._drop(fs, path)
             raise FileExistsError(f"{path} is there already")
+        if self._local():
+            if not any(messages):
+                with fs.open_output_stream(f"{path}.{self.own}.part"):
+                    pass
+            fs.move(f"{path}.{self.own}.part", path)
+            return
         spans = sorted((offset, at, n, m.path) for m in messages if m for offset, at, n in m.spans)
         with fs.open_output_stream(path) as out:
             for _, at, n, part in spans:

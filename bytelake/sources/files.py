@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a local folder where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='bytelake-')}"
+    """A new path below spark.checkpoint.dir. Where that is unset, a local folder serves if driver and executors are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='bytelake-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +37,7 @@ def file_system(uri: str):
     """(file system, path) of a URI or a local path; `file:/x` is Spark's way of writing `file:///x`."""
     if "://" not in uri:
         uri = f"file://{uri.removeprefix('file:') if uri.startswith('file:') else os.path.abspath(uri)}"
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))  # Spark's names of that store
 
 
 @contextmanager

@@ -12,7 +12,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -233,6 +233,20 @@ def export_indexes(index: DataFrame, kind: str, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, index_path string, n long")
 
 
+def without_footers(path: str) -> bool:
+    """Whether an archive is zlib or raw deflate, whose chunks end without a gzip footer."""
+    length = len_of(path)
+    kind = formats.detect(read_range(path, 0, 2 * formats.MOST), read_range(path, length - 28, length))
+    return kind is not None and kind[0] in ("ZLIB", "DEFLATE")
+
+
+def ascending(checkpoints: list[Checkpoint]) -> list[Checkpoint]:
+    """The checkpoints as they are; an index whose offsets fall is refused."""
+    if any(a.bits >= b.bits or a.offset > b.offset for a, b in zip(checkpoints, checkpoints[1:])):
+        raise ValueError("the index's checkpoints aren't in order")
+    return checkpoints
+
+
 def import_indexes(pairs: DataFrame) -> DataFrame:
     """An index table from (path, index_path) rows. Newlines of chunks are known where the files tell lines, else null; `pieces` is null.
 
@@ -244,15 +258,15 @@ def import_indexes(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                index = read_index(read_range(r["index_path"], 0, 1 << 62), r["path"])
-                rows = sorted((c for c in index.checkpoints if not _at_end(index, c)), key=lambda c: c.bits)
+                index, raw = read_index(read_range(r["index_path"], 0, 1 << 62), r["path"]), without_footers(r["path"])
+                rows = ascending([c for c in index.checkpoints if not _at_end(index, c)])
                 ends = [c for c in index.checkpoints if _at_end(index, c)]
                 last_line = ends[-1].line if ends else None
                 out = []
                 for k, c in enumerate(rows):
                     after = rows[k + 1] if k + 1 < len(rows) else None
                     line = after.line if after else last_line
-                    out.append(dict(zip(names, (r["path"], index.compressed_size, k, c.bits, after.bits if after else 8 * index.compressed_size, after is None, False, c.window, c.offset, (after.offset if after else index.uncompressed_size) - c.offset, c.line, None if line is None or c.line is None else line - c.line))))
+                    out.append(dict(zip(names, (r["path"], index.compressed_size, k, c.bits, after.bits if after else 8 * index.compressed_size, after is None, raw, c.window, c.offset, (after.offset if after else index.uncompressed_size) - c.offset, c.line, None if line is None or c.line is None else line - c.line))))
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     return pairs.select("path", "index_path").mapInArrow(run, "path string, length long, chunk_no long, start_bits long, stop_bits long, is_last boolean, raw boolean, window binary, decoded_offset long, decoded_size long, line_offset long, n_newlines long")
@@ -263,7 +277,7 @@ def with_lines(index: DataFrame) -> DataFrame:
     from bytelake.operators import parallel
 
     found = parallel.indexed_scan(index.drop("n_newlines").withColumn("line_offset", F.lit(0).cast("long")), data=False).select("path", "chunk_no", "n_newlines")
-    return parallel.with_places(index.drop("line_offset", "n_newlines", "decoded_offset").join(found, ["path", "chunk_no"]))
+    return parallel.with_places(index.drop("line_offset", "n_newlines").join(found, ["path", "chunk_no"]))
 
 
 def block_offsets(index: DataFrame) -> DataFrame:
@@ -273,12 +287,6 @@ def block_offsets(index: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("b", "d")))).alias("offsets"))
 
 
-def offsets_as_text(blocks: DataFrame, folder: str, decoded: bool = True) -> None:
-    """`bits,bytes` or `bits` lines, in order, a folder for each archive's rows together."""
-    cols = ["start_bits", "decoded_offset"] if decoded else ["start_bits"]
-    blocks.orderBy("start_bits").select(*cols).write.csv(folder)
-
-
 def pack(window: bytes, codec: str) -> bytes:
     if codec not in ("NONE", "ZLIB", "GZIP"):
         raise ValueError(f"windows can't be kept as {codec}")
@@ -307,8 +315,3 @@ def _by_codec(f):
 
 
 _packed, _unpacked = _by_codec(pack), _by_codec(unpack)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """An index that was kept as Parquet."""
-    return spark.read.parquet(path)

@@ -153,8 +153,10 @@ def test_planes_resolve():
     for b in list(deflate.walk(raw))[1:-1:3]:
         one, two = (b"".join(p.data for p in deflate.inflate(raw, b.start, 8 * len(raw), d, True, True)) for d in deflate.DICTIONARIES)
         planes = deflate.Planes.of(one, two)
-        short = deflate.places(raw, b.start, 8 * len(raw), one, 5000)
-        assert two.startswith(short) and np.array_equal(deflate.Planes.of(one, short).place, planes.place)
+        found = deflate.lead(raw, b.start, 8 * len(raw), True, True)
+        assert found.decoded == len(one) and found.ends and np.array_equal(np.flatnonzero(found.used), deflate.used_places(planes.place))
+        tail = planes.tail()
+        assert np.array_equal(found.tail.place, tail.place) and np.array_equal(found.tail.literal[tail.place < 0], tail.literal[tail.place < 0])
         window = data[max(0, b.decoded - deflate.WINDOW) : b.decoded]
         assert planes.resolve(window) == data[b.decoded :] and planes.markers() >= len(deflate.used_places(planes.place)) > 0
         used = np.packbits(np.isin(np.arange(deflate.WINDOW), deflate.used_places(planes.place))).tobytes()
@@ -274,3 +276,27 @@ def test_windows_are_packed():
         assert index_files.unpack(index_files.pack(w, codec), codec) == w
     with pytest.raises(ValueError):
         index_files.pack(w, "LZ4")
+
+
+def test_high_ratios_come_in_parts():
+    raw = zlib.compress(bytes(300_000_000), 9, -15)
+    sizes = [len(p.data) for p in deflate.inflated(raw, 0, 8 * len(raw), b"", True, True)]
+    assert sum(sizes) == 300_000_000 and max(sizes) <= 70 << 20
+    found = deflate.lead(raw, 0, 8 * len(raw), True, True)
+    assert found.decoded == 300_000_000 and not found.used.any()
+
+
+def test_bgzf_starts_and_sizes():
+    data = prose(900_000, 12) + formats.bgzf(prose(200_000, 3))  # an archive within an archive
+    raw = formats.bgzf(data, level=0)
+    blocks = dict(formats.bgzf_blocks(raw))
+    for at in range(0, len(raw), 40_111):
+        want = min((b for b in blocks if b >= at), default=None)
+        found = formats.find_bgzf(raw[at : at + (1 << 18)], len(raw) - at)
+        assert want is None or found is not None
+    real = formats.bgzf(prose(900_000, 12))
+    blocks = [b for b, _ in formats.bgzf_blocks(real)]
+    for at in range(0, len(real), 7_001):
+        found = formats.find_bgzf(real[at : at + (1 << 18)], len(real) - at)
+        assert (None if found is None else found + at) == min((b for b in blocks if b >= at), default=None)
+    assert formats.bgzf_size(real) == 900_000 and formats.bgzf_size(real[blocks[3] : blocks[5]]) == 2 * 65280

@@ -67,8 +67,8 @@ def index(packs):
 
 
 def test_parallel_decoding(spark, packs):
-    got = parallel.with_places(parallel.decode(packs, 32 << 10)).collect()
-    assert by_path(got, "chunk_no", "data") == PLAIN
+    got = parallel.decode(packs, 32 << 10).collect()
+    assert by_path(got, "decoded_offset", "data") == PLAIN
     assert sum(r["n_newlines"] for r in got) == sum(v.count(b"\n") for v in PLAIN.values())
     assert len([r for r in got if r["path"].endswith("text.gz")]) > 5
     ok = parallel.verified(files.cut(parallel.decode(packs, 48 << 10, data=False))).collect()
@@ -108,11 +108,54 @@ def test_false_starts_are_dropped(spark, packs, monkeypatch):
 def test_parallel_bzip2(spark, tmp_path):
     plain = {"a.bz2": prose(900_000, 9), "two.bz2": prose(300_000, 10) * 2, "empty.bz2": b"", "runs.bz2": b"".join(bytes([65 + i % 2]) * i for i in range(1, 800))}
     packed = {k: bz2.compress(v, 1) for k, v in plain.items()} | {"two.bz2": bz2.compress(prose(300_000, 10), 1) * 2}
-    got = parallel.decode_bzip2(written(spark, tmp_path, packed), 20_000).collect()
+    packs = written(spark, tmp_path, packed)
+    got, counted = parallel.decode_bzip2(packs, 20_000).collect(), parallel.decode_bzip2(packs, 20_000, data=False).collect()
     assert by_path(got, "block_no", "data") == plain
     for k, v in plain.items():
-        rows = [r for r in got if r["path"].endswith(f"/{k}")]
-        assert rows[-1]["decoded_size"] == 0 and rows[-1]["decoded_offset"] == len(v)
+        rows = sorted((r for r in counted if r["path"].endswith(f"/{k}")), key=lambda r: r["block_no"])
+        assert rows[-1]["decoded_size"] == 0 and rows[-1]["decoded_offset"] == len(v) and rows[-1]["line_offset"] == v.count(b"\n")
+
+
+def test_chance_magic_within_a_bzip2_block(spark, tmp_path, monkeypatch):
+    """Starts of blocks that aren't any are left out; damage isn't."""
+    plain = prose(600_000, 11)
+    raw = bz2.compress(plain, 1)
+    find = parallel.magic_bits
+    monkeypatch.setattr(parallel, "magic_bits", lambda data, magic: sorted([*find(data, magic), *([x + 1000 for x in find(data, magic)] if magic == parallel.BZIP2_BLOCK else [])]))
+    packs = written(spark, tmp_path, {"a.bz2": raw})
+    assert by_path(parallel.decode_bzip2(packs, 20_000).collect(), "block_no", "data") == {"a.bz2": plain}
+    f = api.open(tmp_path / "a.bz2", spark, chunk_size=32 << 10)
+    assert f.size() == len(plain) and b"".join(f.read_ranges("50@150000,2L@7L")) == b"".join(slices(plain, "50@150000,2L@7L"))
+    broken = bytearray(raw)
+    broken[len(raw) // 2] ^= 255
+    with pytest.raises(Exception, match="can't be decoded"):
+        parallel.decode_bzip2(written(spark, tmp_path, {"b.bz2": bytes(broken)}), 20_000).collect()
+
+
+def test_bzip2_line_ranges(spark, tmp_path):
+    for k, plain in enumerate((b"\nabc\ndef\n", prose(400_000, 13))):
+        (tmp_path / f"{k}.bz2").write_bytes(bz2.compress(plain, 1))
+        (tmp_path / f"{k}.gz").write_bytes(gzip.compress(plain))
+        b, g = (api.open(tmp_path / f"{k}.{e}", spark, chunk_size=32 << 10) for e in ("bz2", "gz"))
+        given = api.open(tmp_path / f"{k}.bz2", spark)
+        given.set_block_offsets(b.block_offsets())
+        expression = "1L@0,1L@1L,2L@1,inf@2L,1L@5,3L@100L,1@1L"
+        want = [x for x in slices(plain, expression) if x]
+        for f in (b, g, given) if k else (b, given):
+            assert b"".join(f.read_ranges(expression)) == b"".join(want), k
+
+
+def test_indexes_of_streams_without_footers(spark, packs, index, tmp_path):
+    for name in ("a.zlib", "raw.deflate", "blocks.bgz"):
+        own = index.where(F.col("path").endswith(name))
+        pairs = index_files.export_indexes(own, "indexed_gzip", f"file://{tmp_path}")
+        assert by_path(parallel.indexed_scan(files.cut(index_files.import_indexes(pairs))).collect(), "decoded_offset", "data") == {name: PLAIN[name]}
+        datasource.register(spark)
+        row = pairs.first()
+        got = spark.read.format("bytelake").option("path", row["path"]).option("index", row["index_path"]).load().collect()
+        assert by_path([{"path": name} | r.asDict() for r in got], "decoded_offset", "data") == {name: PLAIN[name]}
+    with pytest.raises(ValueError, match="order"):
+        index_files.ascending([index_files.Checkpoint(80, 10, b"", None), index_files.Checkpoint(80, 20, b"", None)])
 
 
 def slices(data, expression):
