@@ -110,12 +110,18 @@ def seen(texts) -> np.ndarray:
     return np.packbits(found, bitorder="little")
 
 
-def _batch(feats: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, share of each bucket in each row's windows, labels) of some rows."""
-    ids, col = np.unique(np.concatenate([f[0] for f in feats]), return_inverse=True)
-    shares = np.zeros((len(feats), len(ids)), np.float32)
-    shares[np.repeat(np.arange(len(feats)), [len(f[0]) for f in feats]), col] = np.concatenate([f[1] for f in feats])
-    return ids, shares, np.array([f[2] for f in feats])
+class Batch:
+    """Some rows' buckets and shares, kept sparse: `dense` makes the matrix that one step needs."""
+
+    def __init__(self, feats: list):
+        self.ids, col = np.unique(np.concatenate([f[0] for f in feats]), return_inverse=True)
+        self.col, self.row = col.astype(np.int32), np.repeat(np.arange(len(feats), dtype=np.int32), [len(f[0]) for f in feats])
+        self.share, self.y = np.concatenate([f[1] for f in feats]), np.array([f[2] for f in feats])
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.y), len(self.ids)), np.float32)
+        out[self.row, self.col] = self.share
+        return out
 
 
 def gradients(table, weight, bias, ids, shares, y):
@@ -144,17 +150,19 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     feats = []
     for text, lang in rows:
-        ids, n = np.unique(subwords(text.encode()), return_counts=True)
+        ids, n = np.unique(subwords(text.encode()).astype(np.uint16), return_counts=True)
         feats.append((ids, (n / n.sum()).astype(np.float32), langs.index(lang)))
     order = rng.permutation(len(feats))
     back, learn = order[: len(feats) // 10], order[len(feats) // 10 :]
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
-    batches = [_batch([feats[i] for i in learn[at : at + BATCH]]) for at in range(0, len(learn), BATCH)]
+    batches = [Batch([feats[i] for i in learn[at : at + BATCH]]) for at in range(0, len(learn), BATCH)]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for k in rng.permutation(len(batches)):
-            step(table, weight, bias, *batches[k], rate)
+            b = batches[k]
+            step(table, weight, bias, b.ids, b.dense(), b.y, rate)
+    del batches
     model = Model(langs, (table @ weight).astype(np.float64), bias.astype(np.float64))
     held = [(model.logits[ids].T @ n + model.bias, y) for ids, n, y in (feats[i] for i in back)]
     if held:

@@ -42,7 +42,7 @@ SEGMENTS, FEW, KEYS = 24, 6, 12
 TRIPLES = [(i, 8 + (i + s) % 8, 16 + (i + 2 * s) % 8) for s in range(2) for i in range(8)]  #: two of them share one segment at most
 SIGNS = 8  #: longs of signs that are kept of each text
 APART = 119  #: of the 64 * SIGNS signs, those that a pair may differ in (77 are expected at similarity 0.8, deviation 8.1)
-STARS = 3  #: rounds that link buckets to one member, at most; after the first only buckets of over CROWD members
+STARS = 2  #: rounds that link buckets to one member, at most; after the first only buckets of over CROWD members
 CROWD = 16
 HELD = 1 << 21  #: keys that a task sorts at once
 PIECE = 1 << 20  #: bytes of a text that are split into words at once
