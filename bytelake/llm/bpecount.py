@@ -40,6 +40,8 @@ class Counter:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = Merges([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], range(len(pairs)), [vocab[a + b] for a, b in pairs])
         self.ids = np.array([vocab[c] for _, c in sorted(byte_alphabet().items())], np.int64)
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that depend on what stands around them aren't read")
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
         self.known: dict[str, int] = {}

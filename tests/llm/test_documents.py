@@ -318,6 +318,16 @@ def test_token_counts_match_the_library(spark, sf_dir):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((text or "").encode()), n > 512)
 
 
+def test_added_tokens_that_look_around_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="around"):
+        bpecount.Counter(str(tmp_path / "t.json"))
+
+
 def test_merging_matches_one_at_a_time():
     r = random.Random(3)
     pairs = [(0, 0), (0, 1), (1, 1), (3, 3), (4, 0), (5, 4), (3, 0)]
