@@ -21,9 +21,9 @@ GROUP = 256 << 20  #: decoded bytes that are read at once
 class Archive(io.RawIOBase):
     """Reads decoded bytes at any position. The index is built by the first call that needs it, or imported."""
 
-    def __init__(self, source, spark: SparkSession | None = None, chunk_size: int = parallel.SPACING, verify: bool = True):
+    def __init__(self, source, spark: SparkSession | None = None, chunk_size: int = parallel.SPACING, verify: bool = True, sparse: bool = True):
         self.spark = spark or SparkSession.builder.getOrCreate()
-        self.verify, self._at, self._index, self._crcs, self._blocks = verify, 0, None, {}, None
+        self.sparse, self.verify, self._at, self._index, self._crcs, self._blocks = sparse, verify, 0, None, {}, None
         found = files.resolve_source(source)
         if isinstance(found, bytes):  # an object can't be shipped to tasks, a file can
             path = f"{files.shared_dir(self.spark, 'input')}/input"
@@ -47,7 +47,7 @@ class Archive(io.RawIOBase):
             if self.file_type() == "BZIP2":
                 self._index = files.cut(parallel.decode_bzip2(self._files(), self.chunk_size, data=False))
             else:
-                self._index = parallel.build_index(self._files(), parallel.chunk_size(self.length, self.spark.sparkContext.defaultParallelism, self.chunk_size))
+                self._index = parallel.build_index(self._files(), parallel.chunk_size(self.length, self.spark.sparkContext.defaultParallelism, self.chunk_size), thin=self.sparse)
                 if self.verify and not self.test():
                     raise archives.deflate.Corrupt(f"{self.path}: a checksum or size differs from its footer")
         return self._index

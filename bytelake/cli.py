@@ -41,6 +41,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--index-format", choices=["indexed_gzip", "gztool", "gztool-with-lines", "bgzi"], default="indexed_gzip")
     p.add_argument("--import-index")
     p.add_argument("--export-index")
+    p.add_argument("--sparse-windows", dest="sparse", action="store_true", default=True, help="an index keeps of a window only what is referred to")
+    p.add_argument("--no-sparse-windows", dest="sparse", action="store_false")
     p.add_argument("--count", action="store_true")
     p.add_argument("-l", "--count-lines", action="store_true")
     p.add_argument("--analyze", action="store_true")
@@ -80,7 +82,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         spark = (builder.master(f"local[{a.decoder_parallelism or '*'}]") if not os.environ.get("SPARK_REMOTE") else builder).getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     source = a.input or a.file or "-"
-    archive = api.Archive(source, spark, chunk_size=a.chunk_size << 10, verify=a.verify)
+    archive = api.Archive(source, spark, chunk_size=a.chunk_size << 10, verify=a.verify, sparse=a.sparse)
     if archive.file_type() == "NONE":
         raise ValueError("no format that is known")
     if a.import_index:

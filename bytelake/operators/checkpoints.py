@@ -128,6 +128,55 @@ def split(boundaries: DataFrame, key: str, encoded: str, decoded: str, spacing:
     return out.select(key, F.row_number().over(w).alias("part"), F.coalesce(F.lag("_e").over(w), F.col("_e0")).alias("encoded_start"), F.col("_e").alias("encoded_end"), (F.coalesce(F.lag("_x").over(w), F.lit(0)) + F.col("_d0")).alias("decoded_start"), (F.col("_x") + F.col("_d0")).alias("decoded_end"))
 
 
+def grown(blocks: DataFrame, key: str, order: str, size: str, spacing: int) -> DataFrame:
+    """(key, part, first, n_blocks, decoded_size): chunks cut while they are decoded. A part takes blocks until it has `spacing` decoded bytes;
+    a last part of less than a quarter of that goes to the one before. `first`: `order` of a part's first block."""
+    own = blocks.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("order"), F.col(size).cast("long").alias("size"))
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "part", "first", "n_blocks", "decoded_size")])
+
+    def run(t: pa.Table) -> pa.Table:
+        parts: list[list[int]] = []
+        for at, n in sorted(zip(t.column("order").to_pylist(), t.column("size").to_pylist())):
+            if not parts or parts[-1][2] >= spacing:
+                parts.append([at, 0, 0])
+            parts[-1][1] += 1
+            parts[-1][2] += n
+        if len(parts) > 1 and parts[-1][2] < spacing // 4:
+            _, blocks_, bytes_ = parts.pop()
+            parts[-1][1] += blocks_
+            parts[-1][2] += bytes_
+        name = t.column("key")[0].as_py()
+        return pa.Table.from_pylist([dict(zip(schema.names, (name, k + 1, *p))) for k, p in enumerate(parts)], schema)
+
+    return own.groupBy("key").applyInArrow(run, ", ".join(f"{c} long" for c in schema.names)).withColumnRenamed("key", key)
+
+
+def within(probes: DataFrame, chunks: DataFrame, at: str, start: str, most: str, keys: list[str] | None = None) -> DataFrame:
+    """Each probe with the chunk that it may name, nulls where there is none: a chunk's start is known up to a span (start to `most`, both
+    of it; a null `most`: exactly its start). Spans of different chunks don't overlap."""
+    out = as_of(probes, chunks, at, start, keys)
+    fits = F.col(at) <= F.coalesce(F.col(most), F.col(start))
+    fields = [c for c in chunks.columns if c not in (keys or [])]
+    return out.select(*probes.columns, *[F.when(fits, F.col(c)).alias(c) for c in fields])
+
+
+def with_parent(children: DataFrame, parents: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None) -> DataFrame:
+    """Each part of a chunk that was split with `parent_chunk`, the start of the chunk it was cut from; null outside of all."""
+    out = as_of(children, parents.select(*(keys or []), F.col(start).alias("_start"), F.col(end).alias("_end")), at, "_start", keys)
+    return out.select(*children.columns, F.when(F.col(at) < F.col("_end"), F.col("_start")).alias("parent_chunk"))
+
+
+def index_of(probes: DataFrame, known: DataFrame, at: str, offset: str, spacing: int) -> DataFrame:
+    """Each probe with `block_index`: that of the known block which begins there (known blocks are numbered by offset); after the last
+    one, the number that the cell of `spacing` beginning there will have; null where no block can begin."""
+    numbered = two_level_offsets(known.select(F.col(offset).alias("_o"), F.lit(1).alias("_one")), "_o", "_one", 1 << 16, "_index").select("_o", "_index")
+    n, last = known.agg(F.count("*"), F.max(offset)).first()
+    beyond = (F.col(at) > F.lit(last)) & (F.col(at) % spacing == 0)
+    cell = F.lit(n) + F.floor(F.col(at) / spacing) - (0 if last is None else last // spacing + 1)
+    out = probes.join(numbered, probes[at] == numbered["_o"], "left")
+    return out.select(*probes.columns, F.coalesce(F.col("_index"), F.when(beyond, cell)).cast("long").alias("block_index"))
+
+
 def islands(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, first, last, n): runs of values that rise by one each."""
     w = Window.partitionBy(*keys).orderBy(value)

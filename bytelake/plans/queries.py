@@ -179,6 +179,33 @@ def encoded_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return checkpoints.at_exactly(probes, points, ["at"]).drop("at")
 
 
+@query("""with k as (select 7 * o_orderkey + 3 off, row_number() over (order by o_orderkey) - 1 i from orders), s as (select count(*) n, max(off) last from k), p as (select l_orderkey, l_linenumber, 8 * l_orderkey + l_linenumber as x from lineitem)
+select l_orderkey, l_linenumber, coalesce(i, case when x > last and x % 64 = 0 then n + x // 64 - (last // 64 + 1) end)::bigint block_index from p cross join s left join k on x = off""")
+def offset_to_index(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "orders").select((F.col("o_orderkey") * 7 + 3).cast("long").alias("off"))
+    probes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("at"))
+    return checkpoints.index_of(probes, known, "at", "off", 64).drop("at")
+
+
+SPANS = "(select 7 * o_orderkey as start, case when o_custkey % 3 > 0 then 7 * o_orderkey + o_custkey % 3 end as most from orders)"
+
+
+@query(f"select l_orderkey, l_linenumber, start from (select l_orderkey, l_linenumber, 7 * l_orderkey + l_linenumber - 1 as x from lineitem) left join {SPANS} on x between start and coalesce(most, start)")
+def ambiguous_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks whose start isn't one bit but a span, as that of a stored block after padding."""
+    rest = F.col("o_custkey") % 3
+    chunks = table(spark, sf, "orders").select((F.col("o_orderkey") * 7).alias("start"), F.when(rest > 0, F.col("o_orderkey") * 7 + rest).alias("most"))
+    probes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1).alias("at"))
+    return checkpoints.within(probes, chunks, "at", "start", "most").select("l_orderkey", "l_linenumber", "start")
+
+
+@query("select l_orderkey, l_linenumber, start parent_chunk from (select l_orderkey, l_linenumber, 7 * l_orderkey + l_linenumber - 1 as x from lineitem) left join (select 7 * o_orderkey as start, 7 * o_orderkey + 2 + o_custkey % 5 as stop from orders) on x >= start and x < stop")
+def split_parents(spark: SparkSession, sf: str) -> DataFrame:
+    parents = table(spark, sf, "orders").select((F.col("o_orderkey") * 7).alias("start"), (F.col("o_orderkey") * 7 + 2 + F.col("o_custkey") % 5).alias("stop"))
+    children = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1).alias("at"))
+    return checkpoints.with_parent(children, parents, "at", "start", "stop").drop("at")
+
+
 @query("select (l_orderkey - l_orderkey % 512)::bigint bucket, count(*) n from lineitem group by 1")
 def bucket_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(scalars.bucket_start(F.col("l_orderkey"), 512).alias("bucket")).agg(F.count("*").alias("n"))
@@ -247,6 +274,22 @@ def chunk_split(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("part", F.col("part").cast("long"))
 
 
+@query(f"""with recursive b as (select (doc_id // 50)::bigint g, doc_id, size, row_number() over (partition by doc_id // 50 order by doc_id) rn from {OFFSETS}),
+r as (select g, rn, size acc, 1::bigint part from b where rn = 1 union all select b.g, b.rn, case when r.acc >= 20000 then b.size else r.acc + b.size end, r.part + (r.acc >= 20000)::bigint from r join b on b.g = r.g and b.rn = r.rn + 1),
+c as (select g, part, min(doc_id) first, count(*) n, sum(size) z, max(part) over (partition by g) parts from r join b using (g, rn) group by g, part),
+m as (select g, case when part = parts and part > 1 and z < 5000 then part - 1 else part end part, first, n, z from c)
+select g, part, min(first)::bigint "first", sum(n)::bigint n_blocks, sum(z)::bigint decoded_size from m group by g, part""")
+def grown_parts(spark: SparkSession, sf: str) -> DataFrame:
+    b = _offsets(spark, sf).select(F.floor(F.col("doc_id") / 50).alias("g"), "doc_id", "size")
+    return checkpoints.grown(b, "g", "doc_id", "size", 20000)
+
+
+@query(f"select source, count(*) filter (where not is_end)::bigint n from (select source, coalesce(lead(decoded_offset) over (partition by source order by doc_id) = decoded_offset, true) is_end from {OFFSETS}) group by 1")
+def data_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that hold data: rows without those that only mark an end."""
+    return checkpoints.end_rows(_offsets(spark, sf), ["source"], "doc_id", "decoded_offset").groupBy("source").agg(F.count_if(~F.col("is_end")).alias("n"))
+
+
 # Statistics.
 
 
