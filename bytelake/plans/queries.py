@@ -452,10 +452,10 @@ def parallel_bzip2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with d as (select (doc_id // 2000)::bigint as name, sum(octet_length(encode(coalesce(text, ''))))::bigint z, count(*) n, max(doc_id) last from documents group by 1)
-select name, (z + n * 200000)::bigint size, n::bigint n_newlines, true valid, true bounded from d""")
+select name, (z + n * 50000)::bigint size, n::bigint n_newlines, true valid, true bounded from d""")
 def parallel_high_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document after 199,999 blanks and a line end: archives that grow several hundredfold come out in bounded parts."""
-    blanks = F.encode(F.concat(F.repeat(F.lit(" "), 199_999), F.lit("\n")), "UTF-8")
+    """Each document after 49,999 blanks and a line end: archives that grow manyfold come out in bounded parts."""
+    blanks = F.encode(F.concat(F.repeat(F.lit(" "), 49_999), F.lit("\n")), "UTF-8")
     rows = document_bytes(spark, sf).select("doc_id", F.concat(blanks, F.encode(F.translate(F.decode("data", "UTF-8"), "\n", " "), "UTF-8")).alias("data"))
     files = archive_files(rows, F.floor(F.col("doc_id") / 2000), "doc_id", "gzip", "blanks")
     parts = cut(parallel.decode(files, 1 << 20).withColumn("bytes", F.octet_length("data")).drop("data"))
