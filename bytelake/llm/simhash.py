@@ -42,6 +42,7 @@ SEGMENTS, FEW, KEYS = 24, 6, 12
 TRIPLES = [(i, 8 + (i + s) % 8, 16 + (i + 2 * s) % 8) for s in range(2) for i in range(8)]  #: two of them share one segment at most
 SIGNS = 8  #: longs of signs that are kept of each text
 APART = 119  #: of the 64 * SIGNS signs, those that a pair may differ in (77 are expected at similarity 0.8, deviation 8.1)
+APART_64 = 25  #: of the first 64 signs (9.7 are expected, deviation 2.9)
 STARS = 2  #: rounds that link buckets to one member, at most; after the first only buckets of over CROWD members
 CROWD = 16
 HELD = 1 << 21  #: keys that a task sorts at once
@@ -472,32 +473,42 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     met = cut(members(own))
     needed = cut(met.select("d").distinct())
     classes = own.join(needed, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signs").alias("signs"))
-    keyed = cut(met.join(met.groupBy("key").agg(F.count("*").alias("m")), "key").join(classes, "d").select("key", "m", "d", "n", "signs"))
+    facts = cut(classes.select("d", "n", "signs"))
+    keyed = cut(met.join(met.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", "m", "d"))  # a text has many rows here: nothing else goes along
     ids = classes.select(F.col("least").alias("_id")).where("_id is not null").distinct()
     texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
     hashes = cut(sets(texts, width).join(needed, "d", "left_semi").dropDuplicates(["d"]))
     roots, found = needed.select("d", F.col("d").alias("root")), None
     apart = " + ".join(f"bit_count(a.signs[{i}] ^ b.signs[{i}])" for i in range(SIGNS))
-    near = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and a.root <> b.root and {apart} <= {APART}"
+    near = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and {apart} <= {APART}"
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes and signs allow the similarity."""
+        once = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        both = once.join(facts.alias("a"), F.col("x") == F.col("a.d")).join(facts.alias("b"), F.col("y") == F.col("b.d"))
+        return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         nonlocal found
-        new = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), hashes, similarity)
+        new = verified(pairs, hashes, similarity)
         found = cut(new if found is None else found.unionByName(new))
         at = components(found).withColumnRenamed("node", "d")
         return cut(needed.join(at, "d", "left").select("d", F.coalesce("root", "d").alias("root")))
 
     for i in range(STARS):
         rows = (keyed.where(F.col("m") > CROWD) if i else keyed).join(roots, "d")
-        centre = rows.groupBy("key").agg(F.min_by(F.struct("d", "n", "signs", "root"), F.xxhash64("d", F.lit(i))).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        pairs = cut(rows.alias("a").join(centre.select("key", "c.*").alias("b"), "key").where(near).select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct())
+        centre = rows.groupBy("key").agg(F.min_by(F.struct("d", "root"), F.xxhash64("d", F.lit(i))).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        met_once = rows.alias("a").join(centre.select("key", "c.*").alias("b"), "key").where("a.root <> b.root")
+        pairs = likely(met_once.select(F.col("a.d").alias("x"), F.col("b.d").alias("y")))
         if pairs.isEmpty():
             break
         roots = linked(pairs)
     rows = keyed.join(roots, "d")
     open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = cut(rows.join(open_, "key", "left_semi"))
-    pairs = cut(rows.alias("a").join(rows.alias("b"), "key").where(f"a.d < b.d and {near}").select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct())
+    left = cut(rows.join(open_, "key", "left_semi").join(facts.select("d", "n", F.col("signs")[0].alias("sign")), "d").select("key", "d", "root", "n", "sign"))
+    near_enough = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and bit_count(a.sign ^ b.sign) <= {APART_64}"
+    met_all = left.alias("a").join(left.alias("b"), "key").where(f"a.d < b.d and a.root <> b.root and {near_enough}")
+    pairs = likely(met_all.select(F.col("a.d").alias("x"), F.col("b.d").alias("y")))
     if not pairs.isEmpty():
         roots = linked(pairs)
     return own.select("doc_id", "d"), roots
