@@ -1,12 +1,12 @@
-"""Exact top-k by an impact-ordered, score-at-a-time index.
-
-In a block of candidates each dimension is a postings list, cut into segments of candidates whose components share a
-quantised impact level. For a query, what a segment can add to a score, above the least that its dimension adds, is its
-impact. Segments of all dimensions are processed in the order of descending impact, a step of some postings at a time,
-and add what they hold to accumulators. A candidate's score is at most its accumulator plus, for the dimensions that
-have not reached it yet, the largest contributions still to come there. After each step the k-th best of exactly scored
-leading candidates is a bar that no result can be under; candidates whose bound is under it are out. The walk ends only
-when the few others are all scored exactly, or when every segment was processed.
+"""Exact top-k by an index of postings in impact order.
+
+In a block each candidate stands in the postings list of its leading dimension, the one of its largest component, and
+lists are ordered by that component and cut into segments of SEGMENT candidates. A segment's impact on a query is the
+most that a member can score: by the segment's greatest and least component of each dimension. For many queries at
+once segments are processed in the order of descending impact, in STEPS steps; a segment scores all its members for the
+queries that it is due for by one matrix product. The k-th best score so far is a bar that no result can be under: before
+a segment is processed, queries whose bar is above its impact are left out, and a query ends when no segment reaches it.
+Components are whole numbers, so single precision is exact for sums below 2^24 and double precision below 2^53.
 """
 
 from __future__ import annotations
@@ -15,75 +15,106 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.blocks import block_search, top, vectors
+from bytelake.llm.blocks import block_search, vectors
+
+SEGMENT, STEPS = 512, 4
+MANY = 4096  #: queries that walk together
+SINGLE, EXACT = float(1 << 24), float(1 << 53)  #: sums of whole numbers below these are exact in single, double precision
+
+
+class Best:
+    """The k best (score, id) of each of m queries so far, the best first."""
 
-LEVELS = 16
-STEPS = 16  #: of the postings, processed between two proofs
-EXACT = float(1 << 53)  #: sums of whole numbers below this are exact in double precision
+    def __init__(self, m: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((m, k), -np.inf), np.zeros((m, k), np.int64)
+
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates of the queries `at`: those that come before a query's last one take their places."""
+        last = self.scores[at, -1]
+        some = np.flatnonzero((scores > last) | ((scores == last) & (ids < self.ids[at, -1])))
+        if not len(some):
+            return
+        had = np.unique(at[some])
+        at = np.r_[at[some], np.repeat(had, self.k)]
+        scores, ids = np.r_[scores[some].astype(np.float64), self.scores[had].ravel()], np.r_[ids[some], self.ids[had].ravel()]
+        order = np.lexsort((ids, -scores, at))
+        at, scores, ids = at[order], scores[order], ids[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = rank < self.k
+        self.scores[at[kept], rank[kept]], self.ids[at[kept], rank[kept]] = scores[kept], ids[kept]
 
 
 class ImpactIndex:
-    """Postings of vectors of whole numbers, (n, dims); ids ascending."""
+    """Postings of vectors of whole numbers, (n, dims)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        n, dims = x.shape
-        low, high = x.min(axis=0), x.max(axis=0)
-        level = np.minimum((x - low) / np.maximum(high - low, 1) * LEVELS, LEVELS - 1).astype(np.int64)
-        order = np.argsort(level, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T)  # by dimension: candidates in the order of their impact level
-        self.values = np.take_along_axis(x, order, axis=0).T.astype(np.float64)
-        self.cuts = np.stack([np.searchsorted(level[order[:, d], d], np.arange(LEVELS + 1)) for d in range(dims)])
-        self.high, self.low = np.full((dims, LEVELS), -np.inf), np.full((dims, LEVELS), np.inf)
-        for d in range(dims):
-            np.maximum.at(self.high[d], level[:, d], x[:, d])
-            np.minimum.at(self.low[d], level[:, d], x[:, d])
-        self.some = self.cuts[:, 1:] > self.cuts[:, :-1]
-        self.size = np.abs(x).max(axis=0)
+        self.size = np.maximum(x.max(axis=0).astype(np.float64), -x.min(axis=0).astype(np.float64))
+        lead = np.maximum(x, -x.astype(np.promote_types(x.dtype, np.int32))).argmax(axis=1)
+        order = np.lexsort((ids, -x[np.arange(len(x)), lead].astype(np.float64), lead))
+        self.ids, self.x = ids[order], x[order]
+        self.begin = np.arange(0, len(ids), SEGMENT)
+        self.high, self.low = np.maximum.reduceat(self.x, self.begin), np.minimum.reduceat(self.x, self.begin)
+        self.least = np.sort(ids)
+        self.cast: dict[type, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.products = 0  #: queries times candidates scored, but for those beyond double precision
 
     def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k highest integer inner products but for rows with the id `own`; ties to smaller ids."""
-        other = np.flatnonzero(np.ones(len(self.ids), bool) if own is None else self.ids != own)
-        if float(np.abs(q) @ self.size) >= EXACT:  # sums aren't exact in double precision: all are scored in whole numbers
-            return self._whole(q, k, other)
-        possible = other if len(other) <= 16 * k else self._walk(q.astype(np.float64), k, other)
-        scores = self.x[possible] @ q
-        best = top(self.ids[possible], scores, k)
-        return self.ids[possible][best], scores[best].astype(np.int64)
-
-    def _walk(self, q: np.ndarray, k: int, alive: np.ndarray) -> np.ndarray:
-        """The candidates that may be among the k best."""
-        n, dims = self.x.shape
-        up, every = (q >= 0)[:, None], np.arange(dims)
-        most = np.where(up, q[:, None] * np.where(self.some, self.high, 0), q[:, None] * np.where(self.some, self.low, 0))
-        falling = np.where(up, most[:, ::-1], most)  # impact falls from a dimension's last level down, or rises from its first
-        some = np.where(up, self.some[:, ::-1], self.some)
-        falling = np.where(some, falling, -np.inf)
-        later = np.maximum.accumulate(np.c_[falling, np.full(dims, -np.inf)][:, ::-1], axis=1)[:, ::-1]  # the largest from a level on
-        floor = np.where(some, falling, np.inf).min(axis=1)
-        dim, step = np.nonzero(some)
-        order = np.argsort(-(falling[dim, step] - floor[dim]), kind="stable")
-        dim, level = dim[order], np.where(q[dim[order]] >= 0, LEVELS - 1 - step[order], step[order])
-        begin, end, next_ = self.cuts[dim, level], self.cuts[dim, level + 1], step[order] + 1
-        ends = np.searchsorted(np.cumsum(end - begin), np.arange(1, STEPS + 1) * (n * dims / STEPS))
-        acc, seen, rest, at = np.zeros(n), np.zeros(n), later[:, 0].copy(), 0
-        for stop in np.unique(np.minimum(ends + 1, len(dim))).tolist():
-            part = list(zip(dim[at:stop].tolist(), begin[at:stop].tolist(), end[at:stop].tolist()))
-            got = np.concatenate([self.order[d, x:y] for d, x, y in part])
-            acc += np.bincount(got, np.concatenate([self.values[d, x:y] * q[d] - floor[d] for d, x, y in part]), n)
-            seen += np.bincount(got, minlength=n)
-            np.minimum.at(rest, dim[at:stop], later[dim[at:stop], next_[at:stop]])
-            at = stop
-            above = np.where(np.isfinite(rest), rest - floor, 0.0)  # what is still to come, above the dimension's least
-            begun = above[dim[:at]].min()
-            # of the dimensions that a candidate has reached each has `begun` at least, so the others together have at most what is left
-            bound = acc[alive] + (floor.sum() + above.sum()) - seen[alive] * begun
-            leading = alive[np.argpartition(bound, len(bound) - 2 * k)[-2 * k :]] if len(bound) > 2 * k else alive
-            bar = np.partition(self.x[leading] @ q, len(leading) - k)[-k] - 0.5  # scores are whole numbers
-            alive = alive[bound >= bar]
-            if len(alive) <= 16 * k:
-                break
-        return alive
+        _, ids, scores = self.search_many(q[None], k, None if own is None else np.array([own]))
+        return ids, scores
+
+    def search_many(self, q: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, ids, scores): `search` for each row of q, but for rows with its id in `own`."""
+        reach, out = np.abs(q.astype(np.float64)) @ self.size, []
+        for kind, some in ((np.float32, reach < SINGLE), (np.float64, (reach >= SINGLE) & (reach < EXACT))):
+            every = np.flatnonzero(some)
+            for at in (every[i : i + MANY] for i in range(0, len(every), MANY)):
+                best = self._walk(q[at].astype(kind), k, None if own is None else own[at])
+                found, rank = np.nonzero(best.scores > -np.inf)
+                out.append((at[found], best.ids[found, rank], best.scores[found, rank].astype(np.int64)))
+        for i in np.flatnonzero(reach >= EXACT):
+            ids, scores = self._whole(q[i], k, np.arange(len(self.ids)) if own is None else np.flatnonzero(self.ids != own[i]))
+            out.append((np.full(len(ids), i), ids, scores))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def _walk(self, q: np.ndarray, k: int, own: np.ndarray | None) -> Best:
+        kind, m = q.dtype.type, len(q)
+        if kind not in self.cast:
+            self.cast[kind] = tuple(x.astype(kind) for x in (self.x, self.high, self.low))
+        x, high, low = self.cast[kind]
+        impact = high @ np.maximum(q, 0).T + low @ np.minimum(q, 0).T  # by segment and query
+        # so many rows at most are the query's own, and don't count for a bar
+        more = 0 if own is None else int((np.searchsorted(self.least, own, "right") - np.searchsorted(self.least, own)).max())
+        best, above, bar = Best(m, k), np.full(m, np.inf, kind), np.full(m, -np.inf, kind)
+        for step in range(STEPS + 1):
+            if step == 0:
+                down = impact.max(axis=0)
+            elif step == STEPS:
+                down = bar.copy()
+            else:
+                with np.errstate(invalid="ignore"):
+                    down = np.where(above > bar, np.maximum(bar, above - (above - bar) / kind(STEPS + 1 - step)), bar)
+            due = (impact < above) & (impact >= down)
+            for s in np.flatnonzero(due.any(axis=1)).tolist():
+                at = np.flatnonzero(due[s] & (impact[s] >= bar))
+                if not len(at):
+                    continue
+                a, b = self.begin[s], min(self.begin[s] + SEGMENT, len(x))
+                got = q[at] @ x[a:b].T
+                self.products += got.size
+                least = bar[at]
+                if (new := np.flatnonzero(least == -np.inf)).size and b - a > k + more:
+                    least[new] = np.partition(got[new], b - a - k - more, axis=1)[:, b - a - k - more]
+                hit = np.flatnonzero(got.max(axis=1) >= least)
+                who, row = np.nonzero(got[hit] >= least[hit, None])
+                who, row = hit[who], row + a
+                if own is not None:
+                    other = np.flatnonzero(self.ids[row] != own[at[who]])
+                    who, row = who[other], row[other]
+                best.add(at[who], got[who, row - a], self.ids[row])
+                bar[at] = best.scores[at, -1]
+            above = np.minimum(above, down)
+        return best
 
     def _whole(self, q: np.ndarray, k: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = [int(w) for w in q]
