@@ -4,12 +4,16 @@ A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by hash. Eac
 with the runs: keys that no run has become a run of level 0, with the documents of that batch that hold them; keys
 that some run has go to a run of changes, which hold what the batch adds to them. Two runs of a level are merged
 into one of the next. So the runs hold each key once, and a key's documents are those of its run and of its changes.
-All runs have the same buckets, so joining and compacting them moves no row of theirs.
+All runs have the same buckets, so joining and compacting them moves no row of theirs. Each bucket of a run is a file, and
+Hadoop's local file system starts a process for each file that it creates, which until it is running is counted with
+all the executor's memory once more. So there are no more buckets than the lines are worth.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +23,7 @@ from xxhash import xxh3_128_intdigest
 from bytelake.llm.shared import WHITE, bounded_batches, fresh_dir, partitions, remove
 
 BATCHES = 3
+BUCKET, PARTITIONS = 50_000, "spark.sql.shuffle.partitions"  #: lines to a bucket at least, where there are enough buckets for all cores
 MASK, TOP = (1 << 64) - 1, 1 << 63
 KEY = ["h1", "h2"]
 ID, LOST = "__line_dedup_id", "__line_dedup_lost"  #: columns beside those of the documents, whatever theirs are called
@@ -49,6 +54,17 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long")
 
 
+@contextmanager
+def buckets_for(spark: SparkSession, n_lines: int) -> Iterator[int]:
+    """Shuffles, and with them runs, have as many partitions here as so many lines are worth; never more than the session's own number."""
+    own = partitions(spark)
+    spark.conf.set(PARTITIONS, str(min(own, max(2 * spark.sparkContext.defaultParallelism, n_lines // BUCKET))))
+    try:
+        yield partitions(spark)
+    finally:
+        spark.conf.set(PARTITIONS, str(own))
+
+
 class LineRuns:
     """A store of levelled runs in a folder that driver and executors share: `keys`, each key once, and `changes` to them."""
 
@@ -124,11 +140,12 @@ def repeated_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, batches:
     at = fresh_dir(spark, "lines")
     lines(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).write.partitionBy("batch").parquet(at)
     all_lines = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(at)
-    store = LineRuns(spark)
-    for i in range(batches):
-        store.add(all_lines.where(F.col("batch") == i).select("doc_id", *KEY))
-    for rows in store.known():  # into a table of its own: the join may then split a hot key
-        rows.where(F.col("n_docs") >= min_docs).write.mode("append").parquet(f"{store.path}/often")
+    with buckets_for(spark, all_lines.count()):
+        store = LineRuns(spark)
+        for i in range(batches):
+            store.add(all_lines.where(F.col("batch") == i).select("doc_id", *KEY))
+        for rows in store.known():  # into a table of its own: the join may then split a hot key
+            rows.where(F.col("n_docs") >= min_docs).write.mode("append").parquet(f"{store.path}/often")
     often = spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(f"{store.path}/often")
     store.drop()
     lost = all_lines.join(often, KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
