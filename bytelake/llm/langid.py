@@ -2,14 +2,15 @@
 
 Subwords are windows of 2, 3 and 4 bytes of the text, white space and other ASCII that is no letter made one blank. Each
 hashes to a row of an embedding table; the mean of a text's rows goes through a linear softmax. Training is
-stochastic gradient descent in numpy on a bounded sample of labelled rows; a temperature and a rejection threshold are fitted on a
-part of the sample that was held back. Embedding and softmax being linear, prediction sums one number per subword
+stochastic gradient descent in numpy on a bounded sample of labelled rows, in one task, so the driver gets no texts; a temperature and a
+rejection threshold are fitted on a part of the sample that was held back. Embedding and softmax being linear, prediction sums one number per subword
 and language.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,8 +115,10 @@ class Batch:
     """Some rows' buckets and shares, kept sparse: `dense` makes the matrix that one step needs."""
 
     def __init__(self, feats: list):
-        self.ids, col = np.unique(np.concatenate([f[0] for f in feats]), return_inverse=True)
-        self.col, self.row = col.astype(np.int32), np.repeat(np.arange(len(feats), dtype=np.int32), [len(f[0]) for f in feats])
+        found, held = np.concatenate([f[0] for f in feats]), np.zeros(BUCKETS, bool)
+        held[found] = True
+        self.ids = np.flatnonzero(held)
+        self.col, self.row = (np.cumsum(held) - 1)[found], np.repeat(np.arange(len(feats)), [len(f[0]) for f in feats])
         self.share, self.y = np.concatenate([f[1] for f in feats]), np.array([f[2] for f in feats])
 
     def dense(self) -> np.ndarray:
@@ -156,13 +159,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     back, learn = order[: len(feats) // 10], order[len(feats) // 10 :]
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
-    batches = [Batch([feats[i] for i in learn[at : at + BATCH]]) for at in range(0, len(learn), BATCH)]
+    batches = [learn[at : at + BATCH] for at in range(0, len(learn), BATCH)]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for k in rng.permutation(len(batches)):
-            b = batches[k]
+            b = Batch([feats[i] for i in batches[k]])  # made anew each time: all of them at once take some times the room of the rows
             step(table, weight, bias, b.ids, b.dense(), b.y, rate)
-    del batches
     model = Model(langs, (table @ weight).astype(np.float64), bias.astype(np.float64))
     held = [(model.logits[ids].T @ n + model.bias, y) for ids, n, y in (feats[i] for i in back)]
     if held:
@@ -191,7 +193,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     The sample is stratified: of `sample` rows one part in RARE goes to the languages alike, the rest by their counts, so a rare
     language is learnt like others; of more than LANGUAGES languages the rarest are not. A language's count sets the share of
-    hashes that is drawn, so what all tasks together send stays near `sample` rows on any number of partitions."""
+    hashes that is drawn, so what all tasks together send stays near `sample` rows on any number of partitions. One task, which
+    so gets `sample` rows of SAMPLE_BYTES at most, trains on them and returns the model."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null").where(remainder(F.col("doc_id"), 4) != 2).withColumn("h", F.xxhash64("doc_id"))
     rows = rows.where(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -207,7 +210,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     pieces = [F.substring("text", F.floor((F.length("text") - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
     rows = rows.withColumn("text", F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.concat_ws("\n", *pieces)))
     drawn = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= told(quota))
-    return train([(t, y) for t, y in drawn.orderBy("h", "lang", "text").select("text", "lang").collect()])
+
+    def learn(batches):
+        own = [row for b in batches for row in zip(b.column("text").to_pylist(), b.column("lang").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(own))], pa.binary())], ["model"])
+
+    found = drawn.select("h", "lang", "text").repartition(1).sortWithinPartitions("h", "lang", "text").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([])
 
 
 def language(docs: DataFrame, model: Model | None = None) -> DataFrame:

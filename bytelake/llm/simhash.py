@@ -15,7 +15,8 @@ Near copies (`near_copy_groups`) at a Jaccard similarity of word shingles: such
 bits, more than hard decoding bears. So a fingerprint has SEGMENTS segments of sums, not only signs; each segment is
 decoded by its margins to the FEW codewords that fit best (all 4096 are scored), and of each of TRIPLES triples of
 segments the KEYS likeliest combinations of three indices are keys of 36 bits. Candidates that share one and whose
-signs are near enough are verified on their whole sets of shingles. By simulation a pair at similarity 0.8 (0.85, 0.9) shares a
+signs are near enough are verified on their whole sets of shingles, unless a bound on what the sets differ in (`marks`) already says
+that they aren't similar enough. By simulation a pair at similarity 0.8 (0.85, 0.9) shares a
 key with probability 0.99 (0.999, 1).
 """
 
@@ -43,6 +44,8 @@ TRIPLES = [(i, 8 + (i + s) % 8, 16 + (i + 2 * s) % 8) for s in range(2) for i in
 SIGNS = 8  #: longs of signs that are kept of each text
 APART = 119  #: of the 64 * SIGNS signs, those that a pair may differ in (77 are expected at similarity 0.8, deviation 8.1)
 APART_64 = 25  #: of the first 64 signs (9.7 are expected, deviation 2.9)
+MARKS = 8  #: longs of parities that are kept of each text
+FEW_EDGES = 1 << 20  #: links that one task connects
 STARS = 2  #: rounds that link buckets to one member, at most; after the first only buckets of over CROWD members
 CROWD = 16
 HELD = 1 << 21  #: keys that a task sorts at once
@@ -308,6 +311,20 @@ def sums(found: np.ndarray) -> np.ndarray:
     return 2 * out - len(found)
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * MARKS bins of hashes: whether the set has an odd number in it. Two sets differ in at least as many
+    hashes as bits, as a bin in which they differ by none has the same parity."""
+    bins = (found % np.uint64(64 * MARKS)).astype(np.int64)
+    return np.packbits(np.bincount(bins, minlength=64 * MARKS) & 1 == 1).view("<i8")
+
+
+def may_be_similar(similarity: float) -> str:
+    """SQL over a.n, a.marks, b.n, b.marks: false only for sets of a smaller Jaccard similarity. Sets that differ in s of their x + y
+    hashes share (x + y - s) / 2, so they are as similar if s * (1 + similarity) <= (x + y) * (1 - similarity)."""
+    apart = " + ".join(f"bit_count(a.marks[{i}] ^ b.marks[{i}])" for i in range(MARKS))
+    return f"({apart}) * cast({1 + similarity} as double) <= (a.n + b.n) * cast({1 - similarity} as double) + 1e-6"
+
+
 @lru_cache(1)
 def _ranks() -> np.ndarray:
     """Ranks (0: best) in three lists that a sum among the KEYS largest may come from: no more than KEYS - 1 others are as large."""
@@ -330,28 +347,33 @@ def fuzzy_keys(margins: np.ndarray) -> np.ndarray:
     return out.reshape(n, -1)
 
 
+SKETCH = "doc_id long, d long, n long, signs array<long>, marks array<long>, keys binary"
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, d, n, signs, keys): a digest of each text's set, its size, the first signs of its SimHash as longs, its keys of 5 bytes."""
-    columns = ["doc_id", "d", "n", "signs", "keys"]
+    """(doc_id, d, n, signs, marks, keys): a digest of each text's set, its size, the first signs of its SimHash as longs, its parities, its
+    keys of 5 bytes."""
+    columns = ["doc_id", "d", "n", "signs", "marks", "keys"]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                d, n, margins = [], [], []
+                d, n, margins, parities = [], [], [], []
                 for text in part.column("text"):
                     found = shingles(text.as_py(), width)
                     d.append(xxh64_intdigest(found.tobytes(), 3))
                     n.append(len(found))
                     margins.append(sums(found))
+                    parities.append(marks(found))
                 margins = np.array(margins)
                 signs = np.packbits(margins[:, : 64 * SIGNS] > 0, axis=1).view("<i8")
                 own = fuzzy_keys(margins)
                 packed = own.astype("<u8").view(np.uint8).reshape(*own.shape, 8)[:, :, :5]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(d, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(list(signs), pa.list_(pa.int64())), pa.array([x.tobytes() for x in packed], pa.binary())], columns)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(d, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(list(signs), pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64())), pa.array([x.tobytes() for x in packed], pa.binary())], columns)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, d long, n long, signs array<long>, keys binary")
+    return texts.mapInArrow(run, SKETCH)
 
 
 _ENTRY = np.dtype([("key", "u1", 5), ("d", "<i8")])
@@ -469,21 +491,21 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     spark = docs.sparkSession
     bounded_batches(spark)
     sketches(docs, width).write.parquet(at := fresh_dir(spark, "sketches"))
-    own = spark.read.schema("doc_id long, d long, n long, signs array<long>, keys binary").parquet(at)
+    own = spark.read.schema(SKETCH).parquet(at)
     met = cut(members(own))
     needed = cut(met.select("d").distinct())
-    classes = own.join(needed, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signs").alias("signs"))
-    facts = cut(classes.select("d", "n", "signs"))
+    classes = own.join(needed, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("marks").alias("marks"))
+    facts = cut(classes.select("d", "n", "signs", "marks"))
     keyed = cut(met.join(met.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", "m", "d"))  # a text has many rows here: nothing else goes along
     ids = classes.select(F.col("least").alias("_id")).where("_id is not null").distinct()
     texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
     hashes = cut(sets(texts, width).join(needed, "d", "left_semi").dropDuplicates(["d"]))
     roots, found = needed.select("d", F.col("d").alias("root")), None
     apart = " + ".join(f"bit_count(a.signs[{i}] ^ b.signs[{i}])" for i in range(SIGNS))
-    near = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and {apart} <= {APART}"
+    near = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and {apart} <= {APART} and {may_be_similar(similarity)}"
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes and signs allow the similarity."""
+        """Distinct pairs whose sizes, signs and marks allow the similarity."""
         once = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         both = once.join(facts.alias("a"), F.col("x") == F.col("a.d")).join(facts.alias("b"), F.col("y") == F.col("b.d"))
         return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -492,7 +514,7 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
         nonlocal found
         new = verified(pairs, hashes, similarity)
         found = cut(new if found is None else found.unionByName(new))
-        at = components(found).withColumnRenamed("node", "d")
+        at = components(found, few=FEW_EDGES).withColumnRenamed("node", "d")
         return cut(needed.join(at, "d", "left").select("d", F.coalesce("root", "d").alias("root")))
 
     for i in range(STARS):
@@ -505,8 +527,8 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
         roots = linked(pairs)
     rows = keyed.join(roots, "d")
     open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = cut(rows.join(open_, "key", "left_semi").join(facts.select("d", "n", F.col("signs")[0].alias("sign")), "d").select("key", "d", "root", "n", "sign"))
-    near_enough = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and bit_count(a.sign ^ b.sign) <= {APART_64}"
+    left = cut(rows.join(open_, "key", "left_semi").join(facts.select("d", "n", F.col("signs")[0].alias("sign"), "marks"), "d").select("key", "d", "root", "n", "sign", "marks"))
+    near_enough = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 and bit_count(a.sign ^ b.sign) <= {APART_64} and {may_be_similar(similarity)}"
     met_all = left.alias("a").join(left.alias("b"), "key").where(f"a.d < b.d and a.root <> b.root and {near_enough}")
     pairs = likely(met_all.select(F.col("a.d").alias("x"), F.col("b.d").alias("y")))
     if not pairs.isEmpty():
