@@ -70,10 +70,12 @@ def test_tasks_of_the_near_copy_stage(spark):
         texts.append(" ".join(words))
     sc, docs = spark.sparkContext, frame(spark, texts)
     sc.setJobGroup("near", "")
+    spark.conf.set(coalesce := "spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert [x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()] == [0]
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(coalesce)
     tracker = sc.statusTracker()
     stages = {s for j in tracker.getJobIdsForGroup("near") for s in tracker.getJobInfo(j).stageIds}
     ran = [i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))]
