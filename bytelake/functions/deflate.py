@@ -322,25 +322,45 @@ class Piece:
     end: bool = False
     crc: int | None = 0
     size: int | None = 0
+    meets: bool = False  #: whether a block, or the next member's first, begins right where the range stops
 
 
-def stream(data: bytes, at: int, end: int, history: bytes = b"", step: int = 1 << 16):
+def meets(d, data: bytes, stop: int) -> bool:
+    """Whether the stream that `d` has read up to the last whole byte before bit `stop` has a block's start there. A last, empty stored
+    block put there ends the stream with its own last byte then; within a block its bits are read as something else."""
+    r = stop & 7
+    header = 1 << r | (data[stop >> 3] & (1 << r) - 1 if r else 0)
+    c = d.copy()
+    try:
+        c.decompress(header.to_bytes(1 + (r > 5), "little") + b"\0\0\xff\xff")
+    except zlib.error:
+        return False
+    return c.eof and not c.unused_data
+
+
+def stream(data: bytes, at: int, end: int, history: bytes = b"", step: int = 1 << 16, stop: int | None = None):
     """Output of the stream from the block at bit `at`, a step of input at a time, then the byte where the stream ends (None: not
-    before byte `end`). Steps keep what follows a short stream from being copied with it."""
+    before byte `end`). Steps keep what follows a short stream from being copied with it. `stop`: a bit of the last byte at which a
+    block should begin; if the stream does not end before, the last value is None or, where one does begin there, -1."""
     d = zlib.decompressobj(-15, zdict=history) if history else zlib.decompressobj(-15)
-    first, pos = at >> 3, at >> 3
+    first, pos, met = at >> 3, at >> 3, None
     while pos < end and not d.eof:
-        stop = min(end, pos + step)
-        yield d.decompress(primed(data, at, stop)[0] if pos == first else data[pos:stop])
-        pos = stop
-    yield pos - len(d.unused_data) if d.eof else None
+        to = min(end, pos + step)
+        if stop is not None and to == end and stop >> 3 < end:
+            to = max(pos + 1, stop >> 3)
+        yield d.decompress(primed(data, at, to)[0] if pos == first else data[pos:to])
+        pos = to
+        if stop is not None and pos == stop >> 3 and not d.eof and meets(d, data, stop):
+            met = -1
+    yield pos - len(d.unused_data) if d.eof else met
 
 
-def inflated(data: bytes, start: int, stop: int, history: bytes, last: bool, raw: bool = False):
+def inflated(data: bytes, start: int, stop: int, history: bytes, last: bool, raw: bool = False, check: bool = False):
     """The output of bits [start, stop) of an archive, both starts of blocks or its end, after `history`, a part at a time.
 
     `data` holds the archive from byte 0. Parts follow each other; one with `end` set ends its member, whose footer it tells (None for
-    a `raw` stream, which has none); the next one, if any, begins the next member. `last`: the range goes to the end of the archive."""
+    a `raw` stream, which has none); the next one, if any, begins the next member. `last`: the range goes to the end of the archive.
+    `check`: the last part tells whether a block begins at `stop`."""
     from bytelake.functions.formats import gzip_footer, gzip_header
 
     at, fresh, end = start, not history, -(-stop // 8)
@@ -348,17 +368,17 @@ def inflated(data: bytes, start: int, stop: int, history: bytes, last: bool, raw
         return
     while True:
         held, foot, some = b"", None, False
-        for got in stream(data, at, end, history):
+        for got in stream(data, at, end, history, stop=stop if check and not last else None):
             if not isinstance(got, bytes):
                 foot = got
                 break
             if some:
                 yield Piece(held, fresh)
             held, some = got, True
-        if foot is None:
+        if foot is None or foot < 0:
             if last and (at != start or some):
                 raise Corrupt("the archive ends within a stream")
-            yield Piece(held, fresh)
+            yield Piece(held, fresh, meets=foot is not None)
             return
         if raw:
             yield Piece(held, fresh, True, None, None)
@@ -366,8 +386,8 @@ def inflated(data: bytes, start: int, stop: int, history: bytes, last: bool, raw
         said = gzip_footer(data, foot)
         if said is None:
             raise Corrupt("the archive ends before its footer")
-        yield Piece(held, fresh, True, *said)
         head = gzip_header(data, foot + 8)
+        yield Piece(held, fresh, True, *said, head is not None and 8 * head.end == stop)
         if head is None:  # what follows the last member is no part of the archive
             return
         at, history, fresh = 8 * head.end, b"", True
@@ -433,6 +453,7 @@ class Lead:
     decoded: int = 0
     ends: bool = False  #: whether its last member ends within it
     fresh: bool = False  #: whether its last member begins within it
+    meets: bool = False  #: whether a block begins where it stops
     tail: Planes | None = None
     used: np.ndarray = field(default_factory=lambda: np.zeros(WINDOW, bool))
 
@@ -442,14 +463,14 @@ def lead(data: bytes, start: int, stop: int, last: bool, raw: bool = False, know
 
     The first stream goes through both dictionaries, until 32 KiB without a reference into the history have gone by."""
     out, literal, place = Lead(), b"", np.zeros(0, np.int16)
-    one = inflated(data, start, stop, b"" if known else DICTIONARIES[0], last, raw)
-    two, alike = None if known else inflated(data, start, stop, DICTIONARIES[1], last, raw), 0
+    one = inflated(data, start, stop, b"" if known else DICTIONARIES[0], last, raw, True)
+    two, alike = None if known else inflated(data, start, stop, DICTIONARIES[1], last, raw, True), 0
     for p in one:
         if out.ends:  # a member begins
             literal, place = b"", place[:0]
             two = None
         got = p.data
-        out.decoded, out.ends, out.fresh = out.decoded + len(got), p.end, p.fresh
+        out.decoded, out.ends, out.fresh, out.meets = out.decoded + len(got), p.end, p.fresh, p.meets
         marks = np.full(min(len(got), WINDOW), -1, np.int16)
         if two is not None:
             other = next(two).data

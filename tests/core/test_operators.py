@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytelake import api, cli
-from bytelake.functions import access, formats, scalars
+from bytelake.functions import access, deflate, formats, scalars
 from bytelake.functions.ranges import parse_ranges
 from bytelake.operators import archives, checkpoints, parallel, selection, stats
 from bytelake.sources import datasource, files, index_files
@@ -105,6 +105,24 @@ def test_false_starts_are_dropped(spark, packs, monkeypatch):
     assert by_path(parallel.decode(one, 33_333).collect(), "chunk_no", "data") == {"text.gz": PLAIN["text.gz"]}
 
 
+def test_archives_within_stored_blocks(spark, tmp_path):
+    """Starts that decode without an error and that no block has: archives in an archive that stores them as they are."""
+    plain = b"".join(gzip.compress(prose(30_000 + 500 * k, k), 6, mtime=0) for k in range(40)) + prose(300_000, 99)
+    both = {"stored.gz": gzip.compress(plain, 0, mtime=0), "two.gz": gzip.compress(plain[: 1 << 19], 1, mtime=0) * 2}
+    got = files.cut(parallel.decode(written(spark, tmp_path, both), 32 << 10))
+    assert by_path(got.collect(), "chunk_no", "data") == {"stored.gz": plain, "two.gz": plain[: 1 << 19] * 2}
+    assert all(r["valid"] for r in parallel.verified(got).collect())
+
+
+def test_a_start_is_met():
+    data = prose(400_000, 5)
+    raw = zlib.compress(data, 6, -15)
+    starts = [b.start for b in deflate.walk(raw)]
+    assert all(deflate.lead(raw[: -(-b // 8)], a, b, False).meets for a, b in zip(starts, starts[1:]))
+    wrong = [starts[2] + k for k in (*range(-40, 0), *range(1, 40), 1000, 5003)]
+    assert not any(deflate.lead(raw[: -(-b // 8)], starts[1], b, False).meets for b in wrong)
+
+
 def test_parallel_bzip2(spark, tmp_path):
     plain = {"a.bz2": prose(900_000, 9), "two.bz2": prose(300_000, 10) * 2, "empty.bz2": b"", "runs.bz2": b"".join(bytes([65 + i % 2]) * i for i in range(1, 800))}
     packed = {k: bz2.compress(v, 1) for k, v in plain.items()} | {"two.bz2": bz2.compress(prose(300_000, 10), 1) * 2}
