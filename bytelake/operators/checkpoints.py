@@ -178,9 +178,16 @@ def index_of(probes: DataFrame, known: DataFrame, at: str, offset: str, spacing:
 
 
 def islands(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, first, last, n): runs of values that rise by one each."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return rows.withColumn("_g", F.col(value) - F.row_number().over(w)).groupBy(*keys, "_g").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("_g")
+    """(keys, first, last, n): runs of values that rise by one each, equal ones counted once.
+
+    One sort and two passes in its order: of each run stay its first and its last row, then the first one takes the value of the next.
+    No table of values or runs is held. A key's nulls are a run of their own."""
+    w, v = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(value)), F.col(value)
+    opens = F.when(v.isNull(), F.row_number().over(w) == 1).otherwise(F.coalesce(v > F.lag(v).over(w) + 1, F.lag(v).over(w).isNull()))
+    closes = F.when(v.isNull(), F.row_number().over(w) == 1).otherwise(F.coalesce(v < F.lead(v).over(w) - 1, F.lit(True)))
+    ends = rows.select(*keys, v, opens.alias("_o"), closes.alias("_c")).where("_o or _c")
+    found = ends.withColumn("_l", F.when(F.col("_c"), v).otherwise(F.lead(v).over(w))).where("_o")
+    return found.select(*keys, v.alias("first"), F.col("_l").alias("last"), F.coalesce(F.col("_l") - v + 1, F.lit(1)).cast("long").alias("n"))
 
 
 def adjacent_pairs(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -227,7 +227,7 @@ def unsorted_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with v as (select distinct l_suppkey, l_orderkey k from lineitem), g as (select *, k - row_number() over (partition by l_suppkey order by k) g from v)
 select l_suppkey, min(k) as first, max(k) as last, count(*) n from g group by l_suppkey, g""")
 def islands(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpoints.islands(table(spark, sf, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("k")).distinct(), ["l_suppkey"], "k")
+    return checkpoints.islands(table(spark, sf, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("k")), ["l_suppkey"], "k")
 
 
 @query("with v as (select l_suppkey, l_orderkey k, lag(l_orderkey) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) p from lineitem) select l_suppkey, count(*) filter (where k = p + 1) n from v group by 1")

@@ -302,6 +302,22 @@ def test_thinning(spark):
         assert sorted(got[k]) == kept
 
 
+def test_islands(spark):
+    """Equal values count once, nulls are a run; no table of values or runs is made for it."""
+    rng = random.Random(4)
+    values = [(k, rng.choice([None, *range(60)])) for k in range(6) for _ in range(50)] + [(None, 3), (None, 4), (9, None), (9, None)]
+    rows = spark.createDataFrame(values, "k long, v long")
+    want = []
+    for k, v in sorted(set(values), key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+        if want and want[-1][0] == k and v is not None and want[-1][2] == v - 1:
+            want[-1][2:] = [v, want[-1][3] + 1]
+        else:
+            want.append([k, v, v, 1])
+    found = checkpoints.islands(rows, ["k"], "v")
+    assert sorted(map(str, (list(r) for r in found.collect()))) == sorted(map(str, want))
+    assert "Aggregate" not in found._jdf.queryExecution().toString()
+
+
 def test_histograms(spark):
     values = [1, 1, 2, 5, 9, 10, 10, 11, None]
     df = spark.createDataFrame([(v,) for v in values], "v long")
