@@ -455,9 +455,8 @@ def parallel_bzip2(spark: SparkSession, sf: str) -> DataFrame:
 select name, (z + n * 50000)::bigint size, n::bigint n_newlines, true valid, true bounded from d""")
 def parallel_high_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Each document after 49,999 blanks and a line end: archives that grow manyfold come out in bounded parts."""
-    blanks = F.encode(F.concat(F.repeat(F.lit(" "), 49_999), F.lit("\n")), "UTF-8")
-    rows = document_bytes(spark, sf).select("doc_id", F.concat(blanks, F.encode(F.translate(F.decode("data", "UTF-8"), "\n", " "), "UTF-8")).alias("data"))
-    files = archive_files(rows, F.floor(F.col("doc_id") / 2000), "doc_id", "gzip", "blanks")
+    rows = document_bytes(spark, sf).select("doc_id", F.encode(F.translate(F.decode("data", "UTF-8"), "\n", " "), "UTF-8").alias("data"))
+    files = archive_files(rows, F.floor(F.col("doc_id") / 2000), "doc_id", "gzip", "blanks", b" " * 49_999 + b"\n")
     parts = cut(parallel.decode(files, 1 << 20).withColumn("bytes", F.octet_length("data")).drop("data"))
     good = parallel.verified(parts).groupBy("path").agg(F.bool_and("valid").alias("valid"))
     out = parts.groupBy("path").agg(F.sum("bytes").alias("size"), F.sum("n_newlines").alias("n_newlines"), (F.max("bytes") < 2 * parallel.PART + (70 << 20)).alias("bounded"))

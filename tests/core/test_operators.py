@@ -18,6 +18,7 @@ from bytelake import api, cli
 from bytelake.functions import access, deflate, formats, scalars
 from bytelake.functions.ranges import parse_ranges
 from bytelake.operators import archives, checkpoints, parallel, selection, stats
+from bytelake.plans import fixtures
 from bytelake.sources import datasource, files, index_files
 from bytelake.streaming import archives as streams
 from tests.core.test_functions import prose
@@ -318,6 +319,18 @@ def test_islands(spark):
     assert "Aggregate" not in found._jdf.queryExecution().toString()
 
 
+def test_archives_of_rows(spark, sf_dir):
+    """Rows after what goes ahead of each, which doesn't go through a shuffle; texts go to Python in small batches."""
+    spark.conf.unset(fixtures.BATCH_KEY)
+    texts = fixtures.document_bytes(spark, sf_dir).limit(50).cache()
+    assert spark.conf.get(fixtures.BATCH_KEY) == str(fixtures.BATCH_BYTES)
+    want = b"".join(b"ahead\n" + bytes(r["data"]) for r in texts.orderBy("doc_id").collect())
+    for kind in ("gzip", "members", "bgzf", "zlib"):
+        made = fixtures.archive_files(texts, F.lit(0), "doc_id", kind, "rows", b"ahead\n").first()
+        got = files.read_range(made["path"], 0, made["length"] + 1)
+        assert len(got) == made["length"] and archives.decode_bytes(got) == want
+
+
 def test_histograms(spark):
     values = [1, 1, 2, 5, 9, 10, 10, 11, None]
     df = spark.createDataFrame([(v,) for v in values], "v long")
