@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -18,6 +19,7 @@ WINDOW = 32 << 10
 # Fixed values of RFC 1951: the order of code lengths in a dynamic block's header, and its counts' limits.
 ORDER = [16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15]
 LITERALS, DISTANCES = 286, 30
+LENGTHS_MOST = (LITERALS + DISTANCES) * 14 // 8 + 2  #: bytes that the code lengths of a header take at most, 7 bits and 7 more each
 NAMES = {0: "UNCOMPRESSED", 1: "FIXED", 2: "DYNAMIC"}
 
 
@@ -61,26 +63,33 @@ class Bits:
 
 def decoder(lengths: list[int], one: bool = False) -> tuple[list[tuple[int, int]], int]:
     """A table from the next bits to (symbol, bits taken). The code must be complete; `one`: or empty, or one code of one bit."""
-    used = [n for n in lengths if n]
-    filled = sum(1 << (15 - n) for n in used)
-    if filled != 1 << 15 and not (one and (not used or used == [1])):
+    of: list[list[int]] = [[] for _ in range(16)]  # the symbols of each length, ascending
+    for symbol, n in enumerate(lengths):
+        of[n].append(symbol)
+    filled = sum(len(of[n]) << (15 - n) for n in range(1, 16))
+    if filled != 1 << 15 and not (one and (not filled or filled == 1 << 14 and len(of[1]) == 1)):
         raise Corrupt("a code isn't complete")
-    most = max(used, default=1)
+    most = max((n for n in range(1, 16) if of[n]), default=1)
     table, code = [(-1, 0)] * (1 << most), 0
     for n in range(1, most + 1):
-        for symbol, length in enumerate(lengths):
-            if length == n:
-                back = int(f"{code:0{n}b}"[::-1], 2)
-                for k in range(back, 1 << most, 1 << n):
-                    table[k] = (symbol, n)
-                code += 1
+        for symbol in of[n]:
+            table[BACK[code] >> (15 - n) :: 1 << n] = [(symbol, n)] * (1 << (most - n))
+            code += 1
         code <<= 1
     return table, most
 
 
+BACK = [0]  #: numbers of 15 bits, the last bit first
+for _k in range(15):
+    BACK += [x | 1 << (14 - _k) for x in BACK]
 FIXED = [8] * 144 + [9] * 112 + [7] * 24 + [8] * 8
 
 
+@cache
+def _fixed() -> tuple:
+    return decoder(FIXED), decoder([5] * 32)
+
+
 @dataclass
 class Block:
     """One deflate block. Bits count from the start of the data, bytes of output from the start of the stream."""
@@ -96,7 +105,11 @@ class Block:
     literal_lengths: list[int] = field(default_factory=list)
     distance_lengths: list[int] = field(default_factory=list)
     literals: int = 0
-    matches: list[tuple[int, int, int]] = field(default_factory=list)  #: (place in the block's output, length, distance)
+    flat: list[int] = field(default_factory=list)  #: place in the block's output, length and distance of each match, numbers in a row
+
+    @property
+    def matches(self) -> list[tuple[int, int, int]]:
+        return list(zip(self.flat[::3], self.flat[1::3], self.flat[2::3]))
 
 
 def read_block_header(data: bytes, at: int) -> Block:
@@ -125,19 +138,23 @@ def read_block_header(data: bytes, at: int) -> Block:
         block.precode = pre
         table, bits = decoder(pre, one=[n for n in pre if n] == [1])
         lengths: list[int] = []
-        while len(lengths) < n_lit + n_dist:
-            symbol, n = table[b.peek(bits)]
+        held, mask, most, taken = int.from_bytes(data[b.at >> 3 : (b.at >> 3) + LENGTHS_MOST], "little") >> (b.at & 7), (1 << bits) - 1, n_lit + n_dist, 0
+        while len(lengths) < most:
+            symbol, n = table[held & mask]
             if symbol < 0:
                 raise Corrupt("no such code")
-            b.take(n)
+            held >>= n
+            taken += n
             if symbol < 16:
                 lengths.append(symbol)
-            elif symbol == 16:
-                if not lengths:
-                    raise Corrupt("nothing to repeat")
-                lengths += lengths[-1:] * (3 + b.take(2))
-            else:
-                lengths += [0] * (3 + b.take(3) if symbol == 17 else 11 + b.take(7))
+                continue
+            if symbol == 16 and not lengths:
+                raise Corrupt("nothing to repeat")
+            extra = 2 if symbol == 16 else 3 if symbol == 17 else 7
+            lengths += (lengths[-1:] if symbol == 16 else [0]) * ((11 if symbol == 18 else 3) + (held & (1 << extra) - 1))
+            held >>= extra
+            taken += extra
+        b.take(taken)
         if len(lengths) > n_lit + n_dist or not lengths[256]:
             raise Corrupt("code lengths are wrong")
         block.literal_lengths, block.distance_lengths = lengths[:n_lit], lengths[n_lit:]
@@ -157,27 +174,30 @@ def walk(data: bytes, at: int = 0, history: int = 0):
             if block.end > 8 * len(data):
                 raise Corrupt("the data end within a block")
         else:
-            (lit, lit_bits), (dist, dist_bits) = decoder(block.literal_lengths, one=True), decoder(block.distance_lengths, one=True)
-            lit_mask, dist_mask, matches = (1 << lit_bits) - 1, (1 << dist_bits) - 1, block.matches
+            (lit, lit_bits), (dist, dist_bits) = _fixed() if block.kind == "FIXED" else (decoder(block.literal_lengths, one=True), decoder(block.distance_lengths, one=True))
+            lit_mask, dist_mask, flat = (1 << lit_bits) - 1, (1 << dist_bits) - 1, block.flat
             byte, skip = divmod(block.header_end, 8)
             held = data[byte : byte + 32]  # bits that were read but not yet used, the next one lowest
             bits, left, byte = int.from_bytes(held, "little") >> skip, 8 * len(held) - skip, byte + 32
-            out = literals = 0
+            out = copied = 0
             while True:
                 if left < 64:
+                    if left < 0:
+                        raise Corrupt("the data end within a block")
                     held = data[byte : byte + 32]
                     bits |= int.from_bytes(held, "little") << max(left, 0)
                     left, byte = left + 8 * len(held), byte + 32
                 symbol, n = lit[bits & lit_mask]
                 bits >>= n
                 left -= n
-                if 0 <= symbol < 256:
+                if symbol < 256:
+                    if symbol < 0:
+                        raise Corrupt("no such code")
                     out += 1
-                    literals += 1
                     continue
                 if symbol == 256:
                     break
-                if symbol < 0 or symbol > 285:
+                if symbol > 285:
                     raise Corrupt("no such code")
                 extra = LENGTH_EXTRA[symbol - 257]
                 length = LENGTH_BASE[symbol - 257] + (bits & (1 << extra) - 1)
@@ -193,11 +213,12 @@ def walk(data: bytes, at: int = 0, history: int = 0):
                     raise Corrupt("the data end within a block")
                 if distance > decoded + out:
                     raise Corrupt("a reference before the start")
-                matches.append((out, length, distance))
+                flat += out, length, distance
                 out += length
+                copied += length
             if left < 0:
                 raise Corrupt("the data end within a block")
-            block.literals, at = literals, 8 * min(byte, len(data)) - left
+            block.literals, at = out - copied, 8 * min(byte, len(data)) - left
             block.size, block.end = out, at
         decoded, at = decoded + block.size, block.end
         yield block

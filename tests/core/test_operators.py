@@ -7,6 +7,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -319,6 +320,24 @@ def test_islands(spark):
     assert "Aggregate" not in found._jdf.queryExecution().toString()
 
 
+def test_matches_of_blocks_take_little_memory():
+    raw = gzip.compress(prose(600_000, 3))
+    tracemalloc.start()
+    rows = list(archives._blocks("a", raw))
+    batch = archives._block_batch(rows)
+    peak, n = tracemalloc.get_traced_memory()[1], sum(len(r[-1]) // 3 for r in rows)
+    tracemalloc.stop()
+    assert n > 50_000 and peak < 300 * n
+    assert batch.column("matches").to_pylist() == [[{"place": p, "length": n, "distance": d} for p, n, d in zip(*(r[-1][k::3] for k in range(3)))] for r in rows]
+
+
+def test_a_walk_ends_with_the_data():
+    raw = zlib.compress(bytes(range(97, 123)) * 9 + b"e" * 9 + prose(60_000, 3), 6, -15)
+    for n in range(200, len(raw), 997):
+        with pytest.raises(deflate.Corrupt):
+            list(deflate.walk(raw[:n]))
+
+
 def test_archives_of_rows(spark, sf_dir):
     """Rows after what goes ahead of each, which doesn't go through a shuffle; texts go to Python in small batches."""
     spark.conf.unset(fixtures.BATCH_KEY)
